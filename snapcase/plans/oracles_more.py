@@ -1 +1,276 @@
-"""Oracle SQL for the association, contingency, population and extension operators."""
+"""Oracle SQL for the recode, contingency, association, population and
+extension queries (registered into :mod:`snapcase.plans.oracles`)."""
+
+from __future__ import annotations
+
+from snapcase.functions.stats import CHISQ1_95, Z_975
+from snapcase.plans import params as P
+from snapcase.plans.oracles import (CASES_CTE, erfc_sql, in_list, oracle, pivot_sql, q,
+                                    sentence_sql, with_ctes)
+from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES
+
+DIGITS = 8
+
+
+def rnd(x: str, digits: int = DIGITS) -> str:
+    return f"round({x}, {digits})"
+
+
+# ---- recoding -----------------------------------------------------------
+
+def _recode_case() -> str:
+    last: dict[str, str] = {}
+    for v, c in P.RECODE_RULES:
+        last[v] = c
+    whens = " ".join(f"WHEN Charge = {q(v)} THEN {q(c)}" for v, c in last.items())
+    return f"CASE WHEN Charge IS NULL THEN NULL {whens} ELSE ChargeGroup END"
+
+
+oracle("recode_group", with_ctes(CASES_CTE, body=f"""
+SELECT Charge, {_recode_case()} AS ChargeGroup, count(*) AS n FROM cases GROUP BY ALL"""))
+
+_DIM_ROWS = ", ".join(f"({q(a)}, {q(b)})" for a, b in list(CATEGORY_SHORT_NAMES) + list(P.SHORT_NAMES))
+oracle("group_short_name", with_ctes(
+    CASES_CTE, f"dim(k, s) AS (VALUES {_DIM_ROWS})",
+    body="""SELECT ChargeGroup, coalesce(s, ChargeGroup) AS ChargeGroupShort, count(*) AS n
+FROM cases LEFT JOIN dim ON ChargeGroup = k GROUP BY ALL"""))
+
+# ---- flags and contingency ---------------------------------------------
+
+_RACES = in_list([P.RACE_A, P.RACE_B])
+FLAGS_CTES = (
+    CASES_CTE,
+    f"""rescued AS (SELECT *, CASE WHEN ChargeGroup IS NULL AND contains(Charge, {q(P.RESCUE_PATTERN)})
+                      THEN {q(P.DRUG_GROUP)} ELSE ChargeGroup END AS g0 FROM cases)""",
+    f"""grouped AS (SELECT BookingNumber, BookingDate, RaceDescription AS race,
+          CASE WHEN g0 IN ({q(P.DRUG_GROUP)}, {q(P.TRAFFIC_GROUP)}) THEN g0
+               WHEN g0 IS NOT NULL THEN 'Other' END AS g
+        FROM rescued WHERE RaceDescription IN {_RACES})""",
+    f"""flags AS (SELECT BookingNumber, BookingDate, race,
+          CASE WHEN bool_or(g = {q(P.DRUG_GROUP)}) THEN 'Yes' ELSE 'No' END AS drugs,
+          CASE WHEN bool_or(g = {q(P.TRAFFIC_GROUP)}) THEN 'Yes' ELSE 'No' END AS traffic,
+          CASE WHEN bool_or(g = 'Other') THEN 'Yes' ELSE 'No' END AS other
+        FROM grouped WHERE g IS NOT NULL GROUP BY BookingNumber, BookingDate, race)""",
+)
+
+oracle("episode_flags", with_ctes(*FLAGS_CTES, body="SELECT * FROM flags"))
+
+oracle("freq_table", with_ctes(*FLAGS_CTES, body="""
+SELECT race, traffic, drugs, other, count(*) AS freq FROM flags GROUP BY ALL"""))
+
+_GRID = f"""grid AS (SELECT * FROM (VALUES ({q(P.RACE_A)}, 0), ({q(P.RACE_B)}, 1)) r(race, ri)
+   CROSS JOIN (VALUES ('Yes', 0), ('No', 1)) o(drugs, oi)
+   CROSS JOIN (VALUES ('No', 0), ('Yes', 1)) g(traffic, gi))"""
+_XTAB = ("xt AS (SELECT race, drugs, traffic, CAST(coalesce(cnt, 0) AS BIGINT) AS freq, "
+         "ri * 4 + oi * 2 + gi AS cell_order FROM grid LEFT JOIN "
+         "(SELECT race, drugs, traffic, count(*) AS cnt FROM flags GROUP BY ALL) "
+         "USING (race, drugs, traffic))")
+
+oracle("xtab3", with_ctes(*FLAGS_CTES, _GRID, _XTAB, body="SELECT * FROM xt"))
+
+oracle("flat_table", with_ctes(*FLAGS_CTES, _GRID, _XTAB, body="""
+SELECT race, drugs,
+       CAST(sum(freq) FILTER (WHERE traffic = 'No') AS BIGINT) AS traffic_no,
+       CAST(sum(freq) FILTER (WHERE traffic = 'Yes') AS BIGINT) AS traffic_yes
+FROM xt GROUP BY race, drugs"""))
+
+# Eight cells c_<race>_<drugs>_<traffic>, 0 = No / first race.
+_CELLS = [(r, d, t) for r in (0, 1) for d in (0, 1) for t in (0, 1)]
+
+
+def _c(r, d, t) -> str:
+    return f"c_{r}_{d}_{t}"
+
+
+_RACE_NAMES = (P.RACE_A, P.RACE_B)
+_YN = ("No", "Yes")
+_CELLS_CTE = "cells AS (SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE race = {q(_RACE_NAMES[r])} AND drugs = {q(_YN[d])} "
+    f"AND traffic = {q(_YN[t])}) AS {_c(r, d, t)}" for r, d, t in _CELLS) + " FROM flags)"
+
+
+def _n(r, d, t) -> str:
+    return f"CAST({_c(r, d, t)} AS DOUBLE)"
+
+
+def _sum(xs) -> str:
+    out = xs[0]
+    for x in xs[1:]:
+        out = f"({out} + {x})"
+    return out
+
+
+def _margins():
+    n = {k: _n(*k) for k in _CELLS}
+    N = _sum([n[k] for k in _CELLS])
+    dt = {(d, t): f"({n[(0, d, t)]} + {n[(1, d, t)]})" for d in (0, 1) for t in (0, 1)}
+    rd = {(r, d): f"({n[(r, d, 0)]} + {n[(r, d, 1)]})" for r in (0, 1) for d in (0, 1)}
+    rt = {(r, t): f"({n[(r, 0, t)]} + {n[(r, 1, t)]})" for r in (0, 1) for t in (0, 1)}
+    r1 = {r: f"({rd[(r, 0)]} + {rd[(r, 1)]})" for r in (0, 1)}
+    d1 = {d: f"({dt[(d, 0)]} + {dt[(d, 1)]})" for d in (0, 1)}
+    t1 = {t: f"({dt[(0, t)]} + {dt[(1, t)]})" for t in (0, 1)}
+    return n, N, dt, rd, rt, r1, d1, t1
+
+
+def _idx(r, d, t):
+    return r * 4 + d * 2 + t + 1   # DuckDB lists are 1-based
+
+
+def _ipf_sql(cycles: int, dt, rd, rt) -> str:
+    def fit(target, key_of):
+        out = []
+        for c in _CELLS:
+            key = key_of(*c)
+            partners = [p for p in _CELLS if key_of(*p) == key]
+            fitted = _sum([f"m[{_idx(*p)}]" for p in partners])
+            out.append(f"m[{_idx(*c)}] * {target[key]} / {fitted}")
+        return "[" + ", ".join(out) + "]"
+    step = (f"CASE WHEN i % 3 = 0 THEN {fit(dt, lambda r, d, t: (d, t))} "
+            f"WHEN i % 3 = 1 THEN {fit(rd, lambda r, d, t: (r, d))} "
+            f"ELSE {fit(rt, lambda r, d, t: (r, t))} END")
+    start = "[" + ", ".join("CAST(1.0 AS DOUBLE)" for _ in _CELLS) + "]"
+    return f"list_reduce(range({3 * cycles}), lambda m, i: {step}, {start})"
+
+
+def _p_sql(x: str, df: int) -> str:
+    half = f"(({x}) / 2.0)"
+    if df == 0:
+        return "CAST(1.0 AS DOUBLE)"
+    if df == 1:
+        return erfc_sql(f"sqrt({half})")
+    if df == 2:
+        return f"exp(-{half})"
+    if df == 3:
+        return (f"({erfc_sql(f'sqrt({half})')} + sqrt(2.0 * ({x}) / pi()) * exp(-{half}))")
+    return f"(exp(-{half}) * (1.0 + {half}))"
+
+
+def _loglinear_sql(cycles: int = 25) -> str:
+    n, N, dt, rd, rt, r1, d1, t1 = _margins()
+    closed = {
+        "independence": [f"{r1[r]} * {d1[d]} * {t1[t]} / ({N} * {N})" for r, d, t in _CELLS],
+        "joint_dt_r": [f"{dt[(d, t)]} * {r1[r]} / {N}" for r, d, t in _CELLS],
+        "conditional_dt_dr": [f"{dt[(d, t)]} * {rd[(r, d)]} / {d1[d]}" for r, d, t in _CELLS],
+        "conditional_dt_tr": [f"{dt[(d, t)]} * {rt[(r, t)]} / {t1[t]}" for r, d, t in _CELLS],
+        "homogeneous": [f"homog[{_idx(*k)}]" for k in _CELLS],
+        "saturated": [n[k] for k in _CELLS],
+    }
+    models = (("independence", 4), ("joint_dt_r", 3), ("conditional_dt_dr", 2),
+              ("conditional_dt_tr", 2), ("homogeneous", 1), ("saturated", 0))
+    selects = []
+    for name, df in models:
+        fit = closed[name]
+        g2 = "(" + _sum([f"(CASE WHEN {n[k]} > 0 THEN {n[k]} * ln({n[k]} / ({fit[i]})) ELSE 0.0 END)"
+                         for i, k in enumerate(_CELLS)]) + " * 2.0)"
+        x2 = _sum([f"(({n[k]} - ({fit[i]})) * ({n[k]} - ({fit[i]})) / ({fit[i]}))"
+                   for i, k in enumerate(_CELLS)])
+        selects.append(
+            f"SELECT {q(name)} AS model, {df} AS df, {rnd(g2)} AS g2, {rnd(x2)} AS x2, "
+            f"{rnd(_p_sql(g2, df))} AS p_g2, {rnd(_p_sql(x2, df))} AS p_x2 FROM fitted")
+    fitted = f"fitted AS (SELECT *, {_ipf_sql(cycles, dt, rd, rt)} AS homog FROM cells)"
+    return with_ctes(*FLAGS_CTES, _CELLS_CTE, fitted, body="\nUNION ALL\n".join(selects))
+
+
+oracle("loglinear_fit", _loglinear_sql())
+
+
+def _odds_sql():
+    names = [_c(*k) for k in _CELLS]
+    any_zero = " OR ".join(f"{c} = 0" for c in names)
+    adj = f"(CASE WHEN {any_zero} THEN 0.5 ELSE 0.0 END)"
+    parts = []
+    for outcome in ("drugs", "traffic"):
+        given = "traffic" if outcome == "drugs" else "drugs"
+        for gi, gv in enumerate(_YN):
+            def n(r, o_yes):
+                d, t = ((o_yes, gi) if outcome == "drugs" else (gi, o_yes))
+                return f"(CAST({_c(r, d, t)} AS DOUBLE) + {adj})"
+            a, b, c, d_ = n(0, 1), n(0, 0), n(1, 1), n(1, 0)
+            log_or = f"(ln({a}) + ln({d_}) - ln({b}) - ln({c}))"
+            se = f"sqrt(1.0 / {a} + 1.0 / {b} + 1.0 / {c} + 1.0 / {d_})"
+            parts.append(
+                f"SELECT '{outcome}|{given}' AS orientation, {q(gv)} AS given_level, "
+                f"({a} * {d_}) / ({b} * {c}) AS odds_ratio, {log_or} AS log_or, {se} AS ase, "
+                f"exp({log_or} - {Z_975!r} * {se}) AS lwr, exp({log_or} + {Z_975!r} * {se}) AS upr "
+                "FROM cells")
+    return "\nUNION ALL\n".join(parts)
+
+
+_ODDS_CTE = f"odds AS ({_odds_sql()})"
+oracle("conditional_odds_ratio", with_ctes(*FLAGS_CTES, _CELLS_CTE, _ODDS_CTE, body="""
+SELECT orientation, given_level, odds_ratio FROM odds"""))
+oracle("odds_ratio_ci", with_ctes(*FLAGS_CTES, _CELLS_CTE, _ODDS_CTE, body=f"""
+SELECT orientation, given_level, {rnd('log_or')} AS log_or, {rnd('ase')} AS ase,
+       {rnd('lwr')} AS lwr, {rnd('upr')} AS upr, (lwr <= 1.0 AND upr >= 1.0) AS contains_one
+FROM odds"""))
+
+# ---- association --------------------------------------------------------
+
+_X, _Y = q(P.DRUG_GROUP), q(P.TRAFFIC_GROUP)
+PAIR_CTES = (
+    CASES_CTE,
+    f"""bi AS (SELECT DISTINCT BookingNumber, BookingDate, Charge, ChargeGroup FROM cases
+        WHERE ChargeGroup IN ({_X}, {_Y}))""",
+    "nb AS (SELECT count(*) AS n FROM (SELECT DISTINCT BookingNumber, BookingDate FROM bi))",
+    f"mx AS (SELECT Charge AS x_item, count(*) AS mx FROM bi WHERE ChargeGroup = {_X} GROUP BY 1)",
+    f"my AS (SELECT Charge AS y_item, count(*) AS my FROM bi WHERE ChargeGroup = {_Y} GROUP BY 1)",
+    f"""co AS (SELECT a.Charge AS x_item, b.Charge AS y_item, count(*) AS n11
+        FROM bi a JOIN bi b ON a.BookingNumber = b.BookingNumber AND a.BookingDate = b.BookingDate
+        WHERE a.ChargeGroup = {_X} AND b.ChargeGroup = {_Y} GROUP BY 1, 2)""",
+    """pairs AS (SELECT x_item, y_item, coalesce(n11, 0) AS n11,
+          mx - coalesce(n11, 0) AS n10, my - coalesce(n11, 0) AS n01,
+          n - mx - my + coalesce(n11, 0) AS n00, n
+        FROM mx CROSS JOIN my CROSS JOIN nb LEFT JOIN co USING (x_item, y_item))""",
+)
+
+
+def _chi2_sql() -> str:
+    nd, mxd, myd, n11d = ("CAST(n AS DOUBLE)", "CAST(n11 + n10 AS DOUBLE)",
+                          "CAST(n11 + n01 AS DOUBLE)", "CAST(n11 AS DOUBLE)")
+    d = f"(abs({nd} * {n11d} - {mxd} * {myd}) / {nd})"
+    corr = f"({d} - least({d}, 0.5))"
+    inv_e = f"(({nd} * {nd} * {nd}) / ({mxd} * ({nd} - {mxd}) * {myd} * ({nd} - {myd})))"
+    ok = f"({mxd} > 0 AND {mxd} < {nd} AND {myd} > 0 AND {myd} < {nd})"
+    return f"CASE WHEN {ok} THEN {corr} * {corr} * {inv_e} END"
+
+
+V_CTES = PAIR_CTES + (
+    f"chi AS (SELECT *, {_chi2_sql()} AS chi2 FROM pairs)",
+    f"""v AS (SELECT *, {erfc_sql('sqrt(chi2 / 2.0)')} AS p_value,
+        CASE WHEN chi2 > {CHISQ1_95!r} THEN sqrt(chi2 / CAST(n AS DOUBLE)) END AS cramers_v FROM chi)""",
+)
+
+_ITEMS = list(P.DRUG_ITEMS) + list(P.TRAFFIC_ITEMS)
+_IND_COLS = ", ".join(f"CAST(max(CASE WHEN Charge = {q(i)} THEN 1 ELSE 0 END) AS BIGINT) AS \"{i}\""
+                      for i in _ITEMS)
+oracle("indicator_matrix", with_ctes(*PAIR_CTES[:2], body=f"""
+SELECT BookingNumber, BookingDate, {_IND_COLS} FROM bi GROUP BY BookingNumber, BookingDate"""))
+
+oracle("item_pair_contingency", with_ctes(*PAIR_CTES, body="SELECT * FROM pairs"))
+oracle("chisq_yates", with_ctes(*V_CTES, body=f"""
+SELECT x_item, y_item, chi2, {rnd('p_value')} AS p_value FROM v"""))
+oracle("cramers_v", with_ctes(*V_CTES, body="SELECT x_item, y_item, cramers_v FROM v"))
+oracle("assoc_matrix", with_ctes(*V_CTES, body=pivot_sql(
+    "v", ["y_item"], "x_item", "cramers_v", list(P.DRUG_ITEMS), agg="first")))
+
+_TOP = (f"top AS (SELECT row_number() OVER (ORDER BY cramers_v DESC, x_item, y_item) AS id, "
+        f"y_item AS traffic_charge, x_item AS drug_charge, cramers_v FROM v "
+        f"WHERE cramers_v IS NOT NULL ORDER BY cramers_v DESC, x_item, y_item LIMIT {P.TOP_K})")
+oracle("assoc_topk", with_ctes(*V_CTES, _TOP, body="SELECT * FROM top"))
+oracle("assoc_topk_cross", with_ctes(*V_CTES, _TOP, body="""
+SELECT row_number() OVER (ORDER BY round(cramers_v, 5) DESC, x_item, y_item) AS id,
+       y_item AS traffic_charge, x_item AS drug_charge, round(cramers_v, 5) AS cramers_v
+FROM v WHERE cramers_v IS NOT NULL
+  AND x_item IN (SELECT drug_charge FROM top) AND y_item IN (SELECT traffic_charge FROM top)"""))
+
+oracle("pair_breakdown", with_ctes(*V_CTES, _TOP, body=f"""
+SELECT id, {sentence_sql('traffic_charge')} AS traffic_charge, {sentence_sql('drug_charge')} AS drug_charge,
+       cramers_v, race, n, proportion
+FROM (
+  SELECT t.id, t.traffic_charge, t.drug_charge, t.cramers_v, e.race, count(*) AS n,
+         CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY t.id) AS DOUBLE) AS proportion
+  FROM top t JOIN (SELECT DISTINCT c.BookingNumber, c.BookingDate, c.RaceDescription AS race, t2.id
+                   FROM cases c JOIN top t2 ON c.Charge IN (t2.traffic_charge, t2.drug_charge)) e
+    ON t.id = e.id
+  GROUP BY t.id, t.traffic_charge, t.drug_charge, t.cramers_v, e.race)
+WHERE race IS NULL OR race NOT IN {in_list(P.EXCLUDED_RACES)}"""))

@@ -1 +1,139 @@
-"""Queries for the association, contingency, population and extension operators."""
+"""Queries for the recode, contingency, association, population and
+extension operators (registered into :mod:`snapcase.plans.registry`)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from snapcase.operators import association as asc
+from snapcase.operators import contingency as ct
+from snapcase.operators import recode as rc
+from snapcase.operators.loglinear import loglinear_fit
+from snapcase.plans import params as P
+from snapcase.plans.registry import register
+from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES, category_dimension
+from snapcase.sources.snapshots import cases
+
+# Outputs that pass through exp/log are compared at this many decimals.
+DIGITS = 8
+
+
+def rounded(df: DataFrame, cols, digits: int = DIGITS) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
+# ---- recoding -----------------------------------------------------------
+
+@register("recode_group")
+def q_recode_group(spark, sf):
+    df = rc.recode_group(cases(spark, sf), P.RECODE_RULES)
+    return df.groupBy("Charge", "ChargeGroup").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("group_short_name")
+def q_group_short_name(spark, sf):
+    dim = category_dimension(spark, list(CATEGORY_SHORT_NAMES) + list(P.SHORT_NAMES))
+    df = rc.short_names(cases(spark, sf), dim)
+    return df.groupBy("ChargeGroup", "ChargeGroupShort").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- flags and contingency ---------------------------------------------
+
+def _flags(spark, sf):
+    return ct.episode_flags(cases(spark, sf), drug=P.DRUG_GROUP, traffic=P.TRAFFIC_GROUP,
+                            races=(P.RACE_A, P.RACE_B), rescue_pattern=P.RESCUE_PATTERN)
+
+
+_RACES = (P.RACE_A, P.RACE_B)
+
+
+@register("episode_flags")
+def q_episode_flags(spark, sf):
+    return _flags(spark, sf)
+
+
+@register("freq_table")
+def q_freq_table(spark, sf):
+    return ct.freq_table(_flags(spark, sf))
+
+
+@register("xtab3")
+def q_xtab3(spark, sf):
+    return ct.xtab3(_flags(spark, sf), _RACES, outcome="drugs")
+
+
+@register("flat_table")
+def q_flat_table(spark, sf):
+    return ct.flat_table(_flags(spark, sf), _RACES)
+
+
+@register("loglinear_fit")
+def q_loglinear_fit(spark, sf):
+    return rounded(loglinear_fit(_flags(spark, sf), _RACES), ["g2", "x2", "p_g2", "p_x2"])
+
+
+@register("conditional_odds_ratio")
+def q_conditional_odds_ratio(spark, sf):
+    return ct.conditional_odds_ratio(_flags(spark, sf), _RACES).select(
+        "orientation", "given_level", "odds_ratio")
+
+
+@register("odds_ratio_ci")
+def q_odds_ratio_ci(spark, sf):
+    df = ct.conditional_odds_ratio(_flags(spark, sf), _RACES).select(
+        "orientation", "given_level", "log_or", "ase", "lwr", "upr", "contains_one")
+    return rounded(df, ["log_or", "ase", "lwr", "upr"])
+
+
+# ---- association --------------------------------------------------------
+
+def _pairs(spark, sf):
+    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP)
+
+
+def _v(spark, sf):
+    return asc.cramers_v(_pairs(spark, sf))
+
+
+@register("indicator_matrix")
+def q_indicator_matrix(spark, sf):
+    return asc.indicator_matrix(cases(spark, sf), P.DRUG_ITEMS + P.TRAFFIC_ITEMS,
+                                [P.DRUG_GROUP, P.TRAFFIC_GROUP])
+
+
+@register("item_pair_contingency")
+def q_item_pair_contingency(spark, sf):
+    return _pairs(spark, sf)
+
+
+@register("chisq_yates")
+def q_chisq_yates(spark, sf):
+    return rounded(asc.chisq_yates(_pairs(spark, sf)), ["p_value"]).select(
+        "x_item", "y_item", "chi2", "p_value")
+
+
+@register("cramers_v")
+def q_cramers_v(spark, sf):
+    return _v(spark, sf).select("x_item", "y_item", "cramers_v")
+
+
+@register("assoc_matrix")
+def q_assoc_matrix(spark, sf):
+    return asc.assoc_matrix(_v(spark, sf), P.DRUG_ITEMS)
+
+
+@register("assoc_topk")
+def q_assoc_topk(spark, sf):
+    return asc.assoc_topk(_v(spark, sf), P.TOP_K)
+
+
+@register("assoc_topk_cross")
+def q_assoc_topk_cross(spark, sf):
+    return asc.assoc_topk_cross(_v(spark, sf), P.TOP_K)
+
+
+@register("pair_breakdown")
+def q_pair_breakdown(spark, sf):
+    top = asc.assoc_topk(_v(spark, sf), P.TOP_K)
+    return asc.pair_breakdown(cases(spark, sf), top, exclude=P.EXCLUDED_RACES)
