@@ -274,3 +274,120 @@ FROM (
     ON t.id = e.id
   GROUP BY t.id, t.traffic_charge, t.drug_charge, t.cramers_v, e.race)
 WHERE race IS NULL OR race NOT IN {in_list(P.EXCLUDED_RACES)}"""))
+
+
+# ---- population comparison ---------------------------------------------
+
+from snapcase.operators.population import DROP_AGES, DROP_RACES  # noqa: E402
+from snapcase.plans.oracles import first_sql, cut_sql  # noqa: E402
+from snapcase.sources.population import ASIAN, PACIFIC, SEGMENT_RACE  # noqa: E402
+
+_SEG = " ".join(f"WHEN c_mktsegment = {q(s)} THEN {q(r)}" for s, r in SEGMENT_RACE)
+_AGE = "(18 + c_custkey % 50)"
+_LO = f"CAST(floor({_AGE} / 5) * 5 AS INT)"
+POP_CTES = (
+    f"""cust AS (SELECT
+      CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN
+             CASE WHEN c_custkey % 3 = 0 THEN {q(PACIFIC)} ELSE {q(ASIAN)} END
+           {_SEG} END AS RACE,
+      'Age ' || CAST({_LO} AS VARCHAR) || ' to ' || CAST({_LO} + 4 AS VARCHAR) || ' years' AS AGEGROUP,
+      CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS SEX,
+      CASE WHEN c_nationkey % 4 = 0 THEN 'Hispanic' ELSE 'Non-Hispanic' END AS HISP
+    FROM customer)""",
+    """pop AS (SELECT
+      CASE WHEN grouping(RACE) = 1 THEN 'All races' ELSE RACE END AS RACE,
+      CASE WHEN grouping(AGEGROUP) = 1 THEN 'All ages' ELSE AGEGROUP END AS AGEGROUP,
+      CASE WHEN grouping(SEX) = 1 THEN 'Both sexes' ELSE SEX END AS SEX,
+      CASE WHEN grouping(HISP) = 1 THEN 'Both Hispanic Origins' ELSE HISP END AS HISP,
+      count(*) AS value
+    FROM cust GROUP BY GROUPING SETS ((RACE, AGEGROUP, SEX, HISP), (AGEGROUP, SEX, HISP),
+      (RACE, SEX, HISP), (RACE, AGEGROUP, HISP), (RACE, AGEGROUP, SEX)))""",
+)
+_DETAIL_WHERE = (f"(AGEGROUP IS NULL OR AGEGROUP NOT IN {in_list(DROP_AGES)}) "
+                 f"AND (RACE IS NULL OR RACE NOT IN {in_list(DROP_RACES)}) AND SEX <> 'Both sexes'")
+_RECODE = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in P.POP_RACE_RECODE.items())
+DETAIL_CTE = (f"""detail AS (SELECT CASE RACE {_RECODE} ELSE RACE END AS Race, AGEGROUP AS Age,
+      SEX AS Gender, value AS jeff FROM pop WHERE HISP = 'Non-Hispanic' AND {_DETAIL_WHERE})""")
+_MEMBERS = in_list(P.POP_MERGE[0])
+MERGED_CTE = f"""merged AS (
+    SELECT Race, Age, Gender, jeff FROM detail WHERE Race IS NULL OR Race NOT IN {_MEMBERS}
+    UNION ALL
+    SELECT {q(P.POP_MERGE[1])} AS Race, Age, Gender, CAST(sum(jeff) AS BIGINT) AS jeff
+    FROM detail WHERE Race IN {_MEMBERS} GROUP BY Age, Gender)"""
+REF_CTE = f"""reference AS (
+    SELECT Race, regexp_replace(Age, 'Age | years', '', 'g') AS Age, Gender, jeff FROM (
+      SELECT * FROM merged
+      UNION ALL
+      SELECT {q(P.POP_ORIGIN_LABEL)} AS Race, AGEGROUP AS Age, SEX AS Gender,
+             CAST(sum(value) AS BIGINT) AS jeff
+      FROM pop WHERE HISP = 'Hispanic' AND {_DETAIL_WHERE} GROUP BY AGEGROUP, SEX))"""
+
+oracle("population_filter", with_ctes(*POP_CTES, DETAIL_CTE, body="SELECT * FROM detail"))
+oracle("merge_categories", with_ctes(*POP_CTES, DETAIL_CTE, MERGED_CTE, body="SELECT * FROM merged"))
+oracle("marginal_category", with_ctes(*POP_CTES, DETAIL_CTE, MERGED_CTE, REF_CTE,
+                                      body="SELECT * FROM reference"))
+
+CASE_SIDE_CTES = (
+    CASES_CTE,
+    f"""rows_y AS (SELECT *, {cut_sql('CurrentAge', 0, 100, 5)} AS age_band FROM cases
+        WHERE ChargeDisposition IS NULL AND year(SnapshotDateTime) = {P.YEAR}
+          AND (RaceDescription IS NULL OR RaceDescription NOT IN {in_list(P.CASE_EXCLUDED)}))""",
+    "first_rows AS (" + first_sql("rows_y", ["BookingNumber", "BookingDate"], ["SnapshotDateTime"],
+                                  ["RaceDescription", "Gender", "age_band"]) + ")",
+    """obs AS (SELECT RaceDescription AS Race, Gender, age_band AS Age, count(*) AS n
+        FROM first_rows GROUP BY ALL)""",
+    """complete AS (SELECT g.Race, g.Gender, g.Age, CAST(coalesce(o.n, 0) AS BIGINT) AS n
+        FROM (SELECT * FROM (SELECT DISTINCT Race FROM obs) CROSS JOIN (SELECT DISTINCT Gender FROM obs)
+              CROSS JOIN (SELECT DISTINCT Age FROM obs)) g
+        LEFT JOIN obs o ON g.Race IS NOT DISTINCT FROM o.Race AND g.Gender IS NOT DISTINCT FROM o.Gender
+                       AND g.Age IS NOT DISTINCT FROM o.Age)""",
+    r"""relabelled AS (SELECT Race, Gender,
+          split_part(s, ',', 1) || ' to ' || CAST(CAST(split_part(s, ',', 2) AS INT) - 1 AS VARCHAR) AS Age,
+          n AS lmdc
+        FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(Age, '\[|\)|\]', '', 'g'),
+                                                      '^ ', ''), ', ', ',', 'g') AS s FROM complete))""",
+    """case_side AS (
+        SELECT Race, CASE Gender WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' ELSE Gender END AS Gender,
+               Age, lmdc FROM (
+          SELECT Race, Gender, Age, lmdc FROM relabelled
+          WHERE Age <> '15 to 19' AND Age NOT IN ('85 to 89', '90 to 94', '95 to 99')
+          UNION ALL
+          SELECT Race, Gender, '85 and older' AS Age, CAST(sum(lmdc) AS BIGINT) AS lmdc FROM relabelled
+          WHERE Age IN ('85 to 89', '90 to 94', '95 to 99') GROUP BY Race, Gender))""",
+)
+oracle("count_complete", with_ctes(*CASE_SIDE_CTES[:5], body="SELECT * FROM complete"))
+oracle("relabel_age", with_ctes(*CASE_SIDE_CTES, body="SELECT * FROM case_side"))
+
+PYRAMID_CTES = (*POP_CTES, DETAIL_CTE, MERGED_CTE, REF_CTE, *CASE_SIDE_CTES, """
+pyramid_long AS (
+    SELECT Age, Gender, Race, 'jeff' AS "Group", jeff AS Value
+    FROM reference JOIN case_side USING (Age, Gender, Race)
+    UNION ALL
+    SELECT Age, Gender, Race, 'lmdc' AS "Group", lmdc AS Value
+    FROM reference JOIN case_side USING (Age, Gender, Race))""", """
+pyramid AS (
+    SELECT Age, Gender, Race, "Group",
+           CAST(CASE WHEN Gender = 'Male' THEN -Value ELSE Value END AS BIGINT) AS Value,
+           CAST(sum(Value) OVER (PARTITION BY Race, "Group") AS BIGINT) AS Total,
+           CASE WHEN Gender = 'Male' THEN -(100.0 * CAST(Value AS DOUBLE)
+                    / CAST(sum(Value) OVER (PARTITION BY Race, "Group") AS DOUBLE))
+                ELSE 100.0 * CAST(Value AS DOUBLE)
+                    / CAST(sum(Value) OVER (PARTITION BY Race, "Group") AS DOUBLE) END AS Proportion
+    FROM pyramid_long)""")
+oracle("population_compare", with_ctes(*PYRAMID_CTES, body="SELECT * FROM pyramid"))
+oracle("group_composition", with_ctes(*PYRAMID_CTES, body="""
+SELECT Race, CASE "Group" WHEN 'jeff' THEN 'Jefferson County' WHEN 'lmdc' THEN 'LMDC' ELSE "Group" END AS "Group",
+       Total, 100.0 * CAST(Total AS DOUBLE) / CAST(sum(Total) OVER (PARTITION BY "Group") AS DOUBLE) AS Proportion
+FROM (SELECT Race, "Group", CAST(sum(abs(Value)) AS BIGINT) AS Total FROM pyramid GROUP BY Race, "Group")"""))
+oracle("actual_vs_expected", with_ctes(*PYRAMID_CTES, """
+per_race AS (SELECT Race,
+      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'lmdc') AS BIGINT) AS observed,
+      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'jeff') AS BIGINT) AS ref
+    FROM pyramid GROUP BY Race)""", body="""
+SELECT Race, observed, reference_share, expected, observed - expected AS difference,
+       observed / expected AS ratio
+FROM (SELECT Race, observed,
+             CAST(ref AS DOUBLE) / CAST((SELECT sum(ref) FROM per_race) AS DOUBLE) AS reference_share,
+             CAST((SELECT sum(observed) FROM per_race) AS DOUBLE)
+               * (CAST(ref AS DOUBLE) / CAST((SELECT sum(ref) FROM per_race) AS DOUBLE)) AS expected
+      FROM per_race)"""))

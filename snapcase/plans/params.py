@@ -47,3 +47,11 @@ RECODE_RULES = (
 # category dimension, which does not cover these names).
 SHORT_NAMES = (("PROMO", "PRM"), ("ECONOMY", "ECO"), ("STANDARD", "STD"),
                ("SMALL", "SML"), ("LARGE", "LRG"))
+
+# Population side: census-style labels of the derived estimates mapped onto
+# the case view's segment labels.
+POP_RACE_RECODE = {"Black alone": "AUTOMOBILE", "White alone": "BUILDING",
+                   "American Indian and Alaska Native alone": "FURNITURE"}
+POP_MERGE = (("Asian alone", "Native Hawaiian and Other Pacific Islander alone"), "HOUSEHOLD")
+POP_ORIGIN_LABEL = "MACHINERY"      # the origin-built category plays this segment
+CASE_EXCLUDED = ("Other", "UNKNOWN")

@@ -137,3 +137,63 @@ def q_assoc_topk_cross(spark, sf):
 def q_pair_breakdown(spark, sf):
     top = asc.assoc_topk(_v(spark, sf), P.TOP_K)
     return asc.pair_breakdown(cases(spark, sf), top, exclude=P.EXCLUDED_RACES)
+
+
+# ---- population comparison ---------------------------------------------
+
+from snapcase.operators import population as pop  # noqa: E402
+from snapcase.sources.population import population_estimates  # noqa: E402
+
+
+def _reference(spark, sf):
+    return pop.reference_population(population_estimates(spark, sf), recode=P.POP_RACE_RECODE,
+                                    merge=P.POP_MERGE, origin_label=P.POP_ORIGIN_LABEL)
+
+
+def _case_side(spark, sf):
+    return pop.relabel_case_ages(pop.case_population(cases(spark, sf), P.YEAR, P.CASE_EXCLUDED))
+
+
+def _pyramid(spark, sf):
+    return pop.population_compare(_reference(spark, sf), _case_side(spark, sf))
+
+
+@register("population_filter")
+def q_population_filter(spark, sf):
+    return pop.population_filter(population_estimates(spark, sf), recode=P.POP_RACE_RECODE)
+
+
+@register("merge_categories")
+def q_merge_categories(spark, sf):
+    detail = pop.population_filter(population_estimates(spark, sf), recode=P.POP_RACE_RECODE)
+    return pop.merge_categories(detail, "Race", P.POP_MERGE[0], P.POP_MERGE[1], "jeff")
+
+
+@register("marginal_category")
+def q_marginal_category(spark, sf):
+    return _reference(spark, sf)
+
+
+@register("count_complete")
+def q_count_complete(spark, sf):
+    return pop.case_population(cases(spark, sf), P.YEAR, P.CASE_EXCLUDED)
+
+
+@register("relabel_age")
+def q_relabel_age(spark, sf):
+    return _case_side(spark, sf)
+
+
+@register("population_compare")
+def q_population_compare(spark, sf):
+    return _pyramid(spark, sf)
+
+
+@register("group_composition")
+def q_group_composition(spark, sf):
+    return pop.group_composition(_pyramid(spark, sf))
+
+
+@register("actual_vs_expected")
+def q_actual_vs_expected(spark, sf):
+    return pop.actual_vs_expected(_pyramid(spark, sf))
