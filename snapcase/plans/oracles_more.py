@@ -391,3 +391,82 @@ FROM (SELECT Race, observed,
              CAST((SELECT sum(observed) FROM per_race) AS DOUBLE)
                * (CAST(ref AS DOUBLE) / CAST((SELECT sum(ref) FROM per_race) AS DOUBLE)) AS expected
       FROM per_race)"""))
+
+
+# ---- extensions over episodes ------------------------------------------
+
+from snapcase.plans.oracles import EPISODE_CTES, periods_cte  # noqa: E402
+
+_ATTR_CTE = f"""attrs AS (
+    SELECT BookingNumber, BookingDate, RaceDescription, Gender, {cut_sql('CurrentAge')} AS age_group,
+           CASE WHEN fel THEN 'FELONY' ELSE ChargeCategory END AS category
+    FROM (SELECT *, bool_or(ChargeCategory = 'FELONY')
+                      OVER (PARTITION BY BookingNumber, BookingDate) AS fel FROM cases)
+    QUALIFY row_number() OVER (PARTITION BY BookingNumber, BookingDate
+      ORDER BY SnapshotDateTime, RaceDescription NULLS FIRST, Gender NULLS FIRST,
+               CurrentAge NULLS FIRST, ChargeCategory NULLS FIRST) = 1)"""
+_STAYS = """stays AS (SELECT a.*, datediff('day', CAST(e.BookingDate AS DATE), e.end_pretrial) AS days
+    FROM ends e JOIN attrs a USING (BookingNumber, BookingDate))"""
+_LONG = """long AS (
+    SELECT 'All' AS dimension, 'All' AS level, days FROM stays
+    UNION ALL SELECT 'Race', CAST(RaceDescription AS VARCHAR), days FROM stays
+    UNION ALL SELECT 'Gender', CAST(Gender AS VARCHAR), days FROM stays
+    UNION ALL SELECT 'Age', CAST(age_group AS VARCHAR), days FROM stays
+    UNION ALL SELECT 'Category', CAST(category AS VARCHAR), days FROM stays)"""
+oracle("pretrial_days", with_ctes(CASES_CTE, EPISODE_CTES, _ATTR_CTE, _STAYS, _LONG, body="""
+SELECT dimension, level, count(*) AS bookings, CAST(sum(days) AS BIGINT) AS total_days,
+       CAST(sum(days) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_days
+FROM long GROUP BY dimension, level"""))
+
+oracle("booking_days_cost", with_ctes(CASES_CTE, EPISODE_CTES, periods_cte(), f"""
+per AS (SELECT p.name AS period,
+          datediff('day', greatest(CAST(e.BookingDate AS DATE), p.p_start),
+                          least(e.end_pretrial, p.p_end + 1)) AS days
+        FROM ends e CROSS JOIN periods p)""", body=f"""
+SELECT period, count(*) AS bookings, CAST(sum(days) AS BIGINT) AS booking_days,
+       CAST(sum(days) * {P.DAY_RATE} AS BIGINT) AS cost
+FROM per WHERE days > 0 GROUP BY period"""))
+
+oracle("daily_pretrial_headcount", with_ctes(CASES_CTE, """
+pbd AS (SELECT CAST(SnapshotDateTime AS DATE) AS day, BookingNumber, BookingDate,
+               min(CAST(ChargeDisposition IS NULL AS INT)) AS only_pretrial
+        FROM cases GROUP BY ALL)""", """
+pd AS (SELECT day, count(*) AS held, sum(only_pretrial) AS pretrial_only FROM pbd GROUP BY day)""",
+                                             body="""
+SELECT strftime(day, '%Y-%m') AS month, count(*) AS days,
+       CAST(sum(held) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_held,
+       CAST(sum(pretrial_only) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_pretrial_only
+FROM pd GROUP BY month"""))
+
+oracle("group_combinations_by_race", with_ctes(CASES_CTE, """
+eg AS (SELECT DISTINCT BookingNumber, BookingDate, RaceDescription AS race, ChargeGroup AS charge_group
+       FROM cases WHERE ChargeGroup IS NOT NULL)""", f"""
+anch AS (SELECT BookingNumber, BookingDate, race FROM eg WHERE charge_group = {_X})""", """
+per_race AS (SELECT race, count(*) AS anchor_episodes FROM anch GROUP BY race)""", body=f"""
+SELECT race, charge_group, count(*) AS episodes, anchor_episodes,
+       CAST(count(*) AS DOUBLE) / CAST(anchor_episodes AS DOUBLE) AS share
+FROM eg JOIN anch USING (BookingNumber, BookingDate, race) JOIN per_race USING (race)
+WHERE charge_group <> {_X} GROUP BY race, charge_group, anchor_episodes"""))
+
+oracle("warrant_share", with_ctes(CASES_CTE, f"""
+pe AS (SELECT BookingNumber, BookingDate, RaceDescription AS race,
+              max(CAST(ChargeGroup = {q(P.WARRANT_GROUP)} AS INT)) AS w
+       FROM cases GROUP BY BookingNumber, BookingDate, RaceDescription)""", body="""
+SELECT race, count(*) AS bookings, CAST(coalesce(sum(w), 0) AS BIGINT) AS with_warrant,
+       CAST(coalesce(sum(w), 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share
+FROM pe GROUP BY race"""))
+
+oracle("initial_and_final_charges", with_ctes(CASES_CTE, """
+span AS (SELECT BookingNumber, BookingDate, min(SnapshotDateTime) AS f, max(SnapshotDateTime) AS l
+         FROM cases GROUP BY BookingNumber, BookingDate)""", """
+r AS (SELECT c.BookingNumber, c.BookingDate, coalesce(c.ChargeGroup, 'Missing') AS charge_group,
+             CAST(c.SnapshotDateTime = s.f AS INT) AS b, CAST(c.SnapshotDateTime = s.l AS INT) AS r
+      FROM cases c JOIN span s ON c.BookingNumber = s.BookingNumber AND c.BookingDate = s.BookingDate)""",
+                                              """
+pe AS (SELECT BookingNumber, BookingDate, charge_group, max(b) AS b, max(r) AS r FROM r
+       WHERE b = 1 OR r = 1 GROUP BY ALL)""", body="""
+SELECT charge_group, CAST(sum(b) AS BIGINT) AS at_booking, CAST(sum(r) AS BIGINT) AS at_release
+FROM pe GROUP BY charge_group"""))
+
+oracle("result_tables", with_ctes(*FLAGS_CTES, body="""
+SELECT race, traffic, drugs, other, count(*) AS freq FROM flags GROUP BY ALL"""))

@@ -55,3 +55,4 @@ POP_RACE_RECODE = {"Black alone": "AUTOMOBILE", "White alone": "BUILDING",
 POP_MERGE = (("Asian alone", "Native Hawaiian and Other Pacific Islander alone"), "HOUSEHOLD")
 POP_ORIGIN_LABEL = "MACHINERY"      # the origin-built category plays this segment
 CASE_EXCLUDED = ("Other", "UNKNOWN")
+DAY_RATE = 82                       # cost of one booking-day

@@ -197,3 +197,46 @@ def q_group_composition(spark, sf):
 @register("actual_vs_expected")
 def q_actual_vs_expected(spark, sf):
     return pop.actual_vs_expected(_pyramid(spark, sf))
+
+
+# ---- extensions over episodes ------------------------------------------
+
+from snapcase.operators import charges as ch  # noqa: E402
+from snapcase.operators import stays as st  # noqa: E402
+from snapcase.sources.sinks import read_result, write_result  # noqa: E402
+
+
+@register("pretrial_days")
+def q_pretrial_days(spark, sf):
+    return st.pretrial_days(cases(spark, sf))
+
+
+@register("booking_days_cost")
+def q_booking_days_cost(spark, sf):
+    return st.booking_days_cost(cases(spark, sf), P.PERIODS, rate=P.DAY_RATE)
+
+
+@register("daily_pretrial_headcount")
+def q_daily_pretrial_headcount(spark, sf):
+    return st.daily_pretrial_headcount(cases(spark, sf))
+
+
+@register("group_combinations_by_race")
+def q_group_combinations_by_race(spark, sf):
+    return ch.group_combinations_by_race(cases(spark, sf), anchor=P.DRUG_GROUP)
+
+
+@register("warrant_share")
+def q_warrant_share(spark, sf):
+    return ch.warrant_share(cases(spark, sf), warrant=P.WARRANT_GROUP)
+
+
+@register("initial_and_final_charges")
+def q_initial_and_final_charges(spark, sf):
+    return st.initial_and_final_charges(cases(spark, sf))
+
+
+@register("result_tables")
+def q_result_tables(spark, sf):
+    write_result(ct.freq_table(_flags(spark, sf)), "freq_table")
+    return read_result(spark, "freq_table")
