@@ -182,11 +182,11 @@ def actual_vs_expected(pyramid: DataFrame, observed: str = "lmdc",
     per_race = pyramid.groupBy("Race").agg(
         F.sum(F.when(F.col("Group") == observed, F.abs("Value"))).cast("long").alias("observed"),
         F.sum(F.when(F.col("Group") == reference, F.abs("Value"))).cast("long").alias("ref"))
-    # Totals over the handful of race rows, as scalar subqueries.
-    ref_total = per_race.agg(F.sum("ref")).scalar()
-    obs_total = per_race.agg(F.sum("observed")).scalar()
-    share = F.col("ref").cast("double") / ref_total.cast("double")
-    expected = obs_total.cast("double") * share
+    # One row per race: a window over the whole (tiny) table gives the totals
+    # without re-running the two populations for a scalar subquery.
+    w = Window.partitionBy()
+    share = F.col("ref").cast("double") / F.sum("ref").over(w).cast("double")
+    expected = F.sum("observed").over(w).cast("double") * share
     return per_race.select("Race", "observed", share.alias("reference_share"),
                            expected.alias("expected")) \
                    .withColumn("difference", F.col("observed") - F.col("expected")) \

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import threading
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,8 +99,65 @@ def case_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str, bad: dict | None = None) -> DataFrame:
-    """Case view with the sentinel filter applied: the input of every chain."""
-    return drop_bad_values(case_view(spark, sf_dir), bad)
+    """Case view with the sentinel filter applied: the input of every chain.
+
+    Reads the snapshot table Spark derived from the driver tables (written
+    once per session and folder, see :func:`case_table`); set
+    ``snapcase.materialize=false`` to recompute the view in every query.
+    """
+    materialize = spark.conf.get("snapcase.materialize", "true").lower() == "true"
+    base = case_table(spark, sf_dir) if materialize else case_view(spark, sf_dir)
+    return drop_bad_values(base, bad)
+
+
+_WRITTEN: dict[tuple, str] = {}
+_LOCK = threading.Lock()
+
+
+def _stamp(sf_dir: str) -> str:
+    parts = []
+    for name in ("lineitem", "orders", "customer", "part"):
+        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        try:
+            st = os.stat(p)
+            parts.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append(p)
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def _file_count(spark: SparkSession, sf_dir: str, target_bytes: int = 128 << 20) -> int:
+    """Enough files to keep every core busy, one more per ~128 MB of input."""
+    try:
+        size = os.path.getsize(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    except OSError:
+        size = 0
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // target_bytes))
+
+
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case view written once as a parquet snapshot table.
+
+    Every report reads this table instead of re-running the four-way join
+    of the source tables (and again inside each scalar subquery).  It lives
+    in the shared folder named by ``spark.checkpoint.dir``, so executors on
+    any host read it and a lost executor costs a re-read, not a recompute of
+    the lineage.  Files are range-partitioned and sorted by snapshot time, so
+    min/max statistics skip whole files for the date-range filters of the
+    reports, and there are enough files for every core to read one.
+    """
+    from snapcase.session import results_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _stamp(sf_dir))
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = results_path(spark, f"case_table/{key[2]}-{key[0]}")
+            (case_view(spark, sf_dir)
+             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime")
+             .sortWithinPartitions("SnapshotDateTime")
+             .write.mode("overwrite").parquet(path))
+            _WRITTEN[key] = path
+    return spark.read.parquet(path)
 
 
 def _nullif(col: Column, value: str) -> Column:
