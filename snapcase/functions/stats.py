@@ -36,17 +36,22 @@ def erfc(z: Column) -> Column:
     return t * F.exp(-(z * z) + poly)
 
 
+def _unit(p: Column) -> Column:
+    """The approximation can overshoot 1 by ~1e-7 near zero: clamp (NULL stays)."""
+    return F.when(p > _lit(1.0), _lit(1.0)).otherwise(p)
+
+
 def chisq_upper_p(x: Column, df: int) -> Column:
     """P(X > x) for chi-square with 0..4 degrees of freedom (closed forms)."""
     half = x / _lit(2.0)
     if df == 0:
         return _lit(1.0)
     if df == 1:
-        return erfc(F.sqrt(half))
+        return _unit(erfc(F.sqrt(half)))
     if df == 2:
         return F.exp(-half)
     if df == 3:
-        return erfc(F.sqrt(half)) + F.sqrt(_lit(2.0) * x / _lit(math.pi)) * F.exp(-half)
+        return _unit(erfc(F.sqrt(half)) + F.sqrt(_lit(2.0) * x / _lit(math.pi)) * F.exp(-half))
     if df == 4:
         return F.exp(-half) * (_lit(1.0) + half)
     raise ValueError("closed forms exist for df 0..4 only")

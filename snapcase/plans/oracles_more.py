@@ -132,16 +132,20 @@ def _ipf_sql(cycles: int, dt, rd, rt) -> str:
     return f"list_reduce(range({3 * cycles}), lambda m, i: {step}, {start})"
 
 
+def _unit_sql(p: str) -> str:
+    return f"(CASE WHEN {p} > 1.0 THEN CAST(1.0 AS DOUBLE) ELSE {p} END)"
+
+
 def _p_sql(x: str, df: int) -> str:
     half = f"(({x}) / 2.0)"
     if df == 0:
         return "CAST(1.0 AS DOUBLE)"
     if df == 1:
-        return erfc_sql(f"sqrt({half})")
+        return _unit_sql(erfc_sql(f"sqrt({half})"))
     if df == 2:
         return f"exp(-{half})"
     if df == 3:
-        return (f"({erfc_sql(f'sqrt({half})')} + sqrt(2.0 * ({x}) / pi()) * exp(-{half}))")
+        return _unit_sql(f"({erfc_sql(f'sqrt({half})')} + sqrt(2.0 * ({x}) / pi()) * exp(-{half}))")
     return f"(exp(-{half}) * (1.0 + {half}))"
 
 
@@ -236,7 +240,7 @@ def _chi2_sql() -> str:
 
 V_CTES = PAIR_CTES + (
     f"chi AS (SELECT *, {_chi2_sql()} AS chi2 FROM pairs)",
-    f"""v AS (SELECT *, {erfc_sql('sqrt(chi2 / 2.0)')} AS p_value,
+    f"""v AS (SELECT *, {_unit_sql(erfc_sql('sqrt(chi2 / 2.0)'))} AS p_value,
         CASE WHEN chi2 > {CHISQ1_95!r} THEN sqrt(chi2 / CAST(n AS DOUBLE)) END AS cramers_v FROM chi)""",
 )
 
