@@ -153,8 +153,9 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             path = results_path(spark, f"case_table/{key[2]}-{key[0]}")
             (case_view(spark, sf_dir)
-             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime")
-             .sortWithinPartitions("SnapshotDateTime")
+             # The booking number splits a hot snapshot day across files.
+             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime", "BookingNumber")
+             .sortWithinPartitions("SnapshotDateTime", "BookingNumber")
              .write.mode("overwrite").parquet(path))
             _WRITTEN[key] = path
     return spark.read.parquet(path)
