@@ -136,7 +136,7 @@ def assoc_matrix(v: DataFrame, x_items: Sequence[str]) -> DataFrame:
 
 def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     # Global row_number: only ever applied to an already limited result.
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def assoc_topk(v: DataFrame, k: int = 20) -> DataFrame:
