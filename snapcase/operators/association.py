@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from snapcase.functions.stats import CHISQ1_95, chisq_upper_p, yates_chisq
 from snapcase.functions.text import sentence_case
 from snapcase.operators.episodes import BOOKING
+from snapcase.session import shared_dir
 
 MAX_VOCABULARY = 200_000
 
@@ -71,7 +72,8 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
                           basket: Sequence[str] = BOOKING, item: str = "Charge",
                           group_col: str = "ChargeGroup", grain: str = "basket",
                           zero_fill: bool = True,
-                          max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+                          max_vocabulary: int = MAX_VOCABULARY,
+                          checkpoint: bool = True) -> DataFrame:
     """2x2 counts for every (x item, y item) pair.
 
     Output: ``x_item, y_item, n11, n10, n01, n00, n`` where ``n`` is the
@@ -81,6 +83,12 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
     ``max_vocabulary`` -- the grid is |X| x |Y| rows, the size of the answer.
     """
     bi = basket_items(df, [x_group, y_group], basket, item, group_col, grain)
+    if checkpoint:
+        # The distinct (basket, item) rows feed four consumers (pair join,
+        # marginals, basket count, vocabulary): write them once to the shared
+        # checkpoint folder so the snapshot table is scanned once.
+        shared_dir(df.sparkSession)
+        bi = bi.checkpoint(eager=True)
     keys = _basket_cols(basket, grain)
     xs = bi.filter(F.col("grp") == x_group).select(*keys, F.col("item").alias("x_item"))
     ys = bi.filter(F.col("grp") == y_group).select(*keys, F.col("item").alias("y_item"))
