@@ -38,20 +38,29 @@ FROM cases LEFT JOIN dim ON ChargeGroup = k GROUP BY ALL"""))
 # ---- flags and contingency ---------------------------------------------
 
 _RACES = in_list([P.RACE_A, P.RACE_B])
-FLAGS_CTES = (
-    CASES_CTE,
-    f"""rescued AS (SELECT *, CASE WHEN ChargeGroup IS NULL AND contains(Charge, {q(P.RESCUE_PATTERN)})
+
+
+def flags_ctes(strata: str | None = None):
+    """Flag CTEs; ``strata`` is an SQL expression named ``stratum``."""
+    st_sel = f"{strata} AS stratum, " if strata else ""
+    st_col = "stratum, " if strata else ""
+    return (
+        CASES_CTE,
+        f"""rescued AS (SELECT *, {st_sel}CASE WHEN ChargeGroup IS NULL AND contains(Charge, {q(P.RESCUE_PATTERN)})
                       THEN {q(P.DRUG_GROUP)} ELSE ChargeGroup END AS g0 FROM cases)""",
-    f"""grouped AS (SELECT BookingNumber, BookingDate, RaceDescription AS race,
+        f"""grouped AS (SELECT BookingNumber, BookingDate, {st_col}RaceDescription AS race,
           CASE WHEN g0 IN ({q(P.DRUG_GROUP)}, {q(P.TRAFFIC_GROUP)}) THEN g0
                WHEN g0 IS NOT NULL THEN 'Other' END AS g
         FROM rescued WHERE RaceDescription IN {_RACES})""",
-    f"""flags AS (SELECT BookingNumber, BookingDate, race,
+        f"""flags AS (SELECT BookingNumber, BookingDate, {st_col}race,
           CASE WHEN bool_or(g = {q(P.DRUG_GROUP)}) THEN 'Yes' ELSE 'No' END AS drugs,
           CASE WHEN bool_or(g = {q(P.TRAFFIC_GROUP)}) THEN 'Yes' ELSE 'No' END AS traffic,
           CASE WHEN bool_or(g = 'Other') THEN 'Yes' ELSE 'No' END AS other
-        FROM grouped WHERE g IS NOT NULL GROUP BY BookingNumber, BookingDate, race)""",
-)
+        FROM grouped WHERE g IS NOT NULL GROUP BY BookingNumber, BookingDate, {st_col}race)""",
+    )
+
+
+FLAGS_CTES = flags_ctes()
 
 oracle("episode_flags", with_ctes(*FLAGS_CTES, body="SELECT * FROM flags"))
 
@@ -84,9 +93,15 @@ def _c(r, d, t) -> str:
 
 _RACE_NAMES = (P.RACE_A, P.RACE_B)
 _YN = ("No", "Yes")
-_CELLS_CTE = "cells AS (SELECT " + ", ".join(
-    f"count(*) FILTER (WHERE race = {q(_RACE_NAMES[r])} AND drugs = {q(_YN[d])} "
-    f"AND traffic = {q(_YN[t])}) AS {_c(r, d, t)}" for r, d, t in _CELLS) + " FROM flags)"
+def cells_cte(strata: bool = False) -> str:
+    sel = "stratum, " if strata else ""
+    grp = " GROUP BY stratum" if strata else ""
+    return "cells AS (SELECT " + sel + ", ".join(
+        f"count(*) FILTER (WHERE race = {q(_RACE_NAMES[r])} AND drugs = {q(_YN[d])} "
+        f"AND traffic = {q(_YN[t])}) AS {_c(r, d, t)}" for r, d, t in _CELLS) + f" FROM flags{grp})"
+
+
+_CELLS_CTE = cells_cte()
 
 
 def _n(r, d, t) -> str:
@@ -149,7 +164,7 @@ def _p_sql(x: str, df: int) -> str:
     return f"(exp(-{half}) * (1.0 + {half}))"
 
 
-def _loglinear_sql(cycles: int = 25) -> str:
+def _loglinear_sql(cycles: int = 25, strata: str | None = None) -> str:
     n, N, dt, rd, rt, r1, d1, t1 = _margins()
     closed = {
         "independence": [f"{r1[r]} * {d1[d]} * {t1[t]} / ({N} * {N})" for r, d, t in _CELLS],
@@ -169,16 +184,18 @@ def _loglinear_sql(cycles: int = 25) -> str:
         x2 = _sum([f"(({n[k]} - ({fit[i]})) * ({n[k]} - ({fit[i]})) / ({fit[i]}))"
                    for i, k in enumerate(_CELLS)])
         selects.append(
-            f"SELECT {q(name)} AS model, {df} AS df, {rnd(g2)} AS g2, {rnd(x2)} AS x2, "
+            f"SELECT {'stratum AS booking_year, ' if strata else ''}{q(name)} AS model, {df} AS df, "
+            f"{rnd(g2)} AS g2, {rnd(x2)} AS x2, "
             f"{rnd(_p_sql(g2, df))} AS p_g2, {rnd(_p_sql(x2, df))} AS p_x2 FROM fitted")
     fitted = f"fitted AS (SELECT *, {_ipf_sql(cycles, dt, rd, rt)} AS homog FROM cells)"
-    return with_ctes(*FLAGS_CTES, _CELLS_CTE, fitted, body="\nUNION ALL\n".join(selects))
+    return with_ctes(*flags_ctes(strata), cells_cte(bool(strata)), fitted,
+                     body="\nUNION ALL\n".join(selects))
 
 
 oracle("loglinear_fit", _loglinear_sql())
 
 
-def _odds_sql():
+def _odds_sql(strata: bool = False):
     names = [_c(*k) for k in _CELLS]
     any_zero = " OR ".join(f"{c} = 0" for c in names)
     adj = f"(CASE WHEN {any_zero} THEN 0.5 ELSE 0.0 END)"
@@ -193,7 +210,8 @@ def _odds_sql():
             log_or = f"(ln({a}) + ln({d_}) - ln({b}) - ln({c}))"
             se = f"sqrt(1.0 / {a} + 1.0 / {b} + 1.0 / {c} + 1.0 / {d_})"
             parts.append(
-                f"SELECT '{outcome}|{given}' AS orientation, {q(gv)} AS given_level, "
+                f"SELECT {'stratum AS booking_year, ' if strata else ''}"
+                f"'{outcome}|{given}' AS orientation, {q(gv)} AS given_level, "
                 f"({a} * {d_}) / ({b} * {c}) AS odds_ratio, {log_or} AS log_or, {se} AS ase, "
                 f"exp({log_or} - {Z_975!r} * {se}) AS lwr, exp({log_or} + {Z_975!r} * {se}) AS upr "
                 "FROM cells")
@@ -474,3 +492,28 @@ FROM pe GROUP BY charge_group"""))
 
 oracle("result_tables", with_ctes(*FLAGS_CTES, body="""
 SELECT race, traffic, drugs, other, count(*) AS freq FROM flags GROUP BY ALL"""))
+
+
+# ---- stratified models and the literal item grain ----------------------
+
+_YEAR = "CAST(year(BookingDate) AS INTEGER)"
+oracle("loglinear_fit_by_year", _loglinear_sql(strata=_YEAR))
+oracle("odds_ratio_by_year", with_ctes(*flags_ctes(_YEAR), cells_cte(True),
+                                       f"odds AS ({_odds_sql(True)})", body=f"""
+SELECT booking_year, orientation, given_level, {rnd('odds_ratio')} AS odds_ratio, {rnd('lwr')} AS lwr,
+       {rnd('upr')} AS upr, (lwr <= 1.0 AND upr >= 1.0) AS contains_one FROM odds"""))
+
+ITEM_GRAIN_CTES = (
+    CASES_CTE,
+    f"""bi AS (SELECT DISTINCT BookingNumber, BookingDate, Charge, ChargeGroup FROM cases
+        WHERE ChargeGroup IN ({_X}, {_Y}))""",
+    "nb AS (SELECT count(*) AS n FROM (SELECT DISTINCT BookingNumber, BookingDate, Charge FROM bi))",
+    f"mx AS (SELECT Charge AS x_item, count(*) AS mx FROM bi WHERE ChargeGroup = {_X} GROUP BY 1)",
+    f"my AS (SELECT Charge AS y_item, count(*) AS my FROM bi WHERE ChargeGroup = {_Y} GROUP BY 1)",
+    f"""co AS (SELECT a.Charge AS x_item, b.Charge AS y_item, count(*) AS n11
+        FROM bi a JOIN bi b ON a.BookingNumber = b.BookingNumber AND a.BookingDate = b.BookingDate
+         AND a.Charge = b.Charge
+        WHERE a.ChargeGroup = {_X} AND b.ChargeGroup = {_Y} GROUP BY 1, 2)""",
+    PAIR_CTES[-1],
+)
+oracle("item_pair_contingency_item_grain", with_ctes(*ITEM_GRAIN_CTES, body="SELECT * FROM pairs"))

@@ -240,3 +240,31 @@ def q_initial_and_final_charges(spark, sf):
 def q_result_tables(spark, sf):
     write_result(ct.freq_table(_flags(spark, sf)), "freq_table")
     return read_result(spark, "freq_table")
+
+
+
+# ---- stratified models and the literal item grain ----------------------
+
+def _flags_by_year(spark, sf):
+    df = cases(spark, sf).withColumn("booking_year", F.year("BookingDate"))
+    return ct.episode_flags(df, drug=P.DRUG_GROUP, traffic=P.TRAFFIC_GROUP,
+                            races=(P.RACE_A, P.RACE_B), rescue_pattern=P.RESCUE_PATTERN,
+                            strata=["booking_year"])
+
+
+@register("loglinear_fit_by_year")
+def q_loglinear_fit_by_year(spark, sf):
+    return rounded(loglinear_fit(_flags_by_year(spark, sf), _RACES, strata=["booking_year"]),
+                   ["g2", "x2", "p_g2", "p_x2"])
+
+
+@register("odds_ratio_by_year")
+def q_odds_ratio_by_year(spark, sf):
+    df = ct.conditional_odds_ratio(_flags_by_year(spark, sf), _RACES, strata=["booking_year"])
+    return rounded(df.select("booking_year", "orientation", "given_level", "odds_ratio", "lwr",
+                             "upr", "contains_one"), ["odds_ratio", "lwr", "upr"])
+
+
+@register("item_pair_contingency_item_grain")
+def q_item_pair_contingency_item_grain(spark, sf):
+    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP, grain="item")
