@@ -517,3 +517,8 @@ ITEM_GRAIN_CTES = (
     PAIR_CTES[-1],
 )
 oracle("item_pair_contingency_item_grain", with_ctes(*ITEM_GRAIN_CTES, body="SELECT * FROM pairs"))
+
+_GRID2 = f"""grid AS (SELECT * FROM (VALUES ({q(P.RACE_A)}, 0), ({q(P.RACE_B)}, 1)) r(race, ri)
+   CROSS JOIN (VALUES ('Yes', 0), ('No', 1)) o(traffic, oi)
+   CROSS JOIN (VALUES ('No', 0), ('Yes', 1)) g(drugs, gi))"""
+oracle("xtab3_given_drugs", with_ctes(*FLAGS_CTES, _GRID2, _XTAB, body="SELECT * FROM xt"))

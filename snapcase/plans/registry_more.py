@@ -268,3 +268,8 @@ def q_odds_ratio_by_year(spark, sf):
 @register("item_pair_contingency_item_grain")
 def q_item_pair_contingency_item_grain(spark, sf):
     return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP, grain="item")
+
+
+@register("xtab3_given_drugs")
+def q_xtab3_given_drugs(spark, sf):
+    return ct.xtab3(_flags(spark, sf), _RACES, outcome="traffic")

@@ -34,3 +34,31 @@ def test_stream_matches_batch(spark, tmp_path):
     # the last day stays open until later data moves the watermark past it
     assert got and got <= want and len(want - got) <= 2
     assert daily_pretrial_headcount(df).count() == 12
+
+
+def test_stream_restart_resumes_without_duplicates(spark, tmp_path):
+    df = cases(spark, SF).filter(F.year("SnapshotDateTime") == 1998)
+    feed = tmp_path / "feed"
+    months = sorted({r.m for r in df.select(F.date_format("SnapshotDateTime", "yyyy-MM").alias("m"))
+                     .distinct().collect()})
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def publish(ms):
+        for m in ms:
+            df.filter(F.date_format("SnapshotDateTime", "yyyy-MM") == m) \
+              .write.parquet(str(feed / f"m{m}"))
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true") \
+                      .parquet(str(feed))
+        q = run_daily_headcount(stream, out, ckpt)
+        q.awaitTermination(300)
+
+    publish(months[:6])
+    run()                      # first run stops after the available files
+    first = spark.read.parquet(out).count()
+    publish(months[6:])
+    run()                      # restarted from the checkpoint: only new days are added
+    days = [r.day for r in spark.read.parquet(out).collect()]
+    assert first > 0 and len(days) > first
+    assert len(days) == len(set(days))
