@@ -44,9 +44,11 @@ def episode_end(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
     after the first snapshot day of all bookings that ever get one (a scalar
     over the whole table).  Output: ``keys + [end_pretrial]``.
 
-    Plan: one aggregation of the snapshot table to episode grain (partial
-    aggregation map-side, so a hot episode costs one row per task), reused for
-    both the scalar and the result.
+    Plan: an aggregation of the snapshot table to episode grain (partial
+    aggregation map-side, so a hot episode costs one row per task).  The
+    scalar runs it once more; in the result Catalyst pushes the start-day
+    test below the aggregation (it is on a grouping key), so rows of early
+    bookings are dropped before the shuffle.
     """
     keys = list(keys)
     id_col = id_col or keys[0]
