@@ -95,7 +95,11 @@ def reference_population(pop: DataFrame, recode: dict[str, str] | None = None,
     return out.withColumn("Age", F.regexp_replace("Age", "Age | years", ""))
 
 
-def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n") -> DataFrame:
+MAX_GRID_CELLS = 10_000_000
+
+
+def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n",
+                   max_cells: int = MAX_GRID_CELLS) -> DataFrame:
     """Counts by ``dims`` with every combination of observed levels present
     (zeros filled) (C31).
 
@@ -106,6 +110,15 @@ def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n") -> DataF
     """
     dims = list(dims)
     counts = df.groupBy(*dims).agg(F.count(F.lit(1)).alias(name))
+    # The grid is the answer (product of level counts); check its size on
+    # the aggregated counts before one row gathers the level lists.
+    sizes = counts.agg(*[F.count_distinct(F.struct(F.col(d).alias("v"))).alias(d)
+                         for d in dims]).first()
+    cells = 1
+    for d in dims:
+        cells *= int(sizes[d])
+    if cells > max_cells:
+        raise ValueError(f"{cells} level combinations exceed max_cells={max_cells}")
     levels = counts.agg(*[F.collect_set(F.struct(F.col(d).alias("v"))).alias(d) for d in dims])
     grid = levels
     for d in dims:

@@ -56,9 +56,10 @@ def short_names(df: DataFrame, dim: DataFrame, col: str = "ChargeGroup",
                 out: str = "ChargeGroupShort", dim_key: str = "ChargeGroup",
                 dim_value: str = "ChargeGroupShort") -> DataFrame:
     """Attach the short display name of a category, falling back to the
-    long name (C03).  ``dim`` is a small lookup table: broadcast."""
+    long name (C03).  ``dim`` is a lookup table; Spark broadcasts it when its
+    measured size is under the broadcast threshold (65 rows by default)."""
     d = dim.select(F.col(dim_key).alias("_k"), F.col(dim_value).alias("_short"))
-    return (df.join(F.broadcast(d), F.col(col) == F.col("_k"), "left")
+    return (df.join(d, F.col(col) == F.col("_k"), "left")
               .withColumn(out, F.coalesce(F.col("_short"), F.col(col)))
               .drop("_k", "_short"))
 
