@@ -48,17 +48,21 @@ def scan_snapshots(spark: SparkSession, path: str, fmt: str = "parquet",
                    options: dict | None = None) -> DataFrame:
     """Typed snapshot scan.
 
-    CSV is read with an explicit schema (no inference pass over the data);
-    parquet keeps its own types and gets column pruning / filter pushdown.
+    CSV: the header names the columns (the file may hold more columns, in
+    any order); the named snapshot columns are cast by name to their types,
+    the others stay strings.  No inference pass over the data.  Parquet keeps
+    its own types and gets column pruning and filter pushdown.
     """
+    schema = schema or SNAPSHOT_SCHEMA
     reader = spark.read
     if options:
         reader = reader.options(**options)
     if fmt == "csv":
-        df = reader.schema(schema or SNAPSHOT_SCHEMA).option("header", True).csv(path)
+        raw = reader.option("header", True).option("inferSchema", False).csv(path)
+        types = {f.name: f.dataType for f in schema.fields}
+        df = raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types
+                          else F.col(f"`{c}`") for c in raw.columns])
     else:
-        if schema is not None:
-            reader = reader.schema(schema)
         df = reader.format(fmt).load(path)
     return drop_bad_values(df, bad)
 

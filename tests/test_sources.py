@@ -13,6 +13,16 @@ def test_csv_scan_with_schema_and_sentinel(spark, tmp_path):
     assert [r.BookingNumber for r in back.collect()] == [1]
 
 
+def test_csv_scan_by_header_name_with_extra_columns(spark, tmp_path):
+    df = snap(spark, [row(7, "2020-01-02", "2020-01-03 10:30:00", disp="X")])
+    cols = list(reversed(df.columns))
+    shuffled = df.selectExpr("'cell A' AS Housing", *cols)
+    shuffled.write.option("header", True).csv(str(tmp_path / "csv2"))
+    back = scan_snapshots(spark, str(tmp_path / "csv2"), fmt="csv").collect()[0]
+    assert back.BookingNumber == 7 and back.Housing == "cell A"
+    assert back.SnapshotDateTime.isoformat() == "2020-01-03T10:30:00"
+
+
 def test_result_tables_round_trip(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = write_result(df, "unit_roundtrip")
