@@ -57,14 +57,6 @@ def chisq_upper_p(x: Column, df: int) -> Column:
     raise ValueError("closed forms exist for df 0..4 only")
 
 
-def chisq_upper_p_by_df(x: Column, df: Column) -> Column:
-    """Same as :func:`chisq_upper_p` with the degrees of freedom in a column."""
-    expr = F.when(df == 0, chisq_upper_p(x, 0))
-    for d in (1, 2, 3, 4):
-        expr = expr.when(df == d, chisq_upper_p(x, d))
-    return expr
-
-
 def yates_chisq(n11: Column, mx: Column, my: Column, n: Column) -> Column:
     """Continuity-corrected chi-square of a 2x2 table from one cell and margins.
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from snapcase.functions.bins import cut_bins
 from snapcase.operators.episodes import BOOKING, STATUS, TS, episode_end
-from snapcase.operators.profile import period_label
 
 DIMENSIONS = (("Race", "RaceDescription"), ("Gender", "Gender"), ("Age", "age_group"),
               ("Category", "category"))
@@ -121,4 +120,4 @@ def initial_and_final_charges(df: DataFrame, keys: Sequence[str] = BOOKING, ts:
 
 
 __all__ = ["pretrial_days", "booking_days_cost", "daily_pretrial_headcount",
-           "initial_and_final_charges", "episode_attributes", "period_label"]
+           "initial_and_final_charges", "episode_attributes"]
