@@ -95,7 +95,9 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
     n_baskets = bi.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
     mx = xs.groupBy("x_item").agg(F.count(F.lit(1)).alias("mx"))
     my = ys.groupBy("y_item").agg(F.count(F.lit(1)).alias("my"))
-    n11 = xs.join(ys, keys).groupBy("x_item", "y_item").agg(F.count(F.lit(1)).alias("n11"))
+    # Both sides grow with the data: shuffled hash join, never a broadcast.
+    n11 = xs.join(ys.hint("shuffle_hash"), keys).groupBy("x_item", "y_item") \
+            .agg(F.count(F.lit(1)).alias("n11"))
     if zero_fill:
         vocab = my.count()
         if vocab > max_vocabulary:

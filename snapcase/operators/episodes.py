@@ -74,12 +74,14 @@ def pretrial_exposure(df: DataFrame, ends: DataFrame | None = None,
     """Snapshot rows of ended episodes taken strictly before the end day.
 
     The inner join on the episode keys carries the semi-join and the start-day
-    filter of C05; AQE broadcasts ``ends`` when it is small at run time and
-    splits a hot episode's partition otherwise.
+    filter of C05.  It is a shuffled hash join built on the episode table
+    (one row per episode): neither side is ever broadcast on a file-size
+    estimate -- compressed parquet understates the raw rows ~10x -- and AQE
+    splits the stream-side partition of a hot episode.
     """
     keys = list(keys)
     ends = ends if ends is not None else episode_end(df, keys, ts, status)
-    return (df.join(ends, keys, "inner")
+    return (df.join(ends.hint("shuffle_hash"), keys, "inner")
               .filter(F.to_date(F.col(ts)) < F.col("end_pretrial")))
 
 

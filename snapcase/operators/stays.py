@@ -102,13 +102,14 @@ def initial_and_final_charges(df: DataFrame, keys: Sequence[str] = BOOKING, ts:
     and at their last (release) (Q07); every row of a tied day counts.
 
     First/last times come from one aggregation joined back on the episode
-    keys (AQE splits a hot episode), not from a window over whole episodes.
+    keys (shuffled hash join built on the per-episode side; AQE splits a hot
+    episode), not from a window over whole episodes.
     Output: ``charge_group, at_booking, at_release``.
     """
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     rows = df.select(*keys, ts, F.coalesce(F.col(item), F.lit(missing)).alias("charge_group")) \
-             .join(span, keys)
+             .join(span.hint("shuffle_hash"), keys)
     rows = rows.select(*keys, "charge_group",
                        (F.col(ts) == F.col("_first")).cast("int").alias("_b"),
                        (F.col(ts) == F.col("_last")).cast("int").alias("_r")) \

@@ -46,3 +46,14 @@ def test_scan_reads_only_needed_columns(spark):
     plan = _plan(ep.episode_end(cases(spark, SF)))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert schemas and all("Charge:" not in s and "Gender" not in s for s in schemas)
+
+
+@pytest.mark.parametrize("name", ["pretrial_exposure", "profile_period_shares",
+                                  "initial_and_final_charges", "item_pair_contingency"])
+def test_growing_sides_are_never_broadcast(spark, name):
+    plan = _plan(queries()[name](spark, "/root/testdata/sf0.01"))
+    # every broadcast in these plans must be of a parameter-sized table
+    for block in plan.split("BroadcastExchange")[1:]:
+        head = block.split("\n")[1:6]
+        assert not any("FileScan parquet" in line and "case_table" in line for line in head), name
+    assert "ShuffledHashJoin" in plan
