@@ -7,7 +7,9 @@ independent of the Spark plan, so a wrong rewrite shows up as a mismatch.
 
 from __future__ import annotations
 
-from snapcase.functions.stats import _ERFC_COEF
+import math
+
+from snapcase.functions.stats import FPMIN, GAMMA_STEPS
 from snapcase.functions.text import WORD_TOKEN
 from snapcase.operators.profile import MONTHS
 from snapcase.plans import params as P
@@ -141,12 +143,28 @@ def periods_cte(periods=P.PERIODS) -> str:
     return f"periods(name, p_start, p_end) AS (VALUES {rows})"
 
 
-def erfc_sql(z: str) -> str:
-    t = f"(1.0 / (1.0 + 0.5 * ({z})))"
-    poly = repr(_ERFC_COEF[-1])
-    for c in reversed(_ERFC_COEF[:-1]):
-        poly = f"({c!r} + {t} * {poly})"
-    return f"({t} * exp(-(({z}) * ({z})) + {poly}))"
+def gamma_q_half_sql(z: str) -> str:
+    """Q(1/2, z) with the same folds as :func:`snapcase.functions.stats.gamma_q_half`."""
+    z = f"({z})"
+    pre = f"(sqrt({z}) * exp(-{z}) / {math.sqrt(math.pi)!r})"
+    steps = f"range(1, {GAMMA_STEPS + 1})"
+    series = (f"list_reduce({steps}, lambda acc, i: struct_pack(ap := acc.ap + 1.0, "
+              f"de := acc.de * {z} / (acc.ap + 1.0), s := acc.s + acc.de * {z} / (acc.ap + 1.0)), "
+              "struct_pack(ap := CAST(0.5 AS DOUBLE), de := CAST(2.0 AS DOUBLE), "
+              "s := CAST(2.0 AS DOUBLE))).s")
+    an = "(-(i * (i - 0.5)))"
+    b2 = "(acc.b + 2.0)"
+
+    def guard(x):
+        return f"(CASE WHEN abs({x}) < {FPMIN!r} THEN CAST({FPMIN!r} AS DOUBLE) ELSE {x} END)"
+    d = guard(f"({an} * acc.d + {b2})")
+    c = guard(f"({b2} + {an} / acc.c)")
+    b0 = f"CAST({z} + 0.5 AS DOUBLE)"
+    cf = (f"list_reduce({steps}, lambda acc, i: struct_pack(b := {b2}, c := {c}, "
+          f"d := 1.0 / {d}, h := acc.h * (1.0 / {d}) * {c}), "
+          f"struct_pack(b := {b0}, c := CAST({1.0 / FPMIN!r} AS DOUBLE), d := 1.0 / {b0}, "
+          f"h := 1.0 / {b0})).h")
+    return f"(CASE WHEN {z} < 1.5 THEN 1.0 - {series} * {pre} ELSE {pre} * {cf} END)"
 
 
 # ---- scans and episodes -------------------------------------------------

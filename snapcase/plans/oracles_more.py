@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from snapcase.functions.stats import CHISQ1_95, Z_975
 from snapcase.plans import params as P
-from snapcase.plans.oracles import (CASES_CTE, erfc_sql, in_list, oracle, pivot_sql, q,
+from snapcase.plans.oracles import (CASES_CTE, gamma_q_half_sql, in_list, oracle, pivot_sql, q,
                                     sentence_sql, with_ctes)
 from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES
 
@@ -156,11 +156,11 @@ def _p_sql(x: str, df: int) -> str:
     if df == 0:
         return "CAST(1.0 AS DOUBLE)"
     if df == 1:
-        return _unit_sql(erfc_sql(f"sqrt({half})"))
+        return _unit_sql(gamma_q_half_sql(half))
     if df == 2:
         return f"exp(-{half})"
     if df == 3:
-        return _unit_sql(f"({erfc_sql(f'sqrt({half})')} + sqrt(2.0 * ({x}) / pi()) * exp(-{half}))")
+        return _unit_sql(f"({gamma_q_half_sql(half)} + sqrt(2.0 * ({x}) / pi()) * exp(-{half}))")
     return f"(exp(-{half}) * (1.0 + {half}))"
 
 
@@ -258,7 +258,7 @@ def _chi2_sql() -> str:
 
 V_CTES = PAIR_CTES + (
     f"chi AS (SELECT *, {_chi2_sql()} AS chi2 FROM pairs)",
-    f"""v AS (SELECT *, {_unit_sql(erfc_sql('sqrt(chi2 / 2.0)'))} AS p_value,
+    f"""v AS (SELECT *, {_unit_sql(gamma_q_half_sql('chi2 / 2.0'))} AS p_value,
         CASE WHEN chi2 > {CHISQ1_95!r} THEN sqrt(chi2 / CAST(n AS DOUBLE)) END AS cramers_v FROM chi)""",
 )
 

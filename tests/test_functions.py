@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from snapcase.functions.bins import cut_bins, interval_to_range_label
-from snapcase.functions.stats import chisq_upper_p, erfc, yates_chisq
+from snapcase.functions.stats import chisq_upper_p, gamma_q_half, yates_chisq
 from snapcase.functions.text import percent_text, sentence_case, title_case
 
 
@@ -45,23 +45,24 @@ def test_percent_text_half_up(spark):
     assert _one(spark, lambda x: percent_text(x, 1), [0.0125], "double") == ["1.3%"]
 
 
-def test_erfc_accuracy(spark):
-    zs = [0.0, 0.1, 0.5, 1.0, 1.5, 2.0, 3.0, 4.5]
-    got = _one(spark, erfc, zs, "double")
+def test_gamma_q_half_is_erfc(spark):
+    zs = [0.0, 1e-9, 0.01, 0.5, 1.0, 1.4999, 1.5, 2.0, 9.0, 40.0, 300.0]
+    got = _one(spark, gamma_q_half, zs, "double")
     for z, g in zip(zs, got):
-        assert abs(g - math.erfc(z)) <= 1.2e-7 * math.erfc(z) + 1e-300
+        ref = math.erfc(math.sqrt(z))
+        assert abs(g - ref) <= 1e-12 * ref + 1e-300, (z, g, ref)
 
 
 def test_chisq_upper_tail_closed_forms(spark):
     xs = [0.5, 3.841458820694124, 10.0]
     p1 = _one(spark, lambda x: chisq_upper_p(x, 1), xs, "double")
-    assert abs(p1[1] - 0.05) < 1e-6
+    assert abs(p1[1] - 0.05) < 1e-13
     for df, ref in ((2, lambda x: math.exp(-x / 2)), (4, lambda x: math.exp(-x / 2) * (1 + x / 2))):
         got = _one(spark, lambda x: chisq_upper_p(x, df), xs, "double")
         for x, g in zip(xs, got):
             assert abs(g - ref(x)) < 1e-12
     p3 = _one(spark, lambda x: chisq_upper_p(x, 3), [7.814727903251178], "double")
-    assert abs(p3[0] - 0.05) < 1e-6
+    assert abs(p3[0] - 0.05) < 1e-13
 
 
 def test_yates_matches_cell_by_cell(spark):
