@@ -25,6 +25,11 @@ MODELS = (("independence", 4), ("joint_dt_r", 3), ("conditional_dt_dr", 2),
 CELLS = [(r, d, t) for r in (0, 1) for d in (0, 1) for t in (0, 1)]
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Division that yields NULL for an empty margin (ANSI mode would fail)."""
+    return F.try_divide(a, b)
+
+
 def _idx(r: int, d: int, t: int) -> int:
     return r * 4 + d * 2 + t
 
@@ -80,7 +85,7 @@ def _ipf_step(m: Column, step: Column, dt, rd, rt) -> Column:
             key = key_of(r, d, t)
             partners = [c for c in CELLS if key_of(*c) == key]
             fitted = _sum([m[_idx(*c)] for c in partners])
-            out.append(m[_idx(r, d, t)] * target[key] / fitted)
+            out.append(_div(m[_idx(r, d, t)] * target[key], fitted))
         return F.array(*out)
     phase = step % 3
     return (F.when(phase == 0, fit(dt, lambda r, d, t: (d, t)))
@@ -95,9 +100,10 @@ def homogeneous_fit(cycles: int, dt, rd, rt) -> Column:
 
 
 def _stats(n, fitted: list[Column]):
-    g2 = _sum([F.when(n[k] > 0, n[k] * F.log(n[k] / fitted[i])).otherwise(F.lit(0.0))
+    g2 = _sum([F.when(n[k] > 0, n[k] * F.log(_div(n[k], fitted[i]))).otherwise(F.lit(0.0))
                for i, k in enumerate(CELLS)]) * F.lit(2.0)
-    x2 = _sum([(n[k] - fitted[i]) * (n[k] - fitted[i]) / fitted[i] for i, k in enumerate(CELLS)])
+    x2 = _sum([_div((n[k] - fitted[i]) * (n[k] - fitted[i]), fitted[i])
+               for i, k in enumerate(CELLS)])
     return g2, x2
 
 
@@ -110,10 +116,10 @@ def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str]
     cells = _with_margins(cell_sums(flags, races, strata))
     n, N, dt, rd, rt, r1, d1, t1 = _margins()
     closed = {
-        "independence": [r1[r] * d1[d] * t1[t] / (N * N) for (r, d, t) in CELLS],
-        "joint_dt_r": [dt[(d, t)] * r1[r] / N for (r, d, t) in CELLS],
-        "conditional_dt_dr": [dt[(d, t)] * rd[(r, d)] / d1[d] for (r, d, t) in CELLS],
-        "conditional_dt_tr": [dt[(d, t)] * rt[(r, t)] / t1[t] for (r, d, t) in CELLS],
+        "independence": [_div(r1[r] * d1[d] * t1[t], N * N) for (r, d, t) in CELLS],
+        "joint_dt_r": [_div(dt[(d, t)] * r1[r], N) for (r, d, t) in CELLS],
+        "conditional_dt_dr": [_div(dt[(d, t)] * rd[(r, d)], d1[d]) for (r, d, t) in CELLS],
+        "conditional_dt_tr": [_div(dt[(d, t)] * rt[(r, t)], t1[t]) for (r, d, t) in CELLS],
         "saturated": [n[k] for k in CELLS],
     }
     staged = cells.withColumn("_homog", homogeneous_fit(cycles, dt, rd, rt))

@@ -166,8 +166,8 @@ def population_compare(reference: DataFrame, cases: DataFrame) -> DataFrame:
     w = Window.partitionBy("Race", "Group")
     total = F.sum("Value").over(w)
     long = long.withColumn("Total", total.cast("long")) \
-               .withColumn("Proportion", F.lit(100.0) * F.col("Value").cast("double")
-                           / F.col("Total").cast("double"))
+               .withColumn("Proportion", F.try_divide(F.lit(100.0) * F.col("Value").cast("double"),
+                                                      F.col("Total").cast("double")))
     male = F.col("Gender") == "Male"
     return long.select(
         "Age", "Gender", "Race", "Group",
@@ -184,8 +184,8 @@ def group_composition(pyramid: DataFrame, labels: dict[str, str] | None = None)
     w = Window.partitionBy("Group")
     return per_race.select(
         "Race", recode_values(F.col("Group"), labels).alias("Group"), "Total",
-        (F.lit(100.0) * F.col("Total").cast("double")
-         / F.sum("Total").over(w).cast("double")).alias("Proportion"))
+        F.try_divide(F.lit(100.0) * F.col("Total").cast("double"),
+                     F.sum("Total").over(w).cast("double")).alias("Proportion"))
 
 
 def actual_vs_expected(pyramid: DataFrame, observed: str = "lmdc",
@@ -198,9 +198,9 @@ def actual_vs_expected(pyramid: DataFrame, observed: str = "lmdc",
     # One row per race: a window over the whole (tiny) table gives the totals
     # without re-running the two populations for a scalar subquery.
     w = Window.partitionBy()
-    share = F.col("ref").cast("double") / F.sum("ref").over(w).cast("double")
+    share = F.try_divide(F.col("ref").cast("double"), F.sum("ref").over(w).cast("double"))
     expected = F.sum("observed").over(w).cast("double") * share
     return per_race.select("Race", "observed", share.alias("reference_share"),
                            expected.alias("expected")) \
                    .withColumn("difference", F.col("observed") - F.col("expected")) \
-                   .withColumn("ratio", F.col("observed") / F.col("expected"))
+                   .withColumn("ratio", F.try_divide(F.col("observed"), F.col("expected")))

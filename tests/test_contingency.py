@@ -74,3 +74,13 @@ def test_loglinear_strata(spark):
     flags = _flags(spark).withColumn("s", (ct.F.col("BookingNumber") % 2).cast("int"))
     out = loglinear_fit(flags, (P.RACE_A, P.RACE_B), strata=["s"]).collect()
     assert sorted({r.s for r in out}) == [0, 1] and len(out) == 12
+
+
+def test_empty_margin_gives_null_not_an_error(spark):
+    # no episode has a drug charge: the drugs=Yes margin is empty
+    flags = spark.createDataFrame([("B", "No", "Yes", "No"), ("W", "No", "No", "No"),
+                                   ("B", "No", "No", "No"), ("W", "No", "Yes", "No")] * 3,
+                                  "race string, drugs string, traffic string, other string")
+    fit = {r.model: r for r in loglinear_fit(flags, RACES).collect()}
+    assert fit["conditional_dt_dr"].g2 is None or fit["conditional_dt_dr"].g2 >= 0
+    assert fit["saturated"].g2 == 0.0
