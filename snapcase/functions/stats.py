@@ -78,6 +78,21 @@ def chisq_upper_p(x: Column, df: int) -> Column:
     raise ValueError("closed forms exist for df 0..4 only")
 
 
+def chisq_upper_p_by_df(x: Column, df: Column) -> Column:
+    """:func:`chisq_upper_p` with the degrees of freedom (0..4) in a column.
+
+    The incomplete-gamma fold is built once and shared by df 1 and df 3.
+    """
+    half = x / _lit(2.0)
+    q = gamma_q_half(half)
+    e = F.exp(-half)
+    return (F.when(df == 0, _lit(1.0))
+             .when(df == 1, _unit(q))
+             .when(df == 2, e)
+             .when(df == 3, _unit(q + F.sqrt(_lit(2.0) * x / _lit(math.pi)) * e))
+             .when(df == 4, e * (_lit(1.0) + half)))
+
+
 def yates_chisq(n11: Column, mx: Column, my: Column, n: Column) -> Column:
     """Continuity-corrected chi-square of a 2x2 table from one cell and margins.
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapcase.functions.stats import chisq_upper_p
+from snapcase.functions.stats import chisq_upper_p_by_df
 from snapcase.operators.contingency import _cell, cell_sums
 
 # Model name, degrees of freedom (2x2x2 table).
@@ -99,19 +99,13 @@ def homogeneous_fit(cycles: int, dt, rd, rt) -> Column:
                        lambda m, i: _ipf_step(m, i, dt, rd, rt))
 
 
-def _stats(n, fitted: list[Column]):
-    g2 = _sum([F.when(n[k] > 0, n[k] * F.log(_div(n[k], fitted[i]))).otherwise(F.lit(0.0))
-               for i, k in enumerate(CELLS)]) * F.lit(2.0)
-    x2 = _sum([_div((n[k] - fitted[i]) * (n[k] - fitted[i]), fitted[i])
-               for i, k in enumerate(CELLS)])
-    return g2, x2
-
-
 def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str] = (),
                   cycles: int = 25) -> DataFrame:
     """G2, Pearson X2, df and upper-tail p for the six models, per stratum.
 
-    Output: ``strata, model, df, g2, x2, p_g2, p_x2``.
+    Output: ``strata, model, df, g2, x2, p_g2, p_x2``.  The table goes long
+    first -- one row per (stratum, model) holding the observed and fitted
+    cells as arrays -- so each statistic is one expression, not one per model.
     """
     cells = _with_margins(cell_sums(flags, races, strata))
     n, N, dt, rd, rt, r1, d1, t1 = _margins()
@@ -123,25 +117,19 @@ def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str]
         "saturated": [n[k] for k in CELLS],
     }
     staged = cells.withColumn("_homog", homogeneous_fit(cycles, dt, rd, rt))
-    fits = {}
-    for name, _ in MODELS:
-        if name == "homogeneous":
-            fitted = [F.col("_homog")[i] for i in range(len(CELLS))]
-        else:
-            fitted = closed[name]
-        fits.update({f"f_{name}_{i}": e for i, e in enumerate(fitted)})
-    staged = staged.withColumns(fits)
-    stats = {}
-    for name, _ in MODELS:
-        g2, x2 = _stats(n, [F.col(f"f_{name}_{i}") for i in range(len(CELLS))])
-        stats[f"g2_{name}"] = g2
-        stats[f"x2_{name}"] = x2
-    staged = staged.withColumns(stats)
-    rows = []
+    models = []
     for name, df_ in MODELS:
-        g2, x2 = F.col(f"g2_{name}"), F.col(f"x2_{name}")
-        rows.append(F.struct(F.lit(name).alias("model"), F.lit(df_).alias("df"),
-                             g2.alias("g2"), x2.alias("x2"),
-                             chisq_upper_p(g2, df_).alias("p_g2"),
-                             chisq_upper_p(x2, df_).alias("p_x2")))
-    return staged.select(*strata, F.inline(F.array(*rows)))
+        fitted = F.col("_homog") if name == "homogeneous" else F.array(*closed[name])
+        models.append(F.struct(F.lit(name).alias("model"), F.lit(df_).alias("df"),
+                               fitted.alias("_fit")))
+    long = staged.select(*strata, F.array(*[n[k] for k in CELLS]).alias("_obs"),
+                         F.inline(F.array(*models)))
+    g2 = F.aggregate(F.zip_with("_obs", "_fit", lambda o, f: F.when(
+        o > 0, o * F.log(_div(o, f))).otherwise(F.lit(0.0))), F.lit(0.0),
+        lambda a, b: a + b) * F.lit(2.0)
+    x2 = F.aggregate(F.zip_with("_obs", "_fit", lambda o, f: _div((o - f) * (o - f), f)),
+                     F.lit(0.0), lambda a, b: a + b)
+    stats = long.select(*strata, "model", "df", g2.alias("g2"), x2.alias("x2"))
+    return stats.select(*strata, "model", "df", "g2", "x2",
+                        chisq_upper_p_by_df(F.col("g2"), F.col("df")).alias("p_g2"),
+                        chisq_upper_p_by_df(F.col("x2"), F.col("df")).alias("p_x2"))
