@@ -114,7 +114,7 @@ def cases(spark: SparkSession, sf_dir: str, bad: dict | None = None) -> DataFram
     return drop_bad_values(base, bad)
 
 
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 _LOCK = threading.Lock()
 
 
@@ -153,16 +153,17 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snapcase.session import results_path
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _stamp(sf_dir))
     with _LOCK:
-        path = _WRITTEN.get(key)
-        if path is None:
+        table = _WRITTEN.get(key)
+        if table is None:
             path = results_path(spark, f"case_table/{key[2]}-{key[0]}")
             (case_view(spark, sf_dir)
              # The booking number splits a hot snapshot day across files.
              .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime", "BookingNumber")
              .sortWithinPartitions("SnapshotDateTime", "BookingNumber")
              .write.mode("overwrite").parquet(path))
-            _WRITTEN[key] = path
-    return spark.read.parquet(path)
+            # One reader per session: the footers are read once, not per query.
+            table = _WRITTEN[key] = spark.read.parquet(path)
+    return table
 
 
 def _nullif(col: Column, value: str) -> Column:
