@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from snapcase.functions.bins import cut_bins, interval_to_range_label
 from snapcase.operators.episodes import BOOKING, TS, first_per_group, pretrial_rowlevel
 from snapcase.operators.recode import recode_values
+from snapcase.session import shared_dir
 
 # Detail filters and race labels of the published comparison.
 DROP_AGES = ("All ages", "Age 0 to 4 years", "Age 5 to 9 years", "Age 10 to 14 years",
@@ -109,9 +110,12 @@ def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n",
     keeps it; matched null-safe).
     """
     dims = list(dims)
-    counts = df.groupBy(*dims).agg(F.count(F.lit(1)).alias(name))
-    # The grid is the answer (product of level counts); check its size on
-    # the aggregated counts before one row gathers the level lists.
+    # The aggregated counts feed the size check, the level lists and the final
+    # join: checkpoint them (small) so the upstream chain runs once.
+    shared_dir(df.sparkSession)
+    counts = df.groupBy(*dims).agg(F.count(F.lit(1)).alias(name)).checkpoint(eager=True)
+    # The grid is the answer (product of level counts): check its size with
+    # distinct counts before one row gathers the level lists.
     sizes = counts.agg(*[F.count_distinct(F.struct(F.col(d).alias("v"))).alias(d)
                          for d in dims]).first()
     cells = 1
