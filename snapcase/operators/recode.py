@@ -52,12 +52,21 @@ def recode_group(df: DataFrame, rules, key: str = "Charge", target: str = "Charg
     return out.drop("_recode") if isinstance(rules, DataFrame) else out
 
 
-def short_names(df: DataFrame, dim: DataFrame, col: str = "ChargeGroup",
+def short_names(df: DataFrame, dim, col: str = "ChargeGroup",
                 out: str = "ChargeGroupShort", dim_key: str = "ChargeGroup",
                 dim_value: str = "ChargeGroupShort") -> DataFrame:
     """Attach the short display name of a category, falling back to the
-    long name (C03).  ``dim`` is a lookup table; Spark broadcasts it when its
-    measured size is under the broadcast threshold (65 rows by default)."""
+    long name (C03).
+
+    ``dim`` as a list of (long, short) pairs becomes a literal map lookup in
+    the generated code -- no join, so no shuffle on a low-cardinality key
+    where one category may hold a third of the rows.  A DataFrame ``dim`` is
+    left-joined; Spark broadcasts it when its measured size allows.
+    """
+    if not isinstance(dim, DataFrame):
+        m = rules_map(dim)
+        short = m[F.col(col)] if m is not None else F.lit(None).cast("string")
+        return df.withColumn(out, F.coalesce(short, F.col(col)))
     d = dim.select(F.col(dim_key).alias("_k"), F.col(dim_value).alias("_short"))
     return (df.join(d, F.col(col) == F.col("_k"), "left")
               .withColumn(out, F.coalesce(F.col("_short"), F.col(col)))

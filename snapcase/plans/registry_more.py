@@ -12,7 +12,7 @@ from snapcase.operators import recode as rc
 from snapcase.operators.loglinear import loglinear_fit
 from snapcase.plans import params as P
 from snapcase.plans.registry import register
-from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES, category_dimension
+from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES
 from snapcase.sources.snapshots import cases
 
 # Outputs that pass through exp/log are compared at this many decimals.
@@ -33,8 +33,7 @@ def q_recode_group(spark, sf):
 
 @register("group_short_name")
 def q_group_short_name(spark, sf):
-    dim = category_dimension(spark, list(CATEGORY_SHORT_NAMES) + list(P.SHORT_NAMES))
-    df = rc.short_names(cases(spark, sf), dim)
+    df = rc.short_names(cases(spark, sf), list(CATEGORY_SHORT_NAMES) + list(P.SHORT_NAMES))
     return df.groupBy("ChargeGroup", "ChargeGroupShort").agg(F.count(F.lit(1)).alias("n"))
 
 

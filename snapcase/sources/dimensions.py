@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 # Category name -> short display name, in the order published
 # with the original analysis (65 rows).
@@ -77,16 +77,17 @@ CATEGORY_SHORT_NAMES = [
     ("FELONY OTHER", "FEL OTHER"),
 ]
 
-_DIM_SCHEMA = T.StructType([
-    T.StructField("ChargeGroup", T.StringType(), False),
-    T.StructField("ChargeGroupShort", T.StringType(), False),
-])
-
 
 def category_dimension(spark: SparkSession, rows=None) -> DataFrame:
-    """Long -> short category names as a DataFrame (65 rows unless given)."""
-    return spark.createDataFrame(list(rows if rows is not None else CATEGORY_SHORT_NAMES),
-                                 _DIM_SCHEMA)
+    """Long -> short category names as a DataFrame (65 rows unless given).
+
+    Built JVM-side from literals (``inline`` over one row), so the planner
+    knows its size; a Python-list DataFrame would be an opaque RDD scan.
+    """
+    rows = list(rows if rows is not None else CATEGORY_SHORT_NAMES)
+    structs = [F.struct(F.lit(a).alias("ChargeGroup"), F.lit(b).alias("ChargeGroupShort"))
+               for a, b in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def period(name: str, start: str, end: str) -> tuple[str, dt.date, dt.date]:

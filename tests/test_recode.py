@@ -34,3 +34,14 @@ def test_short_names_fall_back_to_long(spark):
     got = {r.BookingNumber: r.ChargeGroupShort
            for r in short_names(df, category_dimension(spark)).collect()}
     assert got == {1: "DV PRO. ORD.", 2: "UNLISTED"}
+    as_map = {r.BookingNumber: r.ChargeGroupShort
+              for r in short_names(df, CATEGORY_SHORT_NAMES).collect()}
+    assert as_map == got
+
+
+def test_dimension_is_sized_and_broadcast(spark):
+    df = snap(spark, [row(1, "2020-01-02", "2020-01-03", grp="DRUGS")])
+    plan = short_names(df, category_dimension(spark))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
