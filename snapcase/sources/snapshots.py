@@ -157,8 +157,10 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         if table is None:
             path = results_path(spark, f"case_table/{key[2]}-{key[0]}")
             (case_view(spark, sf_dir)
-             # The booking number splits a hot snapshot day across files.
-             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime", "BookingNumber")
+             # Booking number, then a deterministic row hash, split a hot
+             # snapshot day (or a hot booking-day) across files.
+             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime", "BookingNumber",
+                                 F.xxhash64("Charge", "ChargeDisposition", "ChargeCategory"))
              .sortWithinPartitions("SnapshotDateTime", "BookingNumber")
              .write.mode("overwrite").parquet(path))
             # One reader per session: the footers are read once, not per query.
