@@ -46,7 +46,7 @@ def not_in(col: Column, values: Sequence[str]) -> Column:
 def population_filter(pop: DataFrame, origin: str = "Non-Hispanic",
                       drop_ages: Sequence[str] = DROP_AGES,
                       drop_races: Sequence[str] = DROP_RACES,
-                      recode: dict[str, str] | None = None, value_name: str = "jeff") -> DataFrame:
+                      recode: dict[str, str] | None = None, value_name: str = "ref_count") -> DataFrame:
     """Detail rows of one origin, race labels recoded.
 
     Output: ``Race, Age, Gender, <value_name>``.
@@ -73,7 +73,7 @@ def merge_categories(df: DataFrame, col: str, members: Sequence[str], label: str
 def marginal_category(pop: DataFrame, origin: str = "Hispanic", label: str | None = None,
                       drop_ages: Sequence[str] = DROP_AGES,
                       drop_races: Sequence[str] = DROP_RACES,
-                      value_name: str = "jeff") -> DataFrame:
+                      value_name: str = "ref_count") -> DataFrame:
     """A race-like category built from the origin dimension: detail rows of
     ``origin`` summed over race per (age, gender) (C30)."""
     rows = pop.filter((F.col("HISP") == origin) & not_in(F.col("AGEGROUP"), drop_ages)
@@ -91,7 +91,7 @@ def reference_population(pop: DataFrame, recode: dict[str, str] | None = None,
                          origin_label: str | None = None) -> DataFrame:
     """C28 + C29 + C30, ages relabelled ``Age 20 to 24 years`` -> ``20 to 24``."""
     detail = population_filter(pop, recode=recode)
-    merged = merge_categories(detail, "Race", merge[0], merge[1], "jeff")
+    merged = merge_categories(detail, "Race", merge[0], merge[1], "ref_count")
     out = merged.unionByName(marginal_category(pop, label=origin_label))
     return out.withColumn("Age", F.regexp_replace("Age", "Age | years", ""))
 
@@ -152,12 +152,12 @@ def relabel_case_ages(counts: DataFrame, drop_band: str = "15 to 19",
                       old_bands: Sequence[str] = OLD_AGES, old_label: str = "85 and older",
                       genders: dict[str, str] | None = None) -> DataFrame:
     """Interval labels -> ``20 to 24``, one band dropped, old bands merged,
-    gender codes spelled out.  Output ``Race, Gender, Age, lmdc``."""
+    gender codes spelled out.  Output ``Race, Gender, Age, case_count``."""
     genders = GENDER_NAMES if genders is None else genders
     out = counts.withColumn("Age", interval_to_range_label(F.col("Age")))
-    out = out.filter(F.col("Age") != drop_band).withColumnRenamed("n", "lmdc")
-    out = merge_categories(out.select("Race", "Gender", "Age", "lmdc"), "Age", old_bands,
-                           old_label, "lmdc")
+    out = out.filter(F.col("Age") != drop_band).withColumnRenamed("n", "case_count")
+    out = merge_categories(out.select("Race", "Gender", "Age", "case_count"), "Age", old_bands,
+                           old_label, "case_count")
     return out.withColumn("Gender", recode_values(F.col("Gender"), genders))
 
 
@@ -166,7 +166,9 @@ def population_compare(reference: DataFrame, cases: DataFrame) -> DataFrame:
     population, ``Proportion`` = 100 * value / race total of that population;
     male values negated."""
     joined = reference.join(cases, ["Age", "Gender", "Race"], "inner")
-    long = joined.unpivot(["Age", "Gender", "Race"], ["jeff", "lmdc"], "Group", "Value")
+    long = joined.select("Age", "Gender", "Race", F.col("ref_count").alias("reference"),
+                         F.col("case_count").alias("cases")) \
+                 .unpivot(["Age", "Gender", "Race"], ["reference", "cases"], "Group", "Value")
     w = Window.partitionBy("Race", "Group")
     total = F.sum("Value").over(w)
     long = long.withColumn("Total", total.cast("long")) \
@@ -182,7 +184,8 @@ def population_compare(reference: DataFrame, cases: DataFrame) -> DataFrame:
 
 def group_composition(pyramid: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Race share of each population in percent."""
-    labels = {"jeff": "Jefferson County", "lmdc": "LMDC"} if labels is None else labels
+    labels = ({"reference": "Reference population", "cases": "Case population"}
+              if labels is None else labels)
     per_race = pyramid.groupBy("Race", "Group").agg(
         F.sum(F.abs(F.col("Value"))).cast("long").alias("Total"))
     w = Window.partitionBy("Group")
@@ -192,8 +195,8 @@ def group_composition(pyramid: DataFrame, labels: dict[str, str] | None = None)
                      F.sum("Total").over(w).cast("double")).alias("Proportion"))
 
 
-def actual_vs_expected(pyramid: DataFrame, observed: str = "lmdc",
-                       reference: str = "jeff") -> DataFrame:
+def actual_vs_expected(pyramid: DataFrame, observed: str = "cases",
+                       reference: str = "reference") -> DataFrame:
     """Observed case counts per race against the count expected from the
     reference population's race shares (Q04)."""
     per_race = pyramid.groupBy("Race").agg(

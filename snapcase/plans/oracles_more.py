@@ -329,19 +329,19 @@ _DETAIL_WHERE = (f"(AGEGROUP IS NULL OR AGEGROUP NOT IN {in_list(DROP_AGES)}) "
                  f"AND (RACE IS NULL OR RACE NOT IN {in_list(DROP_RACES)}) AND SEX <> 'Both sexes'")
 _RECODE = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in P.POP_RACE_RECODE.items())
 DETAIL_CTE = (f"""detail AS (SELECT CASE RACE {_RECODE} ELSE RACE END AS Race, AGEGROUP AS Age,
-      SEX AS Gender, value AS jeff FROM pop WHERE HISP = 'Non-Hispanic' AND {_DETAIL_WHERE})""")
+      SEX AS Gender, value AS ref_count FROM pop WHERE HISP = 'Non-Hispanic' AND {_DETAIL_WHERE})""")
 _MEMBERS = in_list(P.POP_MERGE[0])
 MERGED_CTE = f"""merged AS (
-    SELECT Race, Age, Gender, jeff FROM detail WHERE Race IS NULL OR Race NOT IN {_MEMBERS}
+    SELECT Race, Age, Gender, ref_count FROM detail WHERE Race IS NULL OR Race NOT IN {_MEMBERS}
     UNION ALL
-    SELECT {q(P.POP_MERGE[1])} AS Race, Age, Gender, CAST(sum(jeff) AS BIGINT) AS jeff
+    SELECT {q(P.POP_MERGE[1])} AS Race, Age, Gender, CAST(sum(ref_count) AS BIGINT) AS ref_count
     FROM detail WHERE Race IN {_MEMBERS} GROUP BY Age, Gender)"""
 REF_CTE = f"""reference AS (
-    SELECT Race, regexp_replace(Age, 'Age | years', '', 'g') AS Age, Gender, jeff FROM (
+    SELECT Race, regexp_replace(Age, 'Age | years', '', 'g') AS Age, Gender, ref_count FROM (
       SELECT * FROM merged
       UNION ALL
       SELECT {q(P.POP_ORIGIN_LABEL)} AS Race, AGEGROUP AS Age, SEX AS Gender,
-             CAST(sum(value) AS BIGINT) AS jeff
+             CAST(sum(value) AS BIGINT) AS ref_count
       FROM pop WHERE HISP = 'Hispanic' AND {_DETAIL_WHERE} GROUP BY AGEGROUP, SEX))"""
 
 oracle("population_filter", with_ctes(*POP_CTES, DETAIL_CTE, body="SELECT * FROM detail"))
@@ -365,16 +365,16 @@ CASE_SIDE_CTES = (
                        AND g.Age IS NOT DISTINCT FROM o.Age)""",
     r"""relabelled AS (SELECT Race, Gender,
           split_part(s, ',', 1) || ' to ' || CAST(CAST(split_part(s, ',', 2) AS INT) - 1 AS VARCHAR) AS Age,
-          n AS lmdc
+          n AS case_count
         FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(Age, '\[|\)|\]', '', 'g'),
                                                       '^ ', ''), ', ', ',', 'g') AS s FROM complete))""",
     """case_side AS (
         SELECT Race, CASE Gender WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' ELSE Gender END AS Gender,
-               Age, lmdc FROM (
-          SELECT Race, Gender, Age, lmdc FROM relabelled
+               Age, case_count FROM (
+          SELECT Race, Gender, Age, case_count FROM relabelled
           WHERE Age <> '15 to 19' AND Age NOT IN ('85 to 89', '90 to 94', '95 to 99')
           UNION ALL
-          SELECT Race, Gender, '85 and older' AS Age, CAST(sum(lmdc) AS BIGINT) AS lmdc FROM relabelled
+          SELECT Race, Gender, '85 and older' AS Age, CAST(sum(case_count) AS BIGINT) AS case_count FROM relabelled
           WHERE Age IN ('85 to 89', '90 to 94', '95 to 99') GROUP BY Race, Gender))""",
 )
 oracle("count_complete", with_ctes(*CASE_SIDE_CTES[:5], body="SELECT * FROM complete"))
@@ -382,10 +382,10 @@ oracle("relabel_age", with_ctes(*CASE_SIDE_CTES, body="SELECT * FROM case_side")
 
 PYRAMID_CTES = (*POP_CTES, DETAIL_CTE, MERGED_CTE, REF_CTE, *CASE_SIDE_CTES, """
 pyramid_long AS (
-    SELECT Age, Gender, Race, 'jeff' AS "Group", jeff AS Value
+    SELECT Age, Gender, Race, 'reference' AS "Group", ref_count AS Value
     FROM reference JOIN case_side USING (Age, Gender, Race)
     UNION ALL
-    SELECT Age, Gender, Race, 'lmdc' AS "Group", lmdc AS Value
+    SELECT Age, Gender, Race, 'cases' AS "Group", case_count AS Value
     FROM reference JOIN case_side USING (Age, Gender, Race))""", """
 pyramid AS (
     SELECT Age, Gender, Race, "Group",
@@ -398,13 +398,13 @@ pyramid AS (
     FROM pyramid_long)""")
 oracle("population_compare", with_ctes(*PYRAMID_CTES, body="SELECT * FROM pyramid"))
 oracle("group_composition", with_ctes(*PYRAMID_CTES, body="""
-SELECT Race, CASE "Group" WHEN 'jeff' THEN 'Jefferson County' WHEN 'lmdc' THEN 'LMDC' ELSE "Group" END AS "Group",
+SELECT Race, CASE "Group" WHEN 'reference' THEN 'Reference population' WHEN 'cases' THEN 'Case population' ELSE "Group" END AS "Group",
        Total, 100.0 * CAST(Total AS DOUBLE) / CAST(sum(Total) OVER (PARTITION BY "Group") AS DOUBLE) AS Proportion
 FROM (SELECT Race, "Group", CAST(sum(abs(Value)) AS BIGINT) AS Total FROM pyramid GROUP BY Race, "Group")"""))
 oracle("actual_vs_expected", with_ctes(*PYRAMID_CTES, """
 per_race AS (SELECT Race,
-      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'lmdc') AS BIGINT) AS observed,
-      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'jeff') AS BIGINT) AS ref
+      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'cases') AS BIGINT) AS observed,
+      CAST(sum(abs(Value)) FILTER (WHERE "Group" = 'reference') AS BIGINT) AS ref
     FROM pyramid GROUP BY Race)""", body="""
 SELECT Race, observed, reference_share, expected, observed - expected AS difference,
        observed / expected AS ratio

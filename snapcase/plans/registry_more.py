@@ -165,7 +165,7 @@ def q_population_filter(spark, sf):
 @register("merge_categories")
 def q_merge_categories(spark, sf):
     detail = pop.population_filter(population_estimates(spark, sf), recode=P.POP_RACE_RECODE)
-    return pop.merge_categories(detail, "Race", P.POP_MERGE[0], P.POP_MERGE[1], "jeff")
+    return pop.merge_categories(detail, "Race", P.POP_MERGE[0], P.POP_MERGE[1], "ref_count")
 
 
 @register("marginal_category")

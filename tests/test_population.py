@@ -10,9 +10,9 @@ def test_not_in_keeps_nulls(spark):
 
 def test_merge_categories_sums_members_only(spark):
     df = spark.createDataFrame([("A", "1", 2), ("P", "1", 3), ("W", "1", 5), ("A", "2", 1)],
-                               "Race string, Age string, jeff long")
-    got = sorted(tuple(r) for r in pop.merge_categories(df, "Race", ["A", "P"], "AP", "jeff")
-                 .select("Race", "Age", "jeff").collect())
+                               "Race string, Age string, ref_count long")
+    got = sorted(tuple(r) for r in pop.merge_categories(df, "Race", ["A", "P"], "AP", "ref_count")
+                 .select("Race", "Age", "ref_count").collect())
     assert got == [("AP", "1", 5), ("AP", "2", 1), ("W", "1", 5)]
 
 
@@ -26,13 +26,13 @@ def test_count_complete_zero_fill_with_null_level(spark):
 
 def test_population_compare_signs_and_shares(spark):
     ref = spark.createDataFrame([("R", "20 to 24", "Male", 10), ("R", "20 to 24", "Female", 30)],
-                                "Race string, Age string, Gender string, jeff long")
+                                "Race string, Age string, Gender string, ref_count long")
     cs = spark.createDataFrame([("R", "Male", "20 to 24", 1), ("R", "Female", "20 to 24", 3)],
-                               "Race string, Gender string, Age string, lmdc long")
+                               "Race string, Gender string, Age string, case_count long")
     rows = pop.population_compare(ref, cs).collect()
-    for grp in ("jeff", "lmdc"):
+    for grp in ("reference", "cases"):
         sel = [r for r in rows if r.Group == grp]
         assert abs(sum(abs(r.Proportion) for r in sel) - 100) < 1e-9
         assert all((r.Value < 0) == (r.Gender == "Male") for r in sel)
     comp = pop.group_composition(pop.population_compare(ref, cs)).collect()
-    assert {r.Group for r in comp} == {"Jefferson County", "LMDC"}
+    assert {r.Group for r in comp} == {"Reference population", "Case population"}
