@@ -44,11 +44,10 @@ def episode_end(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
     after the first snapshot day of all bookings that ever get one (a scalar
     over the whole table).  Output: ``keys + [end_pretrial]``.
 
-    Plan: an aggregation of the snapshot table to episode grain (partial
+    Plan: one aggregation of the snapshot table to episode grain (partial
     aggregation map-side, so a hot episode costs one row per task).  The
-    scalar runs it once more; in the result Catalyst pushes the start-day
-    test below the aggregation (it is on a grouping key), so rows of early
-    bookings are dropped before the shuffle.
+    scalar subquery and the result use the same aggregate and AQE reuses its
+    shuffle, so the rows are scanned once.
     """
     keys = list(keys)
     id_col = id_col or keys[0]
@@ -62,10 +61,12 @@ def episode_end(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
         F.min("_first_day").alias("_first_day"),
         F.max(F.col("end_pretrial").isNotNull().cast("int")).alias("_has"))
     first_day = per_id.filter(F.col("_has") == 1).agg(F.min("_first_day")).scalar()
-    return (per_episode
-            .filter(F.col("end_pretrial").isNotNull()
-                    & (F.to_date(F.col(start_col)) >= first_day))
-            .select(*keys, "end_pretrial"))
+    # Both predicates refer to aggregate outputs, so neither is pushed below
+    # the aggregation: the result and the scalar subquery then run the same
+    # episode aggregate and AQE reuses its shuffle (one pass over the rows).
+    keep = (F.col("end_pretrial").isNotNull() & (F.col("_first_day") <= F.col("end_pretrial"))
+            & ((F.to_date(F.col(start_col)) >= first_day) | F.col("end_pretrial").isNull()))
+    return per_episode.filter(keep).select(*keys, "end_pretrial")
 
 
 def pretrial_exposure(df: DataFrame, ends: DataFrame | None = None,
