@@ -57,3 +57,8 @@ def test_growing_sides_are_never_broadcast(spark, name):
         head = block.split("\n")[1:6]
         assert not any("FileScan parquet" in line and "case_table" in line for line in head), name
     assert "ShuffledHashJoin" in plan
+
+
+def test_episode_end_scans_once(spark):
+    # the scalar subquery and the result share the episode aggregate's shuffle
+    assert "ReusedExchange" in _plan(ep.episode_end(cases(spark, SF)))
