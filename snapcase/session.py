@@ -53,8 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="snapcase-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server reads spark.checkpoint.dir
+        return base
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
     return base
 
 
