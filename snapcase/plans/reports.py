@@ -86,11 +86,16 @@ def association(df: DataFrame, drug: str = DRUGS, traffic: str = TRAFFIC, races=
     }
 
 
-def population_pyramid(df: DataFrame, estimates: DataFrame,
-                       year: int = REPORT_YEAR) -> dict[str, DataFrame]:
+def population_pyramid(df: DataFrame, estimates: DataFrame, year: int = REPORT_YEAR,
+                       recode: dict[str, str] | None = None,
+                       merge=(("Asian alone", "Native Hawaiian and Other Pacific Islander alone"),
+                              "Asian or Pacific Islander"),
+                       origin_label: str | None = None,
+                       exclude=EXCLUDED_RACES) -> dict[str, DataFrame]:
     """Case population of ``year`` against the population estimates."""
-    reference = pop.reference_population(estimates)
-    cases = pop.relabel_case_ages(pop.case_population(df, year),
+    reference = pop.reference_population(estimates, recode=recode, merge=merge,
+                                         origin_label=origin_label)
+    cases = pop.relabel_case_ages(pop.case_population(df, year, exclude),
                                   old_bands=pop.OLD_AGES)
     pyramid = pop.population_compare(reference, cases)
     return {"pyramid": pyramid, "composition": pop.group_composition(pyramid),

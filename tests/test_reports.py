@@ -29,6 +29,14 @@ def test_population_report(spark):
     # default labels do not match the test segments: the join is empty but valid
     assert out["pyramid"].columns == ["Age", "Gender", "Race", "Group", "Value", "Total",
                                       "Proportion"]
+    mapped = rp.population_pyramid(cases(spark, SF), est, P.YEAR, recode=P.POP_RACE_RECODE,
+                                   merge=P.POP_MERGE, origin_label=P.POP_ORIGIN_LABEL,
+                                   exclude=P.CASE_EXCLUDED)
+    comp = mapped["composition"].collect()
+    for grp in {r.Group for r in comp}:
+        assert abs(sum(r.Proportion for r in comp if r.Group == grp) - 100) < 1e-9
+    ave = mapped["actual_vs_expected"].collect()
+    assert sum(r.observed for r in ave) == round(sum(r.expected for r in ave))
 
 
 def test_correction_rules_last_wins():
