@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcase.operators.episodes import BOOKING
@@ -16,19 +16,23 @@ def group_combinations_by_race(df: DataFrame, anchor: str = "DRUGS",
     """How often each other group appears in episodes that hold the anchor
     group, by race (Q05).
 
-    Distinct (episode, race, group) rows; episodes with the anchor are kept
-    by a semi join, so only one side of each pair is ever materialised.
+    Distinct (episode, race, group) rows -- at most one per group and
+    episode, so even a hot episode is a few dozen rows -- then a window over
+    the episode flags whether it holds the anchor.  No join against a table
+    that grows with the data, and only one side of each pair exists.
     Output: ``race, charge_group, episodes, anchor_episodes, share``.
     """
     keys = list(keys)
     eg = df.filter(F.col(group_col).isNotNull()) \
            .select(*keys, F.col(race_col).alias("race"), F.col(group_col).alias("charge_group")) \
            .distinct()
-    anchored = eg.filter(F.col("charge_group") == anchor).select(*keys, "race")
-    per_race = anchored.groupBy("race").agg(F.count(F.lit(1)).alias("anchor_episodes"))
-    combos = (eg.join(anchored, [*keys, "race"], "left_semi")
-                .filter(F.col("charge_group") != anchor)
-                .groupBy("race", "charge_group").agg(F.count(F.lit(1)).alias("episodes")))
+    w = Window.partitionBy(*keys, "race")
+    held = eg.withColumn("_anchor", F.max((F.col("charge_group") == anchor).cast("int")).over(w)) \
+             .filter(F.col("_anchor") == 1)
+    per_race = held.filter(F.col("charge_group") == anchor) \
+                   .groupBy("race").agg(F.count(F.lit(1)).alias("anchor_episodes"))
+    combos = (held.filter(F.col("charge_group") != anchor)
+                  .groupBy("race", "charge_group").agg(F.count(F.lit(1)).alias("episodes")))
     return (combos.join(per_race, "race")
                   .withColumn("share", F.col("episodes").cast("double")
                               / F.col("anchor_episodes").cast("double")))
