@@ -42,7 +42,10 @@ def pretrial_days(df: DataFrame, ends: DataFrame | None = None,
     attribute (Q01).  Output: ``dimension, level, bookings, total_days,
     mean_days``; the overall row has dimension ``All``."""
     ends = ends if ends is not None else episode_end(df)
-    stays = ends.join(episode_attributes(df), list(BOOKING)) \
+    # Both sides are episode tables, already hash-partitioned on the keys by
+    # their aggregations: a shuffled hash join adds no exchange and never
+    # broadcasts a table that grows with the data.
+    stays = ends.join(episode_attributes(df).hint("shuffle_hash"), list(BOOKING)) \
                 .withColumn("days", F.datediff(F.col("end_pretrial"), F.to_date(F.col(BOOKING[1]))))
     names = [n for n, _ in dims]
     wide = stays.select("days", F.lit("All").alias("All"),
