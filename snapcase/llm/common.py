@@ -5,13 +5,15 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from snapcase.session import shared_dir
 
@@ -84,3 +86,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def signed(h: int) -> int:
     """An unsigned 64-bit number as Spark's LongType holds it."""
     return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def added(docs: DataFrame, of: str, name: str, kind: pa.DataType,
+          function: Callable[[list], Sequence]) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, computed from lists of the values of column ``of``.
+
+    The column is called ``name``, with underscores added while that name is taken.
+    """
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    at = docs.columns.index(of)
+
+    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = pa.array(function(batch.column(at).to_pylist()), type=kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, new],
+                                             names=[*batch.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, from_arrow_type(kind))])
+    return docs.mapInArrow(extend, schema), name

@@ -10,7 +10,9 @@ from .bpe import encode_corpus, token_digests
 from .common import ship
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_shared_lines, line_digests
+from .mixing import mix_schedule
 from .near_dedup import near_duplicates
+from .quality import quality_scores
 
 # Words in a shingle of the registered near-duplicate query.
 QUERY_SHINGLE_WORDS = 4
@@ -24,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=QUERY_SHINGLE_WORDS)
 
@@ -36,6 +42,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(drop_shared_lines(_table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +55,6 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    named = [op3_exact_dedup, op5_minhash_near_dedup, op7_bpe, op9_line_dedup]
+    named = [op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op7_bpe, op9_line_dedup,
+             op10_quality]
     return {f.__name__: _shipped(f) for f in named}
