@@ -13,6 +13,8 @@ from .line_dedup import drop_shared_lines, line_digests
 from .mixing import mix_schedule
 from .near_dedup import near_duplicates
 from .quality import quality_scores
+from .topk import top_scores
+from .toxicity import toxicity_scores
 
 # Words in a shingle of the registered near-duplicate query.
 QUERY_SHINGLE_WORDS = 4
@@ -34,10 +36,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=QUERY_SHINGLE_WORDS)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_corpus(_table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(drop_shared_lines(_table(spark, sf_dir, "documents")))
 
@@ -55,6 +65,6 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    named = [op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op7_bpe, op9_line_dedup,
-             op10_quality]
+    named = [op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op6_topk, op7_bpe,
+             op8_toxicity, op9_line_dedup, op10_quality]
     return {f.__name__: _shipped(f) for f in named}
