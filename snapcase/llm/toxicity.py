@@ -1,15 +1,17 @@
 """Toxicity of documents: a weighted lexicon matched by an Aho-Corasick automaton.
 
-Texts are folded first: compatibility forms, accents and homoglyphs become plain letters,
-lower case; digits and signs that stand for letters are read as letters when they touch
-one inside a word; everything else becomes one space.  The automaton runs over the
-folded text and finds lexicon terms (whole words, or beginnings of words) and exception
-phrases; a term inside an exception phrase does not count.
+Texts are folded first: compatibility forms and homoglyphs become plain letters, lower
+case; digits and signs that stand for letters are read as letters when they touch one
+inside a word; what is no letter becomes one space.  Accents stay, since they tell words
+of many languages apart, but an accented spelling of an unaccented lexicon word counts
+as that word.  The automaton runs over the folded text and finds lexicon terms (whole
+words, or beginnings of words) and exception phrases; a term inside an exception phrase
+does not count.
 
 The lexicon is learnt from a bounded sample of labelled training rows: words and word
 beginnings whose smoothed log odds of the toxic label are high even at the lower end of
-their interval, the longest of equally good nested ones, plus a short list of seed words
-whose weight also follows the labels.  Exceptions are the given phrases and pairs of
+their interval, the longest of equally good nested ones, in toxic rows that the lexicon
+does not explain yet, plus a short list of seed words whose weight also follows the labels.  Exceptions are the given phrases and pairs of
 words around a term that only occur in rows labelled 0.  A logistic model over the hit
 weights, normalised by the text's length, gives the score.
 
@@ -42,7 +44,7 @@ MAX_TERMS = 2_000
 # Characters of a word beginning, from and to.
 STEMS = (4, 8)
 # Toxic rows a term must occur in: a count, and a share of the toxic rows.
-MIN_ROWS, MIN_SHARE = 5, 0.01
+MIN_ROWS, MIN_SHARE = 6, 0.015
 LEAST_ODDS, Z = 1.5, 1.64
 SEED_WEIGHT = 3.0
 
@@ -55,8 +57,7 @@ HOMOGLYPHS = {
     "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "һ": "h", "ӏ": "l", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k",
     "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i",
-    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʀ": "r", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "æ": "ae",
-    "œ": "oe",
+    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʀ": "r",
 }
 LETTER_SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a",
                 "$": "s", "!": "i", "|": "l", "+": "t"}
@@ -67,22 +68,24 @@ _SIGN_CLASS = "[" + re.escape("".join(LETTER_SIGNS)) + "]"
 # Signs between letters, or digits and @ $ at the start of a word of letters.
 _STANDING_IN = re.compile(rf"(?<=[a-z]){_SIGN_CLASS}{{1,3}}(?=[a-z])|(?<![^\s])[013457@$](?=[a-z]{{2}})")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_OTHER = re.compile("[^a-z]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def folded(text: str | None) -> str:
     """Folded words with single spaces between and around them."""
     text = text or ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _HIDDEN.sub("", text)).lower()
-        text = "".join(c for c in text if c.isascii() or not unicodedata.combining(c)
-                       ).translate(_GLYPHS)
+        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).lower().translate(_GLYPHS)
     else:
         text = text.lower()
     text = _STANDING_IN.sub(lambda m: m[0].translate(_SIGNS), text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
+def unaccented(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
 def terms(text: str) -> set[str]:
     """Words (" word ") and word beginnings (" wor") of a folded text."""
     out = set()
@@ -93,6 +96,45 @@ def terms(text: str) -> set[str]:
     return out
 
 
+class Matcher:
+    """Automaton of a lexicon's terms and exception phrases."""
+
+    def __init__(self, weights: dict[str, float], exceptions: list[str]):
+        self.weights = weights
+        self.automaton = ahocorasick.Automaton()
+        for term, weight in weights.items():
+            self.automaton.add_word(term, (len(term), weight))
+        for phrase in exceptions:
+            self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, None))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the terms in a folded text outside exception phrases."""
+        found, excused = [], []
+        if not len(self.automaton):
+            return found
+        for end, (length, weight) in self.automaton.iter(text):
+            place = (end + 1 - length, end + 1)
+            if weight is None:
+                excused.append(place)
+            else:
+                found.append((*place, weight))
+        if excused:
+            found = [h for h in found if not any(s <= h[0] and h[1] <= e for s, e in excused)]
+        return found
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Any hit, the logarithm of the summed weights, and their density by length."""
+        total = sum(w for *_, w in self.hits(text))
+        if not text.isascii():
+            total += sum(self.weights.get(f" {unaccented(w)} ", 0.0)
+                         for w in text.split() if not w.isascii())
+        words = text.count(" ")
+        return (float(total > 0), float(np.log1p(total)),
+                float(np.log1p(100 * total / (words + 20))))
+
+
 @dataclass
 class Lexicon:
     """Weights of terms, exception phrases, and the logistic model over hit features."""
@@ -100,60 +142,48 @@ class Lexicon:
     exceptions: list[str]
     coefficients: list[float] = field(default_factory=lambda: [-3.0, 3.0, 1.0, 0.5])
 
-    def automaton(self) -> ahocorasick.Automaton:
-        out = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            out.add_word(term, (len(term), weight))
-        for phrase in self.exceptions:
-            out.add_word(f" {phrase} ", (len(phrase) + 2, None))
-        out.make_automaton()
-        return out
+    def matcher(self) -> Matcher:
+        return Matcher(self.weights, self.exceptions)
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
-        automaton = self.automaton()
-        x = np.array([hit_features(automaton, folded(t)) for t in texts]).reshape(-1, 3)
+        matcher = self.matcher()
+        x = np.array([matcher.features(folded(t)) for t in texts]).reshape(-1, 3)
         return sigmoid(self.coefficients[0] + x @ np.array(self.coefficients[1:]))
 
 
-def hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the terms in a folded text outside exception phrases."""
-    found, excused = [], []
-    if not len(automaton):
-        return found
-    for end, (length, weight) in automaton.iter(text):
-        place = (end + 1 - length, end + 1)
-        if weight is None:
-            excused.append(place)
-        else:
-            found.append((*place, weight))
-    return [h for h in found
-            if not any(s <= h[0] and h[1] <= e for s, e in excused)] if excused else found
-
-
-def hit_features(automaton: ahocorasick.Automaton, text: str) -> tuple[float, float, float]:
-    """Any hit, the logarithm of the summed weights, and their density by length."""
-    total = sum(w for *_, w in hits(automaton, text))
-    words = text.count(" ")
-    return (float(total > 0), float(np.log1p(max(total, 0.0))),
-            float(np.log1p(100 * max(total, 0.0) / (words + 20))))
-
-
-def _best_terms(counts: list, toxic: int, clean: int) -> dict[str, float]:
-    """Lexicon from rows (term, a, b): toxic and clean rows that hold the term."""
-    scored, seeds = [], {f" {s} " for s in SEEDS}
-    weights = {s: SEED_WEIGHT for s in seeds}
+def _odds(a: int, b: int, toxic: int, clean: int) -> float:
+    """Smoothed log odds ratio of a term in a of the toxic and b of the clean rows."""
+    return float(np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5)))
+
+
+def _best_terms(counts: list[tuple], holders: list[set[str]], toxic: int,
+                clean: int) -> dict[str, float]:
+    """Lexicon from candidates (term, a, b), best first; holders: terms of toxic rows.
+
+    Rows that already hold two terms of the lexicon are explained and speak for no other
+    term, so words that only come along in copies of a toxic text stay out.
+    """
+    weights = {f" {s} ": SEED_WEIGHT for s in SEEDS}
+    least = max(MIN_ROWS, MIN_SHARE * toxic)
+    rows_with: dict[str, list[int]] = {}
+    for i, held in enumerate(holders):
+        for term in held:
+            rows_with.setdefault(term, []).append(i)
+    found = [0] * len(holders)
+
+    def take(term: str, weight: float) -> None:
+        weights[term] = weight
+        for i in rows_with.get(term, ()):
+            found[i] += 1
+
     for term, a, b in counts:
-        odds = (np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5)))
-        low = odds - Z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if term in seeds:
-            weights[term] = float(max(0.0, odds))
-        elif low >= LEAST_ODDS and a >= max(MIN_ROWS, MIN_SHARE * toxic):
-            scored.append((low, len(term), term, odds))
-    taken: set[str] = set(weights)
-    for _, _, term, odds in sorted(scored, reverse=True):
-        if not any(term.startswith(t) or t.startswith(term) for t in taken):
-            taken.add(term)
-            weights[term] = float(odds)
+        if term in weights:
+            take(term, max(0.0, _odds(a, b, toxic, clean)))
+    for term, a, b in counts:
+        if term in weights or any(term.startswith(t) or t.startswith(term) for t in weights):
+            continue
+        if sum(found[i] < 2 for i in rows_with.get(term, ())) >= least:
+            take(term, _odds(a, b, toxic, clean))
     return {t: w for t, w in weights.items() if w > 0}
 
 
@@ -176,8 +206,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """Lexicon and model from at most ``sample`` labelled rows.
 
-    Counts of terms are aggregated by Spark; at most ``MAX_TERMS`` terms, and three
-    numbers of each sampled row, reach the driver.
+    Counts of terms are aggregated by Spark; at most ``MAX_TERMS`` terms, and of each
+    sampled row its candidate terms and three numbers, reach the driver.
     """
     key = F.col(id_col).cast("long")
     chosen = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -213,15 +243,25 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     best = (counts
             .filter(seeded | ((low >= LEAST_ODDS) & (F.col("a") >= max(MIN_ROWS, MIN_SHARE * toxic))))
             .orderBy(seeded.desc(), low.desc(), F.length("term").desc(), "term").limit(MAX_TERMS))
-    weights = _best_terms([(r.term, r.a, r.b) for r in best.collect()], toxic, clean)
+    candidates = [(r.term, r.a, r.b) for r in best.collect()]
+    known = {c[0] for c in candidates}
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(terms(folded(t)) & known) for (t,) in rows_of([batch], "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["held"])
+
+    holders = [set(r.held) for r in rows.filter("label = 1").select("text")
+               .mapInArrow(held, "held array<string>").limit(sample).collect()]
+    weights = _best_terms(candidates, holders, toxic, clean)
     lexicon = Lexicon(weights, [])
     lexicon.exceptions = sorted({*EXCEPTIONS, *_harmless(rows, lexicon)})
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        matcher = lexicon.matcher()
         out = Emitter(pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
         for label, text in rows_of(batches, "label", "text"):
-            out.add((label, hit_features(automaton, folded(text))))
+            out.add((label, matcher.features(folded(text))))
             if out.full:
                 yield out.batch()
         yield out.batch()
@@ -235,13 +275,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def _harmless(rows: DataFrame, lexicon: Lexicon, least: int = 5) -> list[str]:
     """Two-word phrases around a term that ``least`` clean rows hold and no toxic row."""
     def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        matcher = lexicon.matcher()
         for batch in batches:
             found: Counter = Counter()
             for label, text in rows_of([batch], "label", "text"):
                 text = folded(text)
                 near = set()
-                for start, end, _ in hits(automaton, text):
+                for start, end, _ in matcher.hits(text):
                     end = text.index(" ", end - 1)
                     word = text[start:end].strip()
                     before, after = text[:start].rpartition(" ")[2], text[end + 1:].partition(" ")[0]
