@@ -51,13 +51,26 @@ LOOKAHEAD = 3
 MAX_BLANKS = 50_000
 
 
+def read_ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(vocabulary: str, specials: tuple = SPECIALS) -> dict[int, bytes]:
+    """Bytes of each id, special strings included."""
+    return {i: t for t, i in read_ranks(vocabulary).items()} | {i: s.encode() for s, i in specials}
+
+
+def decode(tokens: dict[int, bytes], ids: Iterable[int]) -> str:
+    return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Codec:
     """Encoder for one vocabulary file; built once per Python worker."""
 
     def __init__(self, vocabulary: str, specials: tuple[tuple[str, int], ...] = SPECIALS):
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {i: t for t, i in ranks.items()} | {i: s.encode() for s, i in specials}
+        ranks = read_ranks(vocabulary)
         self.specials = dict(specials)
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s, _ in specials) + ")")
         self.words = regex.compile(public_tokenizers.PATTERN)
@@ -82,9 +95,6 @@ class Codec:
         """The text split at special strings, which are pieces of their own."""
         return (p for p in self.splitter.split(text) if p)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def codec(vocabulary: str) -> Codec:
@@ -293,8 +303,8 @@ def _encode_rows(batches: Iterable[pa.RecordBatch], vocabulary: str) -> Iterator
     out = Emitter(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]),
                   max_rows=1024)
     for doc, packed, shared in rows_of(batches, "id", "packed", "shared"):
-        ids = encode(c, _unpack(packed), _known(shared))
-        out.add((doc, ids), 8 * len(ids))
+        ids = np.array(encode(c, _unpack(packed), _known(shared)), dtype=np.int32)
+        out.add((doc, ids), 4 * len(ids))
         if out.full:
             yield out.batch()
     yield out.batch()
@@ -326,15 +336,19 @@ def token_digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFram
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        decoder = token_bytes(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()),
                             ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         out = Emitter(schema)
-        for doc, ids in rows_of(batches, "doc_id", "ids"):
-            out.add((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                     hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            if out.full:
-                yield out.batch()
+        for batch in batches:
+            docs, lists = batch.column(0).to_pylist(), batch.column(1)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for doc, start, end in zip(docs, ends, ends[1:]):
+                ids = values[start:end].tolist()
+                out.add((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                         hashlib.sha256(decode(decoder, ids).encode()).hexdigest()))
+                if out.full:
+                    yield out.batch()
         yield out.batch()
 
     return encoded.mapInArrow(
