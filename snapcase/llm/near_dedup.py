@@ -3,21 +3,21 @@
 1. Every document becomes its set of word shingles (64-bit hashes).  Documents with
    equal sets form one class; only class representatives go on.
 2. One hash function orders all shingles; the bottom-k sketch of a set is its k lowest.
-3. Inverted lists (shingle -> classes that retain it) generate pairs.  Shingles that
-   more than ``HOT_LIST`` classes retain are placed last in the order, which keeps it
-   one global order: a class goes into the lists of its ``LISTED`` lowest shingles that
-   are not hot, and into hot lists only when the rest of its sketch is mostly hot.
-4. Two sketches give the union's sketch; its overlap estimates the Jaccard similarity.
-   Pairs far below the threshold are dropped (at a distance of over six standard
-   errors); the rest are verified on the full sets.
-5. Pairs are formed in two passes.  The first compares each member of a list with the
-   list's two pivots only, so a large group of near copies costs one row per member and
-   list.  The second forms every remaining pair of a list whose two sides are not yet
-   connected, so no link between different components is lost.
-
-For sets of similarity s >= 0.8 the lowest union shingles that are not hot are shared
-with a probability that makes a miss of all LISTED lists less likely than 0.2^LISTED
-(about 0.5^LISTED when half of a set is hot).
+3. Inverted lists (retained shingle -> classes) generate pairs.  Sets of similarity 0.8
+   share about 0.87 of their sketches and, but for a chance of about one in a million,
+   ``LEAST_SHARED`` of them (for sets of up to k shingles this is certain).  So they meet
+   in a list of the rarest 1 - LEAST_SHARED of each sketch, and a class enters only those
+   lists: shingles of passages that many documents share generate pairs only between
+   documents that consist of little else.
+4. Two sketches give the union's sketch; its overlap estimates the similarity.  Pairs
+   that are over six standard errors below the threshold are dropped; the rest are
+   verified on the full sets.
+5. Pairs are formed in passes.  The first ``PIVOT_PASSES`` compare each member of a list
+   only with two pivots, so a large group of near copies costs a few rows per member and
+   list.  The last covers every remaining pair of a list whose two sides are not
+   connected yet, so no link between different components is lost: lists of up to
+   ``LONG_LIST`` members as pairs, longer ones in blocks of members that meet once
+   per list, inside a task, and give out links only.
 
 Rows: a null or empty text has an empty set and links with nothing; a text of fewer
 words than a shingle is one shingle of all its words.  Documents are told apart by id:
@@ -38,16 +38,16 @@ from .components import connected
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-# Sketch size, lists a class goes into, and the size beyond which a list is hot.
+# Sketch size, and the share of it that similar sets have in common at least.
 SKETCH = 96
-LISTED = 32
-HOT_LIST = 40
+LEAST_SHARED = 0.66
 # Pairs whose estimated similarity is lower than the threshold by this much are dropped:
 # the standard error of an estimate of 0.8 from 96 values is 0.041.
 SLACK = 0.26
-# In the second pass a pair has to meet in at least one of so many of its lists: the
-# shared part of the lists is 0.5 or more, so fewer than 0.1 is over four standard errors.
-LEAST_OVERLAP = 10
+PIVOT_PASSES = 2
+# Members beyond which a list is compared in blocks, and the members of a block.
+LONG_LIST = 32
+BLOCK = 128
 
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +134,12 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     yield out.batch()
 
 
+def _set_table(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the documents whose ids are in ``members``."""
+    return rows.join(members, "id", "left_semi").mapInArrow(
+        lambda b: _sets(b, words), "rep long, shingles binary")
+
+
 def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Pairs whose union sketch gives an estimated similarity of at least ``least``."""
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +170,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int,
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
     members = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(),
                      folder)
-    sets = rows.join(members, "id", "left_semi").mapInArrow(
-        lambda b: _sets(b, words), "rep long, shingles binary")
+    sets = _set_table(rows, members, words)
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,28 +190,159 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int,
 
 
 def _lists(classes: DataFrame, folder: str) -> DataFrame:
-    """Inverted lists with more than one member: value, rep, n (set size), listed."""
-    retained = classes.select("rep", "n", F.explode("sketch").alias("value"))
-    # Values that a single class retains generate nothing and are not joined.
+    """Inverted lists with more than one member: value, rep, n (set size), fame.
+
+    ``fame`` is the summed length of the lists of a sketch: among near copies of a text
+    the least changed ones have most.
+    """
+    retained = classes.select("rep", "n", F.size("sketch").alias("k"),
+                              F.explode("sketch").alias("value"))
+    # Values that a single class retains generate nothing; they come first in its order.
     sizes = stored(retained.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
                    .filter("members > 1"), f"{folder}/sizes")
-    shared = stored(retained.join(sizes, "value").select(
-        "value", "rep", "n", (F.col("members") > HOT_LIST).alias("hot")), f"{folder}/shared")
-    # A class's hot values, to place them last in the order.
-    hot = shared.filter("hot").groupBy("rep").agg(F.collect_list("value").alias("hot_values"))
-    cold = F.when(F.col("hot_values").isNull(), F.col("sketch")).otherwise(
-        F.array_except("sketch", "hot_values"))
-    limits = classes.join(hot, "rep", "left").select(
-        "rep", F.size("sketch").alias("k"), cold.alias("cold")).select(
-        "rep", F.get("cold", F.least(F.size("cold"), F.lit(LISTED)) - 1).alias("last"),
-        F.least(F.size("cold"), F.lit(LISTED)).alias("n_cold"),
-        (F.col("k") - F.size("cold")).alias("n_hot"),
-        (2 * F.size("cold") < F.col("k")).alias("mostly_hot"))
-    return (shared.join(limits, "rep")
-            .filter((~F.col("hot") & (F.col("value") <= F.col("last")))
-                    | (F.col("hot") & F.col("mostly_hot")))
-            .select("value", "rep", "n", (F.col("n_cold") + F.when(
-                F.col("mostly_hot"), F.col("n_hot")).otherwise(0)).alias("listed")))
+    shared = stored(retained.join(sizes, "value").select("rep", "n", "k", "members", "value"),
+                    f"{folder}/shared")
+    # A sketch has at most SKETCH values, which bounds the arrays.
+    ordered = shared.groupBy("rep", "n", "k").agg(
+        F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"),
+        F.sum("members").alias("fame"))
+    # floor((1 - share) * k) + 1 places, those of its unshared values taken.
+    places = (F.floor((1 - LEAST_SHARED) * F.col("k")) + 1 - (F.col("k") - F.size("values")))
+    return (ordered.withColumn("places", places.cast("int")).filter("places > 0")
+            .select("rep", "n", "fame",
+                    F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"))
+            .select("v.value", "rep", "n", "fame"))
+
+
+def _open_lists(lists: DataFrame, edges: DataFrame | None, folder: str) -> DataFrame:
+    """Members of the lists that are not all connected: value, rep, n, fame, part, top.
+
+    ``part`` is the component so far and ``top`` the part with most members in the list;
+    ``size`` and ``others`` count the members of the list and those outside ``top``.
+    """
+    if edges is None:
+        return lists.withColumn("part", F.col("rep")).withColumn("top", F.lit(None).cast("long"))
+    labels = connected(edges, f"{folder}/parts").select(
+        F.col("node").alias("rep"), F.col("component").alias("part"))
+    placed = stored(lists.join(labels, "rep", "left").withColumn(
+        "part", F.coalesce("part", "rep")), f"{folder}/placed")
+    tops = stored(placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("size"))
+                  .groupBy("value").agg(F.max(F.struct("size", "part")).alias("top"),
+                                        F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"))
+                  .filter("parts > 1").select("value", F.col("top.part").alias("top"), "size",
+                                              (F.col("size") - F.col("top.size")).alias("others")),
+                  f"{folder}/tops")
+    return stored(placed.join(tops, "value"), f"{folder}/open")
+
+
+def _pivot_pairs(members: DataFrame, turn: int, folder: str) -> DataFrame:
+    """Pairs of each member with two pivots of its list, where parts differ: a, b, sizes.
+
+    The pivots are the member with most fame and one drawn by a hash; after the first
+    pass the drawn one comes from outside the list's largest part.
+    """
+    famous = F.max(F.struct("fame", "rep", "n", "part"))
+    drawn = F.struct(F.xxhash64("rep", "value", F.lit(turn)).alias("h"), "rep", "n", "part")
+    drawn = F.min(F.when(F.col("top").isNull() | (F.col("part") != F.col("top")), drawn))
+    pivots = stored(members.groupBy("value").agg(famous.alias("x"), drawn.alias("y")).select(
+        "value", F.array(F.struct("x.rep", "x.n", "x.part"), F.struct("y.rep", "y.n", "y.part"))
+        .alias("pivots")), f"{folder}/pivots")
+    return (members.join(pivots, "value")
+            .select("rep", F.col("n").alias("n_a"), "part", F.explode("pivots").alias("p"))
+            .filter("part <> p.part")
+            .select(F.col("rep").alias("a"), "n_a", F.col("p.rep").alias("b"),
+                    F.col("p.n").alias("n_b")))
+
+
+def _rest_pairs(members: DataFrame) -> DataFrame:
+    """Members outside a short list's largest part, with every member of another part."""
+    members = members.filter(F.col("size") <= LONG_LIST)
+    left, right = (members.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
+                                  F.col("part").alias(f"part_{x}"),
+                                  (F.col("part") == F.col("top")).alias(f"top_{x}"))
+                   for x in ("a", "b"))
+    return (left.filter("not top_a").join(right, "value")
+            .filter("part_a <> part_b and (top_b or a < b)").select("a", "n_a", "b", "n_b"))
+
+
+def _compared(left: list[tuple], right: list[tuple], value: int, percent: int) -> Iterator[tuple]:
+    """Links between two blocks of a list: rows (rep, n, part, is_top, lists, sketch, set)."""
+    a, b = ({k: np.array([r[i] for r in rows]) for i, k in enumerate(("rep", "n", "part", "top"))}
+            for rows in (left, right))
+    n_a, n_b = a["n"][:, None], b["n"][None, :]
+    open_ = (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+    open_ &= a["part"][:, None] != b["part"][None, :]
+    open_ &= b["top"][None, :] | (a["rep"][:, None] < b["rep"][None, :])
+    if not open_.any():
+        return
+    # A pair belongs to the lowest long list in which it meets.
+    earlier = [[[v for v in r[4] if v < value] for r in rows] for rows in (left, right)]
+    open_ &= _overlaps(*earlier) == 0
+    if not open_.any():
+        return
+    sketches = [[r[5] for r in rows] for rows in (left, right)]
+    k_a, k_b = (np.array([len(s) for s in side]) for side in sketches)
+    open_ &= _overlaps(*sketches) >= LEAST_SHARED * np.minimum(k_a[:, None], k_b[None, :])
+    for i, j in zip(*np.nonzero(open_)):
+        x, y = (np.frombuffer(r[6], np.uint64) for r in (left[i], right[j]))
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * shared >= percent * (len(x) + len(y) - shared):
+            yield left[i][0], right[j][0]
+
+
+def _overlaps(left: list, right: list) -> np.ndarray:
+    """Numbers of values that each pair of sets shares."""
+    flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in (*left, *right)])
+    found, at = np.unique(flat, return_inverse=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    # Values of one set only cannot be shared.
+    kept = np.bincount(at, minlength=len(found)) > 1
+    place = np.cumsum(kept) - 1
+    table = np.zeros((len(left) + len(right), max(1, int(kept.sum()))), dtype=np.float32)
+    use = kept[at]
+    table[rows[use], place[at[use]]] = 1
+    return table[:len(left)] @ table[len(left):].T
+
+
+def _long_list_links(members: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
+                     percent: int, folder: str) -> DataFrame:
+    """Links of long lists between parts, found block by block: a, b."""
+    long = members.filter(F.col("size") > LONG_LIST)
+    held = stored(long.groupBy("rep").agg(F.collect_list("value").alias("lists")), f"{folder}/held")
+    sets = _set_table(rows, held.select(F.col("rep").alias("id")), words)
+    full = (long.join(held, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+            .withColumn("is_top", F.col("part") == F.col("top"))
+            .withColumn("across", F.ceil(F.col("size") / BLOCK).cast("int"))
+            .withColumn("down", F.ceil(F.col("others") / BLOCK).cast("int")))
+    hashed = F.xxhash64("rep")
+    every = [F.sequence(F.lit(0), F.col(c) - 1) for c in ("across", "down")]
+    left = (full.filter("not is_top").withColumn("side", F.lit(0))
+            .withColumn("i", F.pmod(hashed, "down").cast("int"))
+            .withColumn("j", F.explode(every[0])))
+    right = (full.withColumn("side", F.lit(1)).withColumn("j", F.pmod(hashed, "across").cast("int"))
+             .withColumn("i", F.explode(every[1])))
+    wanted = ["value", "i", "j", "side", "rep", "n", "part", "is_top", "lists", "sketch", "shingles"]
+    meeting = (left.select(*wanted).unionByName(right.select(*wanted))
+               .repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Emitter(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        place, sides = None, ([], [])
+        for value, i, j, side, *row in rows_of(batches, *wanted):
+            if (value, i, j) != place:
+                if sides[0] and sides[1]:
+                    for pair in _compared(*sides, place[0], percent):
+                        out.add((min(pair), max(pair)))
+                place, sides = (value, i, j), ([], [])
+                if out.full:
+                    yield out.batch()
+            sides[side].append(row)
+        if sides[0] and sides[1]:
+            for pair in _compared(*sides, place[0], percent):
+                out.add((min(pair), max(pair)))
+        yield out.batch()
+
+    return stored(meeting.mapInArrow(compare, "a long, b long"), f"{folder}/long-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -228,51 +364,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = stored(_lists(classes, folder), f"{folder}/lists")
     fit = ((100 * F.col("n_a") >= percent * F.col("n_b"))
            & (100 * F.col("n_b") >= percent * F.col("n_a")))
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        likely = stored(_estimated(pairs, classes, threshold - SLACK), f"{folder}/likely-{name}")
-        return stored(_verified(likely, rows, words, percent, f"{folder}/members-{name}"),
-                      f"{folder}/links-{name}")
-
-    # First pass: every member against two pivots of its list.
-    pivots = stored(lists.groupBy("value").agg(
-        F.min(F.struct("rep", "n")).alias("low"),
-        F.min(F.struct(F.xxhash64("rep", "value").alias("h"), "rep", "n")).alias("drawn"))
-        .select("value", F.array(F.col("low"), F.struct("drawn.rep", "drawn.n")).alias("pivots")),
-        f"{folder}/pivots")
-    against = (lists.join(pivots, "value")
-               .select("rep", F.col("n").alias("n_a"), F.explode("pivots").alias("p"))
-               .select("rep", "n_a", F.col("p.rep").alias("other"), F.col("p.n").alias("n_b"))
-               .filter("rep <> other").filter(fit)
-               .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-               .distinct())
-    first = links(against, "pivots")
-    labels = connected(first, f"{folder}/first").select(
-        F.col("node").alias("rep"), F.col("component").alias("part"))
-
-    # Second pass: the members outside a list's largest part, against every member of
-    # another part.  A pair counts the lists in which it meets.
-    placed = stored(lists.join(labels, "rep", "left").withColumn(
-        "part", F.coalesce("part", "rep")), f"{folder}/placed")
-    tops = stored(placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("size"))
-                  .groupBy("value").agg(F.max(F.struct("size", "part")).alias("top"),
-                                        F.count(F.lit(1)).alias("parts"))
-                  .filter("parts > 1").select("value", F.col("top.part").alias("top")),
-                  f"{folder}/tops")
-    still = stored(placed.join(tops, "value"), f"{folder}/open")
-    left, right = (still.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
-                                F.col("listed").alias(f"listed_{x}"),
-                                F.col("part").alias(f"part_{x}"),
-                                (F.col("part") == F.col("top")).alias(f"top_{x}"))
-                   for x in ("a", "b"))
-    meetings = (left.filter("not top_a").join(right, "value")
-                .filter("part_a <> part_b and (top_b or a < b)").filter(fit)
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                        F.least("listed_a", "listed_b").alias("listed"))
-                .groupBy("a", "b", "listed").agg(F.count(F.lit(1)).alias("overlap"))
-                .filter(F.col("overlap") * LEAST_OVERLAP >= F.col("listed")).select("a", "b"))
-    rest = links(meetings, "rest")
-    final = connected(first.unionByName(rest), f"{folder}/final")
+    edges = None
+    for turn in range(PIVOT_PASSES + 1):
+        place = f"{folder}/pass-{turn}"
+        members = _open_lists(lists, edges, place)
+        pairs = _pivot_pairs(members, turn, place) if turn < PIVOT_PASSES else _rest_pairs(members)
+        pairs = pairs.filter(fit).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = stored(_estimated(pairs, classes, threshold - SLACK), f"{place}/likely")
+        links = stored(_verified(likely, rows, words, percent, f"{place}/members"),
+                       f"{place}/links")
+        edges = links if edges is None else edges.unionByName(links)
+    edges = edges.unionByName(
+        _long_list_links(members, classes, rows, words, percent, place))
+    final = connected(edges, f"{folder}/final")
 
     of_class = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component_id"))
