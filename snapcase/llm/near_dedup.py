@@ -12,9 +12,9 @@
 4. Two sketches give the union's sketch; its overlap estimates the similarity.  Pairs
    that are over six standard errors below the threshold are dropped; the rest are
    verified on the full sets.
-5. Pairs are formed in passes.  The first ``PIVOT_PASSES`` compare each member of a list
-   only with two pivots, so a large group of near copies costs a few rows per member and
-   list.  The last covers every remaining pair of a list whose two sides are not
+5. Pairs are formed in passes.  The first (``PIVOT_PASSES`` of them) compares each member
+   of a list only with two pivots, so a large group of near copies costs a few rows per
+   member and list.  The last covers every remaining pair of a list whose two sides are not
    connected yet, so no link between different components is lost: lists of up to
    ``LONG_LIST`` members as pairs, longer ones in blocks of members that meet once
    per list, inside a task, and give out links only.
@@ -44,10 +44,10 @@ LEAST_SHARED = 0.66
 # Pairs whose estimated similarity is lower than the threshold by this much are dropped:
 # the standard error of an estimate of 0.8 from 96 values is 0.041.
 SLACK = 0.26
-PIVOT_PASSES = 2
+PIVOT_PASSES = 1
 # Members beyond which a list is compared in blocks, and the members of a block.
 LONG_LIST = 32
-BLOCK = 128
+BLOCK = 256
 
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
