@@ -66,7 +66,7 @@ _GLYPHS = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(LETTER_SIGNS)
 _SIGN_CLASS = "[" + re.escape("".join(LETTER_SIGNS)) + "]"
 # Signs between letters, or digits and @ $ at the start of a word of letters.
-_STANDING_IN = re.compile(rf"(?<=[a-z]){_SIGN_CLASS}{{1,3}}(?=[a-z])|(?<![^\s])[013457@$](?=[a-z]{{2}})")
+_STANDING_IN = re.compile(rf"(?<=[a-z]){_SIGN_CLASS}{{1,3}}(?=[a-z])|(?<![^\s])[013457@$](?=[a-z][a-z013457@$])")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _OTHER = re.compile(r"[\W\d_]+")
 
