@@ -321,8 +321,10 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .filter("n > 1 and owner is not null"))
     owned = (shared.groupBy(F.col("owner").alias("id"))
              .agg(F.collect_list("digest").alias("owned")))
-    ids = packed.join(owned, "id").mapInArrow(
-        lambda b: _encode_owned(b, vocabulary), "digest binary, ids binary")
+    # Both joins of the texts use the same key expressions, so they share one shuffle.
+    ids = (packed.alias("d").join(owned.alias("o"), F.expr("d.id <=> o.id"))
+           .select("d.packed", "o.owned").mapInArrow(
+               lambda b: _encode_owned(b, vocabulary), "digest binary, ids binary"))
     arriving = (refs.join(ids, "digest").groupBy("id")
                 .agg(F.collect_list(F.struct("digest", "ids")).alias("shared")))
     joined = packed.alias("d").join(arriving.alias("x"), F.expr("d.id <=> x.id"), "left").select(
