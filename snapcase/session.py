@@ -46,11 +46,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for checkpoints and result tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it).  Only when it is
-    unset -- local runs and tests -- a fresh folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster names it).  Only a local master
+    gets a fresh folder when it is unset; any other master is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="snapcase-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     try:
