@@ -13,6 +13,7 @@ from .html import main_text
 from .line_dedup import drop_shared_lines, line_digests
 from .mixing import mix_schedule
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .quality import quality_scores
 from .topk import top_scores
 from .toxicity import toxicity_scores
@@ -81,10 +82,7 @@ def queries() -> dict:
     return {f.__name__: _shipped(f) for f in named}
 
 
-# Tables in, rows out, in plain SQL; the other operators fit models, tokenise or search
-# with arithmetic that DuckDB has no functions for, and are tested against brute force.
-_ORACLES = {}
-
-
+# The other operators fit models, tokenise or number rows by hashes that DuckDB has no
+# functions for, and are tested against brute force.
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
