@@ -33,7 +33,9 @@ def group_combinations_by_race(df: DataFrame, anchor: str = "DRUGS",
                    .groupBy("race").agg(F.count(F.lit(1)).alias("anchor_episodes"))
     combos = (held.filter(F.col("charge_group") != anchor)
                   .groupBy("race", "charge_group").agg(F.count(F.lit(1)).alias("episodes")))
-    return (combos.join(per_race, "race")
+    # A NULL race is a race of its own.
+    joined = combos.alias("c").join(per_race.alias("r"), F.expr("c.race <=> r.race"))
+    return (joined.select("c.race", "charge_group", "episodes", "anchor_episodes")
                   .withColumn("share", F.col("episodes").cast("double")
                               / F.col("anchor_episodes").cast("double")))
 

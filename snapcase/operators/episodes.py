@@ -69,6 +69,14 @@ def episode_end(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
     return per_episode.filter(keep).select(*keys, "end_pretrial")
 
 
+def first_tracked_day(df: DataFrame, id_col: str = BOOKING[0], ts: str = TS,
+                      status: str = STATUS) -> Column:
+    """First snapshot day of all bookings that ever get a disposition (a scalar)."""
+    per_id = df.groupBy(id_col).agg(
+        F.min(F.to_date(F.col(ts))).alias("_day"), F.max(F.col(status).isNotNull()).alias("_has"))
+    return per_id.filter(F.col("_has") & F.col(id_col).isNotNull()).agg(F.min("_day")).scalar()
+
+
 def pretrial_exposure(df: DataFrame, ends: DataFrame | None = None,
                       keys: Sequence[str] = BOOKING, ts: str = TS,
                       status: str = STATUS) -> DataFrame:

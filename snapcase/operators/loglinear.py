@@ -2,10 +2,15 @@
 
 Six hierarchical models, per stratum, from the eight cell counts of
 :func:`snapcase.operators.contingency.cell_sums`.  Five have closed-form
-fitted values; the homogeneous-association model (DT, DR, TR) is fitted by
-iterative proportional fitting written as an ``aggregate`` fold over an
-eight-element array, so the plan has constant size whatever the number of
-iterations and every stratum is fitted inside the same task that holds it.
+fitted values.  The homogeneous-association model (DT, DR, TR) keeps all
+two-way margins, so its fitted cells differ from the counts by one number
+``shift``, added to the cells of even index sum and taken from the others; it
+is the root at which both groups of four cells have the same product.  That
+difference grows with ``shift``, so the root is found by bisection down to
+neighbouring doubles, as a fold inside the row of the stratum.
+
+A fitted value is 0 where a margin that it is made of is 0; such cells add
+nothing to the statistics.  Degrees of freedom stay those of the full table.
 """
 
 from __future__ import annotations
@@ -26,12 +31,8 @@ CELLS = [(r, d, t) for r in (0, 1) for d in (0, 1) for t in (0, 1)]
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Division that yields NULL for an empty margin (ANSI mode would fail)."""
-    return F.try_divide(a, b)
-
-
-def _idx(r: int, d: int, t: int) -> int:
-    return r * 4 + d * 2 + t
+    """Division that yields 0 for an empty margin, whose cells are all 0."""
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
 def _n(r, d, t) -> Column:
@@ -77,30 +78,30 @@ def _margins():
     return n, N, dt, rd, rt, r1, d1, t1
 
 
-def _ipf_step(m: Column, step: Column, dt, rd, rt) -> Column:
-    """One margin adjustment; ``step % 3`` picks DT, DR or TR."""
-    def fit(target, key_of):
-        out = []
-        for (r, d, t) in CELLS:
-            key = key_of(r, d, t)
-            partners = [c for c in CELLS if key_of(*c) == key]
-            fitted = _sum([m[_idx(*c)] for c in partners])
-            out.append(_div(m[_idx(r, d, t)] * target[key], fitted))
-        return F.array(*out)
-    phase = step % 3
-    return (F.when(phase == 0, fit(dt, lambda r, d, t: (d, t)))
-             .when(phase == 1, fit(rd, lambda r, d, t: (r, d)))
-             .otherwise(fit(rt, lambda r, d, t: (r, t))))
+# Halvings after which any interval of doubles has shrunk to neighbours.
+HALVINGS = 1100
+
+
+def homogeneous_shift(n) -> Column:
+    """The shift of the homogeneous fit, from the cell counts ``n``."""
+    even = [n[k] for k in CELLS if sum(k) % 2 == 0]
+    odd = [n[k] for k in CELLS if sum(k) % 2 == 1]
+
+    def product(cells: list[Column], by: Column) -> Column:
+        return (cells[0] + by) * (cells[1] + by) * (cells[2] + by) * (cells[3] + by)
 
+    def halve(span: Column, _: Column) -> Column:
+        middle = (span["lo"] + span["hi"]) / 2
+        high = product(even, middle) > product(odd, -middle)
+        return F.struct(F.when(high, span["lo"]).otherwise(middle).alias("lo"),
+                        F.when(high, middle).otherwise(span["hi"]).alias("hi"))
 
-def homogeneous_fit(cycles: int, dt, rd, rt) -> Column:
-    start = F.array(*[F.lit(1.0) for _ in CELLS])
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3 * cycles - 1)), start,
-                       lambda m, i: _ipf_step(m, i, dt, rd, rt))
+    start = F.struct((-F.least(*even)).alias("lo"), F.least(*odd).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve,
+                       lambda span: (span["lo"] + span["hi"]) / 2)
 
 
-def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str] = (),
-                  cycles: int = 25) -> DataFrame:
+def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
     """G2, Pearson X2, df and upper-tail p for the six models, per stratum.
 
     Output: ``strata, model, df, g2, x2, p_g2, p_x2``.  The table goes long
@@ -116,7 +117,9 @@ def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str]
         "conditional_dt_tr": [_div(dt[(d, t)] * rt[(r, t)], t1[t]) for (r, d, t) in CELLS],
         "saturated": [n[k] for k in CELLS],
     }
-    staged = cells.withColumn("_homog", homogeneous_fit(cycles, dt, rd, rt))
+    shift = F.col("_shift")
+    staged = cells.withColumn("_shift", homogeneous_shift(n)).withColumn("_homog", F.array(
+        *[n[k] - shift if sum(k) % 2 else n[k] + shift for k in CELLS]))
     models = []
     for name, df_ in MODELS:
         fitted = F.col("_homog") if name == "homogeneous" else F.array(*closed[name])
@@ -127,6 +130,7 @@ def loglinear_fit(flags: DataFrame, races: Sequence[str], strata: Sequence[str]
     g2 = F.aggregate(F.zip_with("_obs", "_fit", lambda o, f: F.when(
         o > 0, o * F.log(_div(o, f))).otherwise(F.lit(0.0))), F.lit(0.0),
         lambda a, b: a + b) * F.lit(2.0)
+    g2 = F.greatest(g2, F.lit(0.0))
     x2 = F.aggregate(F.zip_with("_obs", "_fit", lambda o, f: _div((o - f) * (o - f), f)),
                      F.lit(0.0), lambda a, b: a + b)
     stats = long.select(*strata, "model", "df", g2.alias("g2"), x2.alias("x2"))

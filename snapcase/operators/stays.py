@@ -8,45 +8,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcase.functions.bins import cut_bins
-from snapcase.operators.episodes import BOOKING, STATUS, TS, episode_end
+from snapcase.operators.episodes import BOOKING, STATUS, TS, first_tracked_day
 
 DIMENSIONS = (("Race", "RaceDescription"), ("Gender", "Gender"), ("Age", "age_group"),
               ("Category", "category"))
 
 
-def episode_attributes(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
-                       felony: str = "FELONY", category_col: str = "ChargeCategory") -> DataFrame:
-    """Per episode: attributes of its first snapshot row and a category that
-    is ``felony`` when any charge is, else the other category seen first.
+def episode_stays(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
+                  status: str = STATUS, felony: str = "FELONY",
+                  category_col: str = "ChargeCategory") -> DataFrame:
+    """Stay and attributes of each episode that started while snapshots were taken.
 
-    One aggregation (min over a struct, max over a flag): map-side combined.
+    The stay begins on the booking day and ends on the first day with a
+    disposition or, without one, on the day after the last snapshot.  A stay
+    that would end before its booking day is invalid and left out.  Attributes
+    are those of the first snapshot row; the category is ``felony`` when any
+    charge is, else the one seen first.
+
+    One aggregation, map-side combined.
+    Output: ``keys, start, end, RaceDescription, Gender, age_group, category``.
     """
+    keys = list(keys)
+    day = F.to_date(F.col(ts))
     first = F.min(F.struct(F.col(ts), F.col("RaceDescription"), F.col("Gender"),
-                           F.col("CurrentAge"), F.col(category_col))).alias("_f")
-    agg = df.groupBy(*keys).agg(first, F.max((F.col(category_col) == felony).cast("int"))
-                                .alias("_fel"))
-    return agg.select(*keys, F.col("_f.RaceDescription").alias("RaceDescription"),
-                      F.col("_f.Gender").alias("Gender"),
-                      cut_bins(F.col("_f.CurrentAge"), 0, 100, 10).alias("age_group"),
-                      F.when(F.col("_fel") == 1, F.lit(felony))
-                       .otherwise(F.col(f"_f.{category_col}")).alias("category"))
-
-
-def pretrial_days(df: DataFrame, ends: DataFrame | None = None,
+                           F.col("CurrentAge"), F.col(category_col)))
+    agg = df.groupBy(*keys).agg(
+        first.alias("_f"), F.max((F.col(category_col) == felony).cast("int")).alias("_fel"),
+        F.coalesce(F.min(F.when(F.col(status).isNotNull(), day)),
+                   F.date_add(F.max(day), 1)).alias("end"))
+    start = F.to_date(F.col(keys[-1]))
+    since = first_tracked_day(df, keys[0], ts, status)
+    return agg.filter((start >= since) & (F.col("end") >= start)).select(
+        *keys, start.alias("start"), "end", F.col("_f.RaceDescription").alias("RaceDescription"),
+        F.col("_f.Gender").alias("Gender"),
+        cut_bins(F.col("_f.CurrentAge"), 0, 100, 10).alias("age_group"),
+        F.when(F.col("_fel") == 1, F.lit(felony)).otherwise(F.col(f"_f.{category_col}")).alias("category"))
+
+
+def pretrial_days(df: DataFrame, stays: DataFrame | None = None,
                   dims: Sequence[tuple[str, str]] = DIMENSIONS) -> DataFrame:
-    """Mean days from booking to first disposition, overall and by each
-    attribute (Q01).  Output: ``dimension, level, bookings, total_days,
-    mean_days``; the overall row has dimension ``All``."""
-    ends = ends if ends is not None else episode_end(df)
-    # Both sides are episode tables, already hash-partitioned on the keys by
-    # their aggregations: a shuffled hash join adds no exchange and never
-    # broadcasts a table that grows with the data.
-    stays = ends.join(episode_attributes(df).hint("shuffle_hash"), list(BOOKING)) \
-                .withColumn("days", F.datediff(F.col("end_pretrial"), F.to_date(F.col(BOOKING[1]))))
+    """Mean days of the stays, overall and by each attribute (Q01).
+
+    Output: ``dimension, level, bookings, total_days, mean_days``; the overall
+    row has dimension ``All``.
+    """
+    stays = stays if stays is not None else episode_stays(df)
+    stays = stays.withColumn("days", F.datediff("end", "start"))
     names = [n for n, _ in dims]
     wide = stays.select("days", F.lit("All").alias("All"),
                         *[F.col(c).cast("string").alias(n) for n, c in dims])
@@ -57,7 +68,7 @@ def pretrial_days(df: DataFrame, ends: DataFrame | None = None,
 
 
 def booking_days_cost(df: DataFrame, periods, rate: int = 82,
-                      ends: DataFrame | None = None) -> DataFrame:
+                      stays: DataFrame | None = None) -> DataFrame:
     """Pre-trial booking-days that fall in each period, and their cost (Q02).
 
     A stay covers days [booking day, end day); its overlap with an inclusive
@@ -65,12 +76,11 @@ def booking_days_cost(df: DataFrame, periods, rate: int = 82,
     stay is expanded against them in place (no join).
     Output: ``period, bookings, booking_days, cost``.
     """
-    ends = ends if ends is not None else episode_end(df)
-    start = F.to_date(F.col(BOOKING[1]))
+    stays = stays if stays is not None else episode_stays(df)
     arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("start"),
                              F.lit(e).alias("end")) for n, s, e in periods])
-    per = ends.select(start.alias("_s"), F.col("end_pretrial").alias("_e"),
-                      F.explode(arr).alias("_p"))
+    per = stays.select(F.col("start").alias("_s"), F.col("end").alias("_e"),
+                       F.explode(arr).alias("_p"))
     overlap = F.datediff(F.least(F.col("_e"), F.date_add(F.col("_p.end"), 1)),
                          F.greatest(F.col("_s"), F.col("_p.start")))
     per = per.select(F.col("_p.name").alias("period"), overlap.alias("days")) \
@@ -104,24 +114,23 @@ def initial_and_final_charges(df: DataFrame, keys: Sequence[str] = BOOKING, ts:
     """Episodes holding each charge group at their first snapshot (booking)
     and at their last (release) (Q07); every row of a tied day counts.
 
-    First/last times come from one aggregation joined back on the episode
-    keys (shuffled hash join built on the per-episode side; AQE splits a hot
-    episode), not from a window over whole episodes.
+    One aggregation to (episode, group) with its first and last time; the
+    episode's own are a window over those rows, of which an episode has one
+    for each charge group.
     Output: ``charge_group, at_booking, at_release``.
     """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    rows = df.select(*keys, ts, F.coalesce(F.col(item), F.lit(missing)).alias("charge_group")) \
-             .join(span.hint("shuffle_hash"), keys)
-    rows = rows.select(*keys, "charge_group",
-                       (F.col(ts) == F.col("_first")).cast("int").alias("_b"),
-                       (F.col(ts) == F.col("_last")).cast("int").alias("_r")) \
-               .filter((F.col("_b") == 1) | (F.col("_r") == 1))
-    per_episode = rows.groupBy(*keys, "charge_group").agg(F.max("_b").alias("_b"),
-                                                          F.max("_r").alias("_r"))
+    groups = df.groupBy(*keys, F.coalesce(F.col(item), F.lit(missing)).alias("charge_group")).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    episode = Window.partitionBy(*keys)
+    per_episode = groups.select(
+        "charge_group",
+        (F.col("_first") == F.min("_first").over(episode)).cast("int").alias("_b"),
+        (F.col("_last") == F.max("_last").over(episode)).cast("int").alias("_r")) \
+        .filter((F.col("_b") == 1) | (F.col("_r") == 1))
     return per_episode.groupBy("charge_group").agg(
         F.sum("_b").cast("long").alias("at_booking"), F.sum("_r").cast("long").alias("at_release"))
 
 
 __all__ = ["pretrial_days", "booking_days_cost", "daily_pretrial_headcount",
-           "initial_and_final_charges", "episode_attributes"]
+           "initial_and_final_charges", "episode_stays"]

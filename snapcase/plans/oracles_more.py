@@ -131,20 +131,30 @@ def _idx(r, d, t):
     return r * 4 + d * 2 + t + 1   # DuckDB lists are 1-based
 
 
-def _ipf_sql(cycles: int, dt, rd, rt) -> str:
-    def fit(target, key_of):
+def _ipf_ctes(dt, rd, rt) -> tuple[str, str]:
+    """Proportional fitting in cycles of three margins until no cell moves."""
+    def fit(m, target, key_of):
         out = []
         for c in _CELLS:
-            key = key_of(*c)
-            partners = [p for p in _CELLS if key_of(*p) == key]
-            fitted = _sum([f"m[{_idx(*p)}]" for p in partners])
-            out.append(f"m[{_idx(*c)}] * {target[key]} / {fitted}")
-        return "[" + ", ".join(out) + "]"
-    step = (f"CASE WHEN i % 3 = 0 THEN {fit(dt, lambda r, d, t: (d, t))} "
-            f"WHEN i % 3 = 1 THEN {fit(rd, lambda r, d, t: (r, d))} "
-            f"ELSE {fit(rt, lambda r, d, t: (r, t))} END")
+            partners = [p for p in _CELLS if key_of(*p) == key_of(*c)]
+            fitted = _sum([f"{m}[{_idx(*p)}]" for p in partners])
+            out.append(f"CASE WHEN {fitted} = 0 THEN 0.0 ELSE {m}[{_idx(*c)}] * {target[key_of(*c)]} "
+                       f"/ {fitted} END")
+        return "CAST([" + ", ".join(out) + "] AS DOUBLE[])"
     start = "[" + ", ".join("CAST(1.0 AS DOUBLE)" for _ in _CELLS) + "]"
-    return f"list_reduce(range({3 * cycles}), lambda m, i: {step}, {start})"
+    moved = ", ".join(f"CASE WHEN m3[{i}] = 0 THEN 0.0 ELSE abs(m3[{i}] - m[{i}]) / m3[{i}] END"
+                      for i in range(1, 9))
+    cells = ", ".join(_c(*k) for k in _CELLS)
+    ipf = f"""ipf AS (
+    SELECT {{stratum}}{cells}, {start} AS m, CAST(1 AS DOUBLE) AS moved, 0 AS cycle FROM cells
+    UNION ALL
+    SELECT {{stratum}}{cells}, m3, CAST(greatest({moved}) AS DOUBLE), cycle + 1 FROM (
+      SELECT *, {fit('m2', rt, lambda r, d, t: (r, t))} AS m3 FROM (
+        SELECT *, {fit('m1', rd, lambda r, d, t: (r, d))} AS m2 FROM (
+          SELECT *, {fit('m', dt, lambda r, d, t: (d, t))} AS m1 FROM ipf
+          WHERE moved > 4e-15 AND cycle < 20000))))"""
+    return ipf, """fitted AS (SELECT *, m AS homog FROM ipf
+    QUALIFY row_number() OVER ({partition} ORDER BY cycle DESC) = 1)"""
 
 
 def _unit_sql(p: str) -> str:
@@ -164,7 +174,7 @@ def _p_sql(x: str, df: int) -> str:
     return f"(exp(-{half}) * (1.0 + {half}))"
 
 
-def _loglinear_sql(cycles: int = 25, strata: str | None = None) -> str:
+def _loglinear_sql(strata: str | None = None) -> str:
     n, N, dt, rd, rt, r1, d1, t1 = _margins()
     closed = {
         "independence": [f"{r1[r]} * {d1[d]} * {t1[t]} / ({N} * {N})" for r, d, t in _CELLS],
@@ -178,18 +188,22 @@ def _loglinear_sql(cycles: int = 25, strata: str | None = None) -> str:
               ("conditional_dt_tr", 2), ("homogeneous", 1), ("saturated", 0))
     selects = []
     for name, df in models:
-        fit = closed[name]
-        g2 = "(" + _sum([f"(CASE WHEN {n[k]} > 0 THEN {n[k]} * ln({n[k]} / ({fit[i]})) ELSE 0.0 END)"
+        fit = [f"CASE WHEN {n[k]} = 0 THEN coalesce({f}, 0.0) ELSE {f} END"
+               for k, f in zip(_CELLS, closed[name])]
+        g2 = "greatest(0.0, " + _sum([f"(CASE WHEN {n[k]} > 0 THEN {n[k]} * ln({n[k]} / ({fit[i]})) ELSE 0.0 END)"
                          for i, k in enumerate(_CELLS)]) + " * 2.0)"
-        x2 = _sum([f"(({n[k]} - ({fit[i]})) * ({n[k]} - ({fit[i]})) / ({fit[i]}))"
+        x2 = _sum([f"coalesce(({n[k]} - ({fit[i]})) * ({n[k]} - ({fit[i]})) / nullif({fit[i]}, 0), 0.0)"
                    for i, k in enumerate(_CELLS)])
         selects.append(
             f"SELECT {'stratum AS booking_year, ' if strata else ''}{q(name)} AS model, {df} AS df, "
             f"{rnd(g2)} AS g2, {rnd(x2)} AS x2, "
             f"{rnd(_p_sql(g2, df))} AS p_g2, {rnd(_p_sql(x2, df))} AS p_x2 FROM fitted")
-    fitted = f"fitted AS (SELECT *, {_ipf_sql(cycles, dt, rd, rt)} AS homog FROM cells)"
-    return with_ctes(*flags_ctes(strata), cells_cte(bool(strata)), fitted,
-                     body="\nUNION ALL\n".join(selects))
+    ipf, fitted = _ipf_ctes(dt, rd, rt)
+    sql = with_ctes(*flags_ctes(strata), cells_cte(bool(strata)),
+                    ipf.format(stratum="stratum, " if strata else ""),
+                    fitted.format(partition="PARTITION BY stratum" if strata else ""),
+                    body="\nUNION ALL\n".join(selects))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 oracle("loglinear_fit", _loglinear_sql())
@@ -427,24 +441,30 @@ _ATTR_CTE = f"""attrs AS (
     QUALIFY row_number() OVER (PARTITION BY BookingNumber, BookingDate
       ORDER BY SnapshotDateTime, RaceDescription NULLS FIRST, Gender NULLS FIRST,
                CurrentAge NULLS FIRST, ChargeCategory NULLS FIRST) = 1)"""
-_STAYS = """stays AS (SELECT a.*, datediff('day', CAST(e.BookingDate AS DATE), e.end_pretrial) AS days
-    FROM ends e JOIN attrs a USING (BookingNumber, BookingDate))"""
+_STAYS = ("""held AS (
+    SELECT BookingNumber, BookingDate, CAST(BookingDate AS DATE) AS start_day,
+           coalesce(min(CAST(SnapshotDateTime AS DATE)) FILTER (WHERE ChargeDisposition IS NOT NULL),
+                    max(CAST(SnapshotDateTime AS DATE)) + 1) AS end_day
+    FROM cases GROUP BY BookingNumber, BookingDate)""", """stays AS (
+    SELECT * FROM held
+    WHERE start_day >= (SELECT min(CAST(SnapshotDateTime AS DATE)) FROM sj) AND end_day >= start_day)""")
+_SPANS = """spans AS (SELECT a.*, datediff('day', start_day, end_day) AS days
+    FROM stays JOIN attrs a USING (BookingNumber, BookingDate))"""
 _LONG = """long AS (
-    SELECT 'All' AS dimension, 'All' AS level, days FROM stays
-    UNION ALL SELECT 'Race', CAST(RaceDescription AS VARCHAR), days FROM stays
-    UNION ALL SELECT 'Gender', CAST(Gender AS VARCHAR), days FROM stays
-    UNION ALL SELECT 'Age', CAST(age_group AS VARCHAR), days FROM stays
-    UNION ALL SELECT 'Category', CAST(category AS VARCHAR), days FROM stays)"""
-oracle("pretrial_days", with_ctes(CASES_CTE, EPISODE_CTES, _ATTR_CTE, _STAYS, _LONG, body="""
+    SELECT 'All' AS dimension, 'All' AS level, days FROM spans
+    UNION ALL SELECT 'Race', CAST(RaceDescription AS VARCHAR), days FROM spans
+    UNION ALL SELECT 'Gender', CAST(Gender AS VARCHAR), days FROM spans
+    UNION ALL SELECT 'Age', CAST(age_group AS VARCHAR), days FROM spans
+    UNION ALL SELECT 'Category', CAST(category AS VARCHAR), days FROM spans)"""
+oracle("pretrial_days", with_ctes(CASES_CTE, EPISODE_CTES, _ATTR_CTE, *_STAYS, _SPANS, _LONG, body="""
 SELECT dimension, level, count(*) AS bookings, CAST(sum(days) AS BIGINT) AS total_days,
        CAST(sum(days) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_days
 FROM long GROUP BY dimension, level"""))
 
-oracle("booking_days_cost", with_ctes(CASES_CTE, EPISODE_CTES, periods_cte(), f"""
+oracle("booking_days_cost", with_ctes(CASES_CTE, EPISODE_CTES, *_STAYS, periods_cte(), f"""
 per AS (SELECT p.name AS period,
-          datediff('day', greatest(CAST(e.BookingDate AS DATE), p.p_start),
-                          least(e.end_pretrial, p.p_end + 1)) AS days
-        FROM ends e CROSS JOIN periods p)""", body=f"""
+          datediff('day', greatest(e.start_day, p.p_start), least(e.end_day, p.p_end + 1)) AS days
+        FROM stays e CROSS JOIN periods p)""", body=f"""
 SELECT period, count(*) AS bookings, CAST(sum(days) AS BIGINT) AS booking_days,
        CAST(sum(days) * {P.DAY_RATE} AS BIGINT) AS cost
 FROM per WHERE days > 0 GROUP BY period"""))
@@ -465,10 +485,12 @@ eg AS (SELECT DISTINCT BookingNumber, BookingDate, RaceDescription AS race, Char
        FROM cases WHERE ChargeGroup IS NOT NULL)""", f"""
 anch AS (SELECT BookingNumber, BookingDate, race FROM eg WHERE charge_group = {_X})""", """
 per_race AS (SELECT race, count(*) AS anchor_episodes FROM anch GROUP BY race)""", body=f"""
-SELECT race, charge_group, count(*) AS episodes, anchor_episodes,
+SELECT e.race, charge_group, count(*) AS episodes, anchor_episodes,
        CAST(count(*) AS DOUBLE) / CAST(anchor_episodes AS DOUBLE) AS share
-FROM eg JOIN anch USING (BookingNumber, BookingDate, race) JOIN per_race USING (race)
-WHERE charge_group <> {_X} GROUP BY race, charge_group, anchor_episodes"""))
+FROM (SELECT eg.* FROM eg JOIN anch a ON eg.BookingNumber = a.BookingNumber
+        AND eg.BookingDate = a.BookingDate AND eg.race IS NOT DISTINCT FROM a.race) e
+JOIN per_race p ON e.race IS NOT DISTINCT FROM p.race
+WHERE charge_group <> {_X} GROUP BY e.race, charge_group, anchor_episodes"""))
 
 oracle("warrant_share", with_ctes(CASES_CTE, f"""
 pe AS (SELECT BookingNumber, BookingDate, RaceDescription AS race,

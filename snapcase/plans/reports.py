@@ -38,6 +38,7 @@ CHARGE_CORRECTIONS = (
 # Reporting periods, year, groups, compared races and filters.
 FISCAL_PERIODS = (period("1415", "2014-07-11", "2015-06-30"),
                   period("1516", "2015-07-01", "2016-06-29"))
+STAY_PERIODS = (period("18", "2017-07-01", "2018-06-30"), period("19", "2018-07-01", "2019-03-31"))
 REPORT_YEAR = 2015
 DRUGS, TRAFFIC = "DRUGS", "TRAFFIC"
 RACES = ("Black-origins of Africa", "White/Eurp/ N.Afr/Mid Eas")
@@ -102,17 +103,17 @@ def population_pyramid(df: DataFrame, estimates: DataFrame, year: int = REPORT_Y
             "actual_vs_expected": pop.actual_vs_expected(pyramid)}
 
 
-def pretrial_questions(df: DataFrame, periods=FISCAL_PERIODS, rate: int = 82,
+def pretrial_questions(df: DataFrame, periods=STAY_PERIODS, rate: int = 82,
                        warrant: str = "WARRANT", anchor: str = DRUGS) -> dict[str, DataFrame]:
     """The follow-up questions: stay length, booking-days cost, daily
     headcount, combinations with the anchor group, warrants, initial vs
     final charges."""
     from snapcase.operators import charges as ch
     from snapcase.operators import stays as st
-    ends = episode_end(df)
+    stays = st.episode_stays(df)
     return {
-        "days": st.pretrial_days(df, ends),
-        "cost": st.booking_days_cost(df, periods, rate, ends),
+        "days": st.pretrial_days(df, stays),
+        "cost": st.booking_days_cost(df, periods, rate, stays),
         "headcount": st.daily_pretrial_headcount(df),
         "combinations": ch.group_combinations_by_race(df, anchor),
         "warrants": ch.warrant_share(df, warrant),
@@ -121,4 +122,5 @@ def pretrial_questions(df: DataFrame, periods=FISCAL_PERIODS, rate: int = 82,
 
 
 __all__ = ["fiscal_profile", "monthly_profile", "association", "population_pyramid",
-           "pretrial_questions", "CHARGE_CORRECTIONS", "FISCAL_PERIODS"]
+           "pretrial_questions", "CHARGE_CORRECTIONS", "FISCAL_PERIODS",
+           "STAY_PERIODS"]

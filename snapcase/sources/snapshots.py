@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
+import csv
 import threading
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,25 +43,59 @@ def drop_bad_values(df: DataFrame, bad: dict | None = None) -> DataFrame:
     return df.filter(cond)
 
 
+def _strings(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _csv_headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """First lines of the CSV files and the paths of the files that have each one.
+
+    Spark finds the first line of every file; what reaches the driver is one path per
+    file, as for any scan.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("start")).filter("start = 0 and value <> ''")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return [(r.header, sorted(r.files)) for r in first.groupBy("header").agg(
+        F.collect_list("file").alias("files")).orderBy("header").collect()]
+
+
+def _csv_part(reader, header: str, files: list[str]) -> DataFrame:
+    """Rows of the files with one header; its names without surrounding blanks."""
+    names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]))]
+    return (reader.option("header", True).option("enforceSchema", True)
+            .schema(_strings(names)).csv(files))
+
+
+def _cell(name: str, kind: T.DataType | None) -> Column:
+    value = F.col(f"`{name}`")
+    value = F.when(~F.trim(value).isin("", "NA"), value)
+    return (value.try_cast(kind) if kind else value).alias(name)
+
+
 def scan_snapshots(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType | None = None, bad: dict | None = None,
                    options: dict | None = None) -> DataFrame:
     """Typed snapshot scan.
 
-    CSV: the header names the columns (the file may hold more columns, in
-    any order); the named snapshot columns are cast by name to their types,
-    the others stay strings.  No inference pass over the data.  Parquet keeps
-    its own types and gets column pruning and filter pushdown.
+    CSV: each file's header names its columns, so files may differ in columns
+    and their order; a column that a file lacks is NULL.  Blank cells and ``NA``
+    are missing.  The named snapshot columns are cast by name to their types,
+    a cell that does not parse becoming NULL; the others stay strings.
+    Parquet keeps its own types and gets column pruning and filter pushdown.
     """
     schema = schema or SNAPSHOT_SCHEMA
     reader = spark.read
     if options:
         reader = reader.options(**options)
     if fmt == "csv":
-        raw = reader.option("header", True).option("inferSchema", False).csv(path)
+        parts = [_csv_part(reader, header, files) for header, files in _csv_headers(spark, path)]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts \
+            else reader.schema(_strings(schema.names)).csv(path)
         types = {f.name: f.dataType for f in schema.fields}
-        df = raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types
-                          else F.col(f"`{c}`") for c in raw.columns])
+        df = raw.select(*[_cell(c, types.get(c)) for c in raw.columns])
     else:
         df = reader.format(fmt).load(path)
     return drop_bad_values(df, bad)
@@ -118,27 +152,6 @@ _WRITTEN: dict[tuple, DataFrame] = {}
 _LOCK = threading.Lock()
 
 
-def _stamp(sf_dir: str) -> str:
-    parts = []
-    for name in ("lineitem", "orders", "customer", "part"):
-        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(p)
-            parts.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(p)
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
-
-
-def _file_count(spark: SparkSession, sf_dir: str, target_bytes: int = 128 << 20) -> int:
-    """Enough files to keep every core busy, one more per ~128 MB of input."""
-    try:
-        size = os.path.getsize(f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    except OSError:
-        size = 0
-    return max(2 * spark.sparkContext.defaultParallelism, -(-size // target_bytes))
-
-
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case view written once as a parquet snapshot table.
 
@@ -148,18 +161,18 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     any host read it and a lost executor costs a re-read, not a recompute of
     the lineage.  Files are range-partitioned and sorted by snapshot time, so
     min/max statistics skip whole files for the date-range filters of the
-    reports, and there are enough files for every core to read one.
+    reports; their number follows the shuffle partitions.
     """
     from snapcase.session import results_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         table = _WRITTEN.get(key)
         if table is None:
-            path = results_path(spark, f"case_table/{key[2]}-{key[0]}")
+            path = results_path(spark, f"case_table/{uuid.uuid4().hex}")
             (case_view(spark, sf_dir)
              # Booking number, then a deterministic row hash, split a hot
              # snapshot day (or a hot booking-day) across files.
-             .repartitionByRange(_file_count(spark, sf_dir), "SnapshotDateTime", "BookingNumber",
+             .repartitionByRange("SnapshotDateTime", "BookingNumber",
                                  F.xxhash64("Charge", "ChargeDisposition", "ChargeCategory"))
              .sortWithinPartitions("SnapshotDateTime", "BookingNumber")
              .write.mode("overwrite").parquet(path))

@@ -60,7 +60,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 @pytest.mark.parametrize("name", ["pretrial_exposure", "profile_period_shares",
-                                  "initial_and_final_charges", "item_pair_contingency"])
+                                  "item_pair_contingency"])
 def test_growing_sides_are_never_broadcast(spark, name):
     plan = _plan(queries()[name](spark, "/root/testdata/sf0.01"))
     # every broadcast in these plans must be of a parameter-sized table
@@ -73,3 +73,9 @@ def test_growing_sides_are_never_broadcast(spark, name):
 def test_episode_end_scans_once(spark):
     # the scalar subquery and the result share the episode aggregate's shuffle
     assert "ReusedExchange" in _plan(ep.episode_end(cases(spark, SF)))
+
+
+@pytest.mark.parametrize("name", ["initial_and_final_charges", "pretrial_days", "booking_days_cost"])
+def test_episode_questions_join_nothing(spark, name):
+    plan = _plan(queries()[name](spark, "/root/testdata/sf0.01"))
+    assert "Join" not in plan and "CartesianProduct" not in plan

@@ -28,3 +28,18 @@ def test_result_tables_round_trip(spark):
     path = write_result(df, "unit_roundtrip")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert sorted(tuple(r) for r in read_result(spark, "unit_roundtrip").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_csv_headers_missing_values_and_bad_cells(spark, tmp_path):
+    folder = tmp_path / "extract"
+    folder.mkdir()
+    (folder / "a.csv").write_text("BookingNumber,Gender,RaceDescription,CurrentAge,ChargeDisposition\n"
+                                  "1,F,W,30,NA\n2,M,B,x,\"\"\n")
+    (folder / "b.csv").write_text("BookingNumber,RaceDescription,Gender,Extra,CurrentAge,ChargeDisposition\n"
+                                  "3,W,F,e,NA,GUILTY\n4,\"B, other\",M,,41,\n")
+    rows = {r.BookingNumber: r for r in
+            scan_snapshots(spark, str(folder), fmt="csv", bad={}).collect()}
+    assert {k: (r.Gender, r.RaceDescription, r.CurrentAge, r.ChargeDisposition, r.Extra)
+            for k, r in rows.items()} == {
+        1: ("F", "W", 30, None, None), 2: ("M", "B", None, None, None),
+        3: ("F", "W", None, "GUILTY", "e"), 4: ("M", "B, other", 41, None, None)}
