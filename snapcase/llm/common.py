@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from snapcase.session import shared_dir
 
 # ASCII white space [\x20\x09-\x0D], as bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
+# Bytes of rows, before compression, that one task writes of a table of known size.
+FILE_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,8 +38,17 @@ def run_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    """Write a table once and read it back: lineage ends here and its size is known."""
+def stored(df: DataFrame, path: str, *partition_by: str, rows: int | None = None,
+           width: int = 32) -> DataFrame:
+    """Write a table once and read it back: lineage ends here and its size is known.
+
+    With ``rows``, the most rows it can have, at about ``width`` bytes each, a small table
+    is written by as few tasks as its bytes and the cores call for, not one per shuffle
+    partition; that number grows with the rows.
+    """
+    if rows is not None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        df = df.coalesce(max(cores, math.ceil(rows * width / FILE_BYTES)))
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int,
               folder: str) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
     members = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(),
-                     folder)
+                     folder, rows=2 * pairs.count())
     sets = _set_table(rows, members, words)
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +189,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int,
             .mapInArrow(check, "a long, b long"))
 
 
-def _lists(classes: DataFrame, folder: str) -> DataFrame:
+def _lists(classes: DataFrame, folder: str, most: int) -> DataFrame:
     """Inverted lists with more than one member: value, rep, n (set size), fame.
 
-    ``fame`` is the summed length of the lists of a sketch: among near copies of a text
+    ``most`` bounds the classes.  ``fame`` is the summed length of the lists of a sketch: among near copies of a text
     the least changed ones have most.
     """
     retained = classes.select("rep", "n", F.size("sketch").alias("k"),
                               F.explode("sketch").alias("value"))
     # Values that a single class retains generate nothing; they come first in its order.
     sizes = stored(retained.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
-                   .filter("members > 1"), f"{folder}/sizes")
+                   .filter("members > 1"), f"{folder}/sizes", rows=most * SKETCH // 2)
     shared = stored(retained.join(sizes, "value").select("rep", "n", "k", "members", "value"),
-                    f"{folder}/shared")
+                    f"{folder}/shared", rows=most * SKETCH)
     # A sketch has at most SKETCH values, which bounds the arrays.
     ordered = shared.groupBy("rep", "n", "k").agg(
         F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"),
@@ -214,10 +214,11 @@ def _lists(classes: DataFrame, folder: str) -> DataFrame:
             .select("v.value", "rep", "n", "fame"))
 
 
-def _open_lists(lists: DataFrame, edges: DataFrame | None, folder: str) -> DataFrame:
+def _open_lists(lists: DataFrame, edges: DataFrame | None, folder: str, most: int) -> DataFrame:
     """Members of the lists that are not all connected: value, rep, n, fame, part, top.
 
     ``part`` is the component so far and ``top`` the part with most members in the list;
+    ``most`` is the number of members in all lists;
     ``size`` and ``others`` count the members of the list and those outside ``top``.
     """
     if edges is None:
@@ -225,17 +226,17 @@ def _open_lists(lists: DataFrame, edges: DataFrame | None, folder: str) -> DataF
     labels = connected(edges, f"{folder}/parts").select(
         F.col("node").alias("rep"), F.col("component").alias("part"))
     placed = stored(lists.join(labels, "rep", "left").withColumn(
-        "part", F.coalesce("part", "rep")), f"{folder}/placed")
+        "part", F.coalesce("part", "rep")), f"{folder}/placed", rows=most)
     tops = stored(placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("size"))
                   .groupBy("value").agg(F.max(F.struct("size", "part")).alias("top"),
                                         F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"))
                   .filter("parts > 1").select("value", F.col("top.part").alias("top"), "size",
                                               (F.col("size") - F.col("top.size")).alias("others")),
-                  f"{folder}/tops")
-    return stored(placed.join(tops, "value"), f"{folder}/open")
+                  f"{folder}/tops", rows=most // 2)
+    return stored(placed.join(tops, "value"), f"{folder}/open", rows=most, width=64)
 
 
-def _pivot_pairs(members: DataFrame, turn: int, folder: str) -> DataFrame:
+def _pivot_pairs(members: DataFrame, turn: int, folder: str, most: int) -> DataFrame:
     """Pairs of each member with two pivots of its list, where parts differ: a, b, sizes.
 
     The pivots are the member with most fame and one drawn by a hash; after the first
@@ -246,7 +247,7 @@ def _pivot_pairs(members: DataFrame, turn: int, folder: str) -> DataFrame:
     drawn = F.min(F.when(F.col("top").isNull() | (F.col("part") != F.col("top")), drawn))
     pivots = stored(members.groupBy("value").agg(famous.alias("x"), drawn.alias("y")).select(
         "value", F.array(F.struct("x.rep", "x.n", "x.part"), F.struct("y.rep", "y.n", "y.part"))
-        .alias("pivots")), f"{folder}/pivots")
+        .alias("pivots")), f"{folder}/pivots", rows=most // 2, width=64)
     return (members.join(pivots, "value")
             .select("rep", F.col("n").alias("n_a"), "part", F.explode("pivots").alias("p"))
             .filter("part <> p.part")
@@ -305,10 +306,10 @@ def _overlaps(left: list, right: list) -> np.ndarray:
 
 
 def _long_list_links(members: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
-                     percent: int, folder: str) -> DataFrame:
+                     percent: int, folder: str, most: int) -> DataFrame:
     """Links of long lists between parts, found block by block: a, b."""
     long = members.filter(F.col("size") > LONG_LIST)
-    held = stored(long.groupBy("rep").agg(F.collect_list("value").alias("lists")), f"{folder}/held")
+    held = stored(long.groupBy("rep").agg(F.collect_list("value").alias("lists")), f"{folder}/held", rows=most, width=64)
     sets = _set_table(rows, held.select(F.col("rep").alias("id")), words)
     full = (long.join(held, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
             .withColumn("is_top", F.col("part") == F.col("top"))
@@ -354,29 +355,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = stored(rows.mapInArrow(
         lambda b: _sketches(b, words),
         "id long, n long, sig_a long, sig_b long, sketch array<bigint>"), f"{folder}/sketches")
+    most = light.count()
     same = ["sig_a", "sig_b", "n"]
     reps = stored(light.filter("n > 0 and id is not null").groupBy(*same)
-                  .agg(F.min("id").alias("rep")), f"{folder}/reps")
+                  .agg(F.min("id").alias("rep")), f"{folder}/reps", rows=most)
     chosen = reps.groupBy("rep").agg(F.max(F.struct("n", "sig_a", "sig_b")).alias("set")).select(
         F.col("rep").alias("id"), "set.*")
     classes = stored(light.join(chosen, ["id", *same], "left_semi").dropDuplicates(["id"])
-                     .select(F.col("id").alias("rep"), "n", "sketch"), f"{folder}/classes")
-    lists = stored(_lists(classes, folder), f"{folder}/lists")
+                     .select(F.col("id").alias("rep"), "n", "sketch"), f"{folder}/classes",
+                     rows=most, width=8 * SKETCH)
+    lists = stored(_lists(classes, folder, most), f"{folder}/lists", rows=most * SKETCH // 2)
+    listed = lists.count()
     fit = ((100 * F.col("n_a") >= percent * F.col("n_b"))
            & (100 * F.col("n_b") >= percent * F.col("n_a")))
     edges = None
     for turn in range(PIVOT_PASSES + 1):
         place = f"{folder}/pass-{turn}"
-        members = _open_lists(lists, edges, place)
-        pairs = _pivot_pairs(members, turn, place) if turn < PIVOT_PASSES else _rest_pairs(members)
+        members = _open_lists(lists, edges, place, listed)
+        last = turn == PIVOT_PASSES
+        pairs = _rest_pairs(members) if last else _pivot_pairs(members, turn, place, listed)
         pairs = pairs.filter(fit).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = stored(_estimated(pairs, classes, threshold - SLACK), f"{place}/likely")
+        likely = stored(_estimated(pairs, classes, threshold - SLACK), f"{place}/likely",
+                        rows=listed * (LONG_LIST if last else 2))
         links = stored(_verified(likely, rows, words, percent, f"{place}/members"),
-                       f"{place}/links")
+                       f"{place}/links", rows=likely.count())
         edges = links if edges is None else edges.unionByName(links)
     edges = edges.unionByName(
-        _long_list_links(members, classes, rows, words, percent, place))
+        _long_list_links(members, classes, rows, words, percent, place, listed))
     final = connected(edges, f"{folder}/final")
 
     of_class = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
