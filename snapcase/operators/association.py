@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from snapcase.functions.stats import CHISQ1_95, chisq_upper_p, yates_chisq
 from snapcase.functions.text import sentence_case
 from snapcase.operators.episodes import BOOKING
+from snapcase.operators.grid import combinations
 from snapcase.session import shared_dir
 
-MAX_VOCABULARY = 200_000
-
 
 def basket_items(df: DataFrame, groups: Sequence[str], basket: Sequence[str] = BOOKING,
                  item: str = "Charge", group_col: str = "ChargeGroup",
@@ -72,15 +71,13 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
                           basket: Sequence[str] = BOOKING, item: str = "Charge",
                           group_col: str = "ChargeGroup", grain: str = "basket",
                           zero_fill: bool = True,
-                          max_vocabulary: int = MAX_VOCABULARY,
                           checkpoint: bool = True) -> DataFrame:
     """2x2 counts for every (x item, y item) pair.
 
     Output: ``x_item, y_item, n11, n10, n01, n00, n`` where ``n`` is the
     number of baskets holding any item of either group.  With ``zero_fill``
     pairs that never co-occur are listed with ``n11 = 0`` (they can still be
-    significant); the Y vocabulary is counted first and must stay under
-    ``max_vocabulary`` -- the grid is |X| x |Y| rows, the size of the answer.
+    significant): |X| x |Y| rows, the size of the answer.
     """
     bi = basket_items(df, [x_group, y_group], basket, item, group_col, grain)
     if checkpoint:
@@ -99,13 +96,7 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
     n11 = xs.join(ys.hint("shuffle_hash"), keys).groupBy("x_item", "y_item") \
             .agg(F.count(F.lit(1)).alias("n11"))
     if zero_fill:
-        vocab = my.count()
-        if vocab > max_vocabulary:
-            raise ValueError(f"{vocab} distinct '{y_group}' items exceed max_vocabulary="
-                             f"{max_vocabulary}; use zero_fill=False for co-occurring pairs")
-        y_vocab = my.agg(F.sort_array(F.collect_list(F.struct("y_item", "my")))).scalar()
-        grid = (mx.select("x_item", "mx", F.explode(y_vocab).alias("_y"))
-                  .select("x_item", "mx", "_y.y_item", "_y.my"))
+        grid = combinations(mx, my)
         pairs = grid.join(n11, ["x_item", "y_item"], "left") \
                     .withColumn("n11", F.coalesce(F.col("n11"), F.lit(0)))
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from snapcase.functions.bins import cut_bins, interval_to_range_label
 from snapcase.operators.episodes import BOOKING, TS, first_per_group, pretrial_rowlevel
+from snapcase.operators.grid import combinations
 from snapcase.operators.recode import recode_values
 from snapcase.session import shared_dir
 
@@ -96,41 +97,26 @@ def reference_population(pop: DataFrame, recode: dict[str, str] | None = None,
     return out.withColumn("Age", F.regexp_replace("Age", "Age | years", ""))
 
 
-MAX_GRID_CELLS = 10_000_000
-
-
-def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n",
-                   max_cells: int = MAX_GRID_CELLS) -> DataFrame:
+def count_complete(df: DataFrame, dims: Sequence[str], name: str = "n") -> DataFrame:
     """Counts by ``dims`` with every combination of observed levels present
     (zeros filled) (C31).
 
-    The level lists come from the aggregated counts (bounded by the number
-    of distinct levels) and are exploded -- a generator, not a join.  A NULL
-    level is a level of its own (wrapped in a struct so ``collect_set``
-    keeps it; matched null-safe).
+    The levels are distinct values of the aggregated counts and are combined
+    one dimension after the other.  A NULL level is a level of its own,
+    matched null-safe.
     """
     dims = list(dims)
-    # The aggregated counts feed the size check, the level lists and the final
-    # join: checkpoint them (small) so the upstream chain runs once.
+    # The aggregated counts feed the level lists and the final join: checkpoint
+    # them (small) so the upstream chain runs once.
     shared_dir(df.sparkSession)
     counts = df.groupBy(*dims).agg(F.count(F.lit(1)).alias(name)).checkpoint(eager=True)
-    # The grid is the answer (product of level counts): check its size with
-    # distinct counts before one row gathers the level lists.
-    sizes = counts.agg(*[F.count_distinct(F.struct(F.col(d).alias("v"))).alias(d)
-                         for d in dims]).first()
-    cells = 1
-    for d in dims:
-        cells *= int(sizes[d])
-    if cells > max_cells:
-        raise ValueError(f"{cells} level combinations exceed max_cells={max_cells}")
-    levels = counts.agg(*[F.collect_set(F.struct(F.col(d).alias("v"))).alias(d) for d in dims])
-    grid = levels
-    for d in dims:
-        grid = grid.withColumn(d, F.explode(d)).withColumn(d, F.col(f"{d}.v"))
+    grid = counts.select(dims[0]).distinct()
+    for d in dims[1:]:
+        grid = combinations(grid, counts.select(d).distinct())
     c = counts.select(*[F.col(d).alias(f"_{d}") for d in dims], name)
     cond = None
     for d in dims:
-        eq = grid[d].eqNullSafe(c[f"_{d}"])
+        eq = F.col(d).eqNullSafe(F.col(f"_{d}"))
         cond = eq if cond is None else cond & eq
     return (grid.join(c, cond, "left")
                 .select(*dims, F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)))

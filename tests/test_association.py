@@ -90,3 +90,16 @@ def test_indicator_matrix(spark):
     m = {r.BookingNumber: (r.d1, r.t1, r.t2) for r in
          asc.indicator_matrix(_baskets(spark), ["d1", "t1", "t2"], ["DRUGS", "TRAFFIC"]).collect()}
     assert m == {1: (1, 1, 0), 2: (1, 1, 0), 3: (0, 0, 0), 4: (0, 0, 1)}
+
+
+def test_zero_pair_can_be_significant(spark):
+    rows = [row(b, "2020-01-02", "2020-01-03", grp="DRUGS" if b <= 20 else "TRAFFIC",
+                charge="d1" if b <= 20 else "t1") for b in range(1, 41)]
+    v = asc.cramers_v(asc.item_pair_contingency(snap(spark, rows), "DRUGS", "TRAFFIC")).collect()
+    assert [(r.x_item, r.y_item, r.n11) for r in v] == [("d1", "t1", 0)]
+    assert v[0].cramers_v > 0.9
+
+
+def test_pairs_without_items_on_one_side_are_none(spark):
+    rows = [row(1, "2020-01-02", "2020-01-03", grp="DRUGS", charge="d1")]
+    assert asc.item_pair_contingency(snap(spark, rows), "DRUGS", "TRAFFIC").collect() == []

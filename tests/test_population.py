@@ -36,3 +36,11 @@ def test_population_compare_signs_and_shares(spark):
         assert all((r.Value < 0) == (r.Gender == "Male") for r in sel)
     comp = pop.group_composition(pop.population_compare(ref, cs)).collect()
     assert {r.Group for r in comp} == {"Reference population", "Case population"}
+
+
+def test_count_complete_has_every_combination_once(spark):
+    df = spark.range(60).selectExpr("cast(id as string) AS a", "nullif(id % 7, 0) AS b",
+                                    "id % 2 = 0 AS c")
+    got = [(r.a, r.b, r.c, r.n) for r in pop.count_complete(df, ["a", "b", "c"]).collect()]
+    assert len(got) == len({g[:3] for g in got}) == 60 * 7 * 2
+    assert sum(g[3] for g in got) == 60 and ("7", None, False, 1) in got
