@@ -3,15 +3,15 @@
 1. Every document becomes its set of word shingles (64-bit hashes).  Documents with
    equal sets form one class; only class representatives go on.
 2. One hash function orders all shingles; the bottom-k sketch of a set is its k lowest.
-3. Inverted lists (retained shingle -> classes) generate pairs.  Sets of similarity 0.8
-   share about 0.87 of their sketches and, but for a chance of about one in a million,
-   ``LEAST_SHARED`` of them (for sets of up to k shingles this is certain).  So they meet
-   in a list of the rarest 1 - LEAST_SHARED of each sketch, and a class enters only those
-   lists: shingles of passages that many documents share generate pairs only between
-   documents that consist of little else.
+3. Inverted lists (retained shingle -> classes) generate pairs.  Sets at the threshold t
+   share the least of their sketches where one contains the other: a Binomial(k, t) number
+   of values.  All but about three in a billion of such pairs at 0.8 share t - ``SLACK`` of them (for sets of
+   up to k shingles this is certain).  So they meet in a list of the rarest 1 - t + SLACK
+   of each sketch, and a class enters only those lists: shingles of passages that many
+   documents share generate pairs only between documents of which these are about half.
 4. Two sketches give the union's sketch; its overlap estimates the similarity.  Pairs
-   that are over six standard errors below the threshold are dropped; the rest are
-   verified on the full sets.
+   that are over six standard errors below the threshold are dropped (where one set
+   contains the other, the same pairs as in 3); the rest are verified on the full sets.
 5. Pairs are formed in passes.  The first (``PIVOT_PASSES`` of them) compares each member
    of a list only with two pivots, so a large group of near copies costs a few rows per
    member and list.  The last covers every remaining pair of a list whose two sides are not
@@ -38,11 +38,9 @@ from .components import connected
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-# Sketch size, and the share of it that similar sets have in common at least.
 SKETCH = 96
-LEAST_SHARED = 0.66
-# Pairs whose estimated similarity is lower than the threshold by this much are dropped:
-# the standard error of an estimate of 0.8 from 96 values is 0.041.
+# Pairs that share less of their sketches than the threshold less this, or whose estimated
+# similarity is lower, are dropped: the standard error of 0.8 from 96 values is 0.041.
 SLACK = 0.26
 PIVOT_PASSES = 1
 # Members beyond which a list is compared in blocks, and the members of a block.
@@ -189,10 +187,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int,
             .mapInArrow(check, "a long, b long"))
 
 
-def _lists(classes: DataFrame, folder: str, most: int) -> DataFrame:
+def _lists(classes: DataFrame, least: float, folder: str, most: int) -> DataFrame:
     """Inverted lists with more than one member: value, rep, n (set size), fame.
 
-    ``most`` bounds the classes.  ``fame`` is the summed length of the lists of a sketch: among near copies of a text
+    ``least`` is the share of a sketch that similar sets have in common at least; ``most``
+    bounds the classes.  ``fame`` is the summed length of the lists of a sketch: among near copies of a text
     the least changed ones have most.
     """
     retained = classes.select("rep", "n", F.size("sketch").alias("k"),
@@ -206,8 +205,8 @@ def _lists(classes: DataFrame, folder: str, most: int) -> DataFrame:
     ordered = shared.groupBy("rep", "n", "k").agg(
         F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"),
         F.sum("members").alias("fame"))
-    # floor((1 - share) * k) + 1 places, those of its unshared values taken.
-    places = (F.floor((1 - LEAST_SHARED) * F.col("k")) + 1 - (F.col("k") - F.size("values")))
+    # floor((1 - least) * k) + 1 places, those of its unshared values taken.
+    places = (F.floor((1 - least) * F.col("k")) + 1 - (F.col("k") - F.size("values")))
     return (ordered.withColumn("places", places.cast("int")).filter("places > 0")
             .select("rep", "n", "fame",
                     F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"))
@@ -266,7 +265,8 @@ def _rest_pairs(members: DataFrame) -> DataFrame:
             .filter("part_a <> part_b and (top_b or a < b)").select("a", "n_a", "b", "n_b"))
 
 
-def _compared(left: list[tuple], right: list[tuple], value: int, percent: int) -> Iterator[tuple]:
+def _compared(left: list[tuple], right: list[tuple], value: int, percent: int,
+              least: float) -> Iterator[tuple]:
     """Links between two blocks of a list: rows (rep, n, part, is_top, lists, sketch, set)."""
     a, b = ({k: np.array([r[i] for r in rows]) for i, k in enumerate(("rep", "n", "part", "top"))}
             for rows in (left, right))
@@ -283,7 +283,7 @@ def _compared(left: list[tuple], right: list[tuple], value: int, percent: int) -
         return
     sketches = [[r[5] for r in rows] for rows in (left, right)]
     k_a, k_b = (np.array([len(s) for s in side]) for side in sketches)
-    open_ &= _overlaps(*sketches) >= LEAST_SHARED * np.minimum(k_a[:, None], k_b[None, :])
+    open_ &= _overlaps(*sketches) >= least * np.minimum(k_a[:, None], k_b[None, :])
     for i, j in zip(*np.nonzero(open_)):
         x, y = (np.frombuffer(r[6], np.uint64) for r in (left[i], right[j]))
         shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -306,7 +306,7 @@ def _overlaps(left: list, right: list) -> np.ndarray:
 
 
 def _long_list_links(members: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
-                     percent: int, folder: str, most: int) -> DataFrame:
+                     percent: int, least: float, folder: str, most: int) -> DataFrame:
     """Links of long lists between parts, found block by block: a, b."""
     long = members.filter(F.col("size") > LONG_LIST)
     held = stored(long.groupBy("rep").agg(F.collect_list("value").alias("lists")), f"{folder}/held", rows=most, width=64)
@@ -332,14 +332,14 @@ def _long_list_links(members: DataFrame, classes: DataFrame, rows: DataFrame, wo
         for value, i, j, side, *row in rows_of(batches, *wanted):
             if (value, i, j) != place:
                 if sides[0] and sides[1]:
-                    for pair in _compared(*sides, place[0], percent):
+                    for pair in _compared(*sides, place[0], percent, least):
                         out.add((min(pair), max(pair)))
                 place, sides = (value, i, j), ([], [])
                 if out.full:
                     yield out.batch()
             sides[side].append(row)
         if sides[0] and sides[1]:
-            for pair in _compared(*sides, place[0], percent):
+            for pair in _compared(*sides, place[0], percent, least):
                 out.add((min(pair), max(pair)))
         yield out.batch()
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     folder = run_folder(docs.sparkSession, "near")
-    percent = round(100 * threshold)
+    percent, least = round(100 * threshold), threshold - SLACK
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     light = stored(rows.mapInArrow(
         lambda b: _sketches(b, words),
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(light.join(chosen, ["id", *same], "left_semi").dropDuplicates(["id"])
                      .select(F.col("id").alias("rep"), "n", "sketch"), f"{folder}/classes",
                      rows=most, width=8 * SKETCH)
-    lists = stored(_lists(classes, folder, most), f"{folder}/lists", rows=most * SKETCH // 2)
+    lists = stored(_lists(classes, least, folder, most), f"{folder}/lists", rows=most * SKETCH // 2)
     listed = lists.count()
     fit = ((100 * F.col("n_a") >= percent * F.col("n_b"))
            & (100 * F.col("n_b") >= percent * F.col("n_a")))
@@ -376,13 +376,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _rest_pairs(members) if last else _pivot_pairs(members, turn, place, listed)
         pairs = pairs.filter(fit).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = stored(_estimated(pairs, classes, threshold - SLACK), f"{place}/likely",
+        likely = stored(_estimated(pairs, classes, least), f"{place}/likely",
                         rows=listed * (LONG_LIST if last else 2))
         links = stored(_verified(likely, rows, words, percent, f"{place}/members"),
                        f"{place}/links", rows=likely.count())
         edges = links if edges is None else edges.unionByName(links)
     edges = edges.unionByName(
-        _long_list_links(members, classes, rows, words, percent, place, listed))
+        _long_list_links(members, classes, rows, words, percent, least, place, listed))
     final = connected(edges, f"{folder}/final")
 
     of_class = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
