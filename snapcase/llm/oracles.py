@@ -77,10 +77,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+OP12 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v,
+         embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([x for x in embedding if x <> 0]) > 0 AS usable FROM embeddings),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b
+  FROM (FROM vectors WHERE usable) p JOIN (FROM vectors WHERE usable) q ON p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.v, q.v) >= 0.9),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM vectors
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+components AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN degrees ON a = vec_id"""
+
 ORACLES = {
     "op2_warc": OP2,
     "op3_exact_dedup": OP3,
     "op5_minhash_near_dedup": OP5,
     "op6_topk": OP6,
     "op9_line_dedup": OP9,
+    "op12_embedding_near_dedup": OP12,
 }

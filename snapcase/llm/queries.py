@@ -7,6 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_corpus, token_digests
+from .cap_filters import near_vectors
 from .common import ship
 from .exact_dedup import exact_duplicates
 from .html import main_text
@@ -68,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def _shipped(query):
 
 def queries() -> dict:
     named = [op1_html, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op6_topk, op7_bpe,
-             op8_toxicity, op9_line_dedup, op10_quality]
+             op8_toxicity, op9_line_dedup, op10_quality, op12_embedding_near_dedup]
     return {f.__name__: _shipped(f) for f in named}
 
 
