@@ -16,6 +16,7 @@ from .mixing import mix_schedule
 from .near_dedup import near_duplicates
 from .oracles import ORACLES
 from .quality import quality_scores
+from .spelling import spelling_forms
 from .topk import top_scores
 from .toxicity import toxicity_scores
 from .warc import archived
@@ -69,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -83,7 +88,8 @@ def _shipped(query):
 
 def queries() -> dict:
     named = [op1_html, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op6_topk, op7_bpe,
-             op8_toxicity, op9_line_dedup, op10_quality, op12_embedding_near_dedup]
+             op8_toxicity, op9_line_dedup, op10_quality, op11_spelling,
+             op12_embedding_near_dedup]
     return {f.__name__: _shipped(f) for f in named}
 
 

