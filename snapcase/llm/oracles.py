@@ -95,11 +95,86 @@ degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM components LEFT JOIN degrees ON a = vec_id"""
 
+# The hash of document and run is CRC-32 over the UTF-8 bytes, by its usual table.
+OP11 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+           range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS doc,
+         unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT run, n, hex(encode(doc || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word,
+         CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+gaps AS (
+  SELECT word, n, i, word[:i] || word[i + 2:] AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n
+  FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN top >= 2 * w.n THEN other END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain(word, at) AS (
+  SELECT word, word FROM forms
+  UNION
+  SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms r ON r.word = c.at AND r.form IS NULL"""
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+inside AS (
+  SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + j - 1], ' ') for i in range(1, k - j + 2)]
+                                  for j in range(2, k)])) AS phrase FROM candidates WHERE k > 2),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = head
+              JOIN counts r ON r.lang = c.lang AND r.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+  WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
 ORACLES = {
     "op2_warc": OP2,
     "op3_exact_dedup": OP3,
     "op5_minhash_near_dedup": OP5,
     "op6_topk": OP6,
     "op9_line_dedup": OP9,
+    "op11_spelling": OP11,
     "op12_embedding_near_dedup": OP12,
+    "op13_collocations": OP13,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_corpus, token_digests
 from .cap_filters import near_vectors
+from .collocations import collocations
 from .common import ship
 from .exact_dedup import exact_duplicates
 from .html import main_text
@@ -78,6 +79,10 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def _shipped(query):
 def queries() -> dict:
     named = [op1_html, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash_near_dedup, op6_topk, op7_bpe,
              op8_toxicity, op9_line_dedup, op10_quality, op11_spelling,
-             op12_embedding_near_dedup]
+             op12_embedding_near_dedup, op13_collocations]
     return {f.__name__: _shipped(f) for f in named}
 
 

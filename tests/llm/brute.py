@@ -118,3 +118,33 @@ def spelling(rows):
         return w
 
     return sorted((w, form[w], root(w), c, len(near[w]), n.get(form[w])) for w, c in n.items())
+
+
+def phrases(rows, least, top):
+    """rows: (lang, text) -> (lang, rank, phrase, a, l, r, n, score)."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(low)):
+            words = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in (1, 2, 3, 4):
+                counts[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longer = Counter()
+        for p, a in found.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    longer[p[i:i + k]] = max(longer[p[i:i + k]], a)
+        scored = []
+        for p, a in found.items():
+            if 100 * longer[p] < 80 * a:
+                score, _, l, r = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]])
+                                     for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i, p.decode(), -a, l, r, total[lang], -s)
+                for i, (s, a, p, l, r) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
