@@ -129,12 +129,12 @@ forms AS (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
          CASE WHEN top >= 2 * w.n THEN other END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
   FROM words w LEFT JOIN best b ON w.word = b.word),
-chain(word, at) AS (
+chain(word, top) AS (
   SELECT word, word FROM forms
   UNION
-  SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
-FROM forms f JOIN chain c ON c.word = f.word JOIN forms r ON r.word = c.at AND r.form IS NULL"""
+  SELECT c.word, f.form FROM chain c JOIN forms f ON c.top = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.top AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms r ON r.word = c.top AND r.form IS NULL"""
 
 OP13 = rf"""
 WITH pieces AS (
