@@ -53,8 +53,11 @@ SWITCH = 0.5
 # Element groups of HTML, and words that class and id attributes use.
 HIDDEN = frozenset("script style noscript template iframe object svg math head title select "
                    "option textarea button canvas audio video map datalist".split())
-RAW_TEXT = frozenset("script style noscript template iframe svg math textarea title select "
-                     "object canvas audio video datalist button".split())
+# Read to their end tag, or to the end of the page, whatever they hold.
+RAW_TEXT = frozenset("script style title textarea".split())
+# Skipped with all they hold; without an end tag they hold nothing.
+SKIPPED = frozenset("noscript template iframe svg math select object canvas audio video datalist "
+                    "button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label "
                    "mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -122,10 +125,22 @@ def attribute_tokens(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def element_ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of that name ends, by where it starts; those without an end tag are left out."""
+    started, ends = [], {}
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", page, re.I):
+        if not m[1]:
+            started.append(m.start())
+        elif started:
+            ends[started.pop()] = m.end()
+    return ends
+
+
 def parse(page: str | None) -> Node:
     """The tree of block elements and text runs of a page."""
     page = page or ""
     root = Node("root")
+    ends: dict[str, dict[int, int]] = {}
     here, in_link, at = root, 0, 0
     stack = [root]
 
@@ -171,9 +186,14 @@ def parse(page: str | None) -> Node:
                 close((name,), ("td", "th", "table") if name == "p" else ())
             continue
         if name in RAW_TEXT:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if name in SKIPPED:
             if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if name not in ends:
+                    ends[name] = element_ends(page, name)
+                at = max(at, ends[name].get(m.start(), at))
             continue
         if name == "a":
             in_link += 1
