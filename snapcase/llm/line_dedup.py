@@ -95,12 +95,13 @@ class LineRuns:
 
 
 def _line_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Emitter(pa.schema([("id", pa.int64()), ("hash", pa.binary())]), max_rows=1 << 16)
-    for doc, text in rows_of(batches, "id", "text"):
+    out = Emitter(pa.schema([("p", pa.int64()), ("q", pa.int64()), ("batch", pa.int32()),
+                             ("hash", pa.binary())]), max_rows=1 << 16)
+    for p, q, batch, text in rows_of(batches, "p", "q", "batch", "text"):
         keys = set(map(line_key, (text or "").encode().split(b"\n")))
         keys.discard(b"")
         for key in keys:
-            out.add((doc, line_hash(key)))
+            out.add((p, q, batch, line_hash(key)))
         if out.full:
             yield out.batch()
     yield out.batch()
@@ -132,18 +133,21 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     folder = run_folder(spark, "line-runs")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # One pass over the texts gives the lines of all batches; a batch is a share of the hashes'
-    # documents, as if it had arrived on its own.
-    lines = stored(rows.mapInArrow(_line_hashes, "id long, hash binary").withColumn(
-        "batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), f"{folder}/lines", "batch")
+    # What goes from a row depends on its text alone, so rows meet their lines by a 128-bit
+    # hash of the text: null and repeated ids make no large group.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns(
+        {"p": F.xxhash64("text"), "q": F.xxhash64(F.lit("q"), "text")})
+    # One pass over the texts gives the lines of all batches; a batch is a share of the
+    # documents by the hash of their id, as if it had arrived on its own.
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    lines = stored(dealt.mapInArrow(_line_hashes, "p long, q long, batch int, hash binary"),
+                   f"{folder}/lines", "batch")
     runs = LineRuns(spark, f"{folder}/runs", min_documents)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch))
     found = lines.join(runs.finish(), "hash", "left_semi")
-    drops = found.groupBy("id").agg(F.collect_list("hash").alias("shared"))
-    joined = rows.alias("d").join(drops.alias("x"), F.expr("d.id <=> x.id"), "left").select(
-        "d.id", "d.text", "x.shared")
+    drops = found.groupBy("p", "q").agg(F.collect_set("hash").alias("shared"))
+    joined = rows.join(drops, ["p", "q"], "left").select("id", "text", "shared")
     return joined.mapInArrow(
         _keep_lines, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
