@@ -143,11 +143,16 @@ def _logit(p: Column) -> Column:
 
 def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-                     sample: int = SAMPLE) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with added columns; their names by role: evidence, prior, score."""
+                     sample: int = SAMPLE, drop_text: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with added columns; their names by role: evidence, prior, score.
+
+    ``drop_text`` leaves the texts out of the result.
+    """
     folder = run_folder(docs.sparkSession, "quality")
     classifier = fit_classifier(docs, labels, id_col, text_col, sample=sample)
     docs, evidence = added(docs, text_col, "evidence", pa.float64(), classifier.evidence)
+    # Written once: the sites and the scores both read it.
+    docs = stored(docs.drop(text_col) if drop_text else docs, f"{folder}/evidence")
     base = classifier.model.base if classifier.model else 0.0
     p = 1 / (1 + F.exp(-(F.col(evidence) + base)))
     # A prior of 1 - 1e-6 where nothing was learnt: every document is kept.
@@ -169,12 +174,15 @@ def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return out, roles
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, evidence, prior, score, kept."""
-    scored, roles = scored_documents(docs, labels, **options)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.col(host_col).alias("host"), F.col(path_col).alias("path"))
+    scored, roles = scored_documents(rows, labels.withColumnRenamed(id_col, "id"), "id", "text",
+                                     "host", "path", sample, drop_text=True)
     return scored.select(
-        F.col(options.get("id_col", "doc_id")).alias("doc_id"),
-        *(F.col(c).alias(role) for role, c in roles.items()),
+        F.col("id").alias("doc_id"), *(F.col(c).alias(role) for role, c in roles.items()),
         (F.col(roles["score"]) >= KEEP_FROM).alias("kept"))
 
 
