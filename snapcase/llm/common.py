@@ -22,11 +22,16 @@ from snapcase.session import shared_dir
 BLANKS = b" \t\n\x0b\x0c\r"
 # Bytes of rows, before compression, that one task writes of a table of known size.
 FILE_BYTES = 16 << 20
+# Rows of an Arrow batch, unless the session sets another number.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
+    # Rows that hold texts are handed over a few megabytes at a time.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not any(f.endswith("/snapcase.zip") for f in sc.listFiles):
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="snapcase-zip-")) / "snapcase"

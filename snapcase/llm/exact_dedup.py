@@ -35,7 +35,9 @@ from .common import BLANKS, Emitter, rows_of, run_folder, signed, stored
 BUCKET_CAPACITY = 1024
 MAX_DEPTH = 18
 # Bytes of distinct texts that a map task holds while it folds equal ones.
-FOLD_BYTES = 24 << 20
+FOLD_BYTES = 8 << 20
+# Keys that a map task remembers while it counts them.
+HELD_KEYS = 1 << 17
 
 _RECORD = "bucket int, key long, sha string, text binary, n long, chars long, id long"
 _ENTRY = _RECORD + ", chain int"
@@ -98,7 +100,7 @@ def _prefixes(docs: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             keys = [text_key(normalised(t)) for (t,) in rows_of([batch], "text")]
             new = [k for k in dict.fromkeys(keys) if k not in seen]
-            if len(seen) < 1 << 20:
+            if len(seen) < HELD_KEYS:
                 seen.update(new)
             found, n = np.unique(np.array(new, dtype=np.int64).view(np.uint64)
                                  >> np.uint64(64 - bits), return_counts=True)
