@@ -1,10 +1,10 @@
 """Lines that many documents share, found with levelled sorted runs of line hashes.
 
 ``LineRuns`` holds runs on shared files, each sorted by the 128-bit hash of a line's
-key.  Cold runs hold (hash, documents so far); the hot run holds hashes that have
-reached the threshold.  A new batch of lines is merge-anti-joined against the hot run
-(lines already known as shared need no more counting) and adds its own cold run at
-level 0.  When a level holds ``fanout`` runs they are compacted into one run of the
+key.  Cold runs hold (hash, documents so far); hot runs hold hashes that have reached
+the threshold.  A new batch of lines is merge-anti-joined against the hot runs (lines
+already known as shared need no more counting) and adds its own run: what reached the
+threshold within the batch is hot at once, the rest a cold run at level 0.  When a level holds ``fanout`` runs they are compacted into one run of the
 next level; hashes whose sum reached the threshold leave for the hot run.  The driver
 keeps only the list of run folders (logarithmic in the number of batches).
 
@@ -26,7 +26,7 @@ from .common import Emitter, rows_of, run_folder, stored
 
 MIN_DOCUMENTS = 10
 FANOUT = 4
-BATCHES = 4
+BATCHES = 6
 
 
 def line_key(line: bytes) -> bytes:
@@ -67,7 +67,10 @@ class LineRuns:
         fresh = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
         if self.hot:
             fresh = fresh.join(self.shared(), "hash", "left_anti")
-        self.levels[0].append(self._run(fresh))
+        run = self._run(fresh)
+        reached = F.col("n") >= self.min_documents
+        self.hot.append(run.filter(reached).select("hash"))
+        self.levels[0].append(run.filter(~reached))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level, level + 1)
