@@ -46,7 +46,7 @@ LEAF_WORDS = 65_536
 SAMPLE_OF_LEAF = 64
 MAX_LEAVES = 4096
 # Vectors of a leaf of the tree inside a task, and queries that descend it at once.
-BUCKET = 24
+BUCKET = 64
 BATCH = 4096
 # Distinct words that a map task counts before it hands them on.
 HELD_WORDS = 200_000
@@ -237,6 +237,8 @@ class Leaf:
         self.points, self.point_of = np.unique(vectors, axis=0, return_inverse=True)
         self.point_of = self.point_of.ravel()
         self.used = np.flatnonzero(self.points.any(axis=0))[:-1]
+        self.inside = self.points[:, self.used].astype(np.float64)
+        self.squares = (self.inside * self.inside).sum(axis=1)
         self.tree = Tree(self.points, BUCKET)
         whole, without = self.table.hashes()
         # Replaced letters: (vector, place, rest of the word); deleted ones: (vector, word).
@@ -250,18 +252,23 @@ class Leaf:
         vectors, vector_of = np.unique(table.vectors(), axis=0, return_inverse=True)
         vector_of = vector_of.ravel()
         _, without = table.hashes()
-        # Places of each letter of the words of a vector.
-        column = vector_of[table.owner] * LETTERS + table.letters
-        order = np.argsort(column, kind="stable")
-        column = column[order]
-        radius = 2 - shorter
-        inside = vectors[:, self.used]
-        outside = vectors[:, :LETTERS].sum(axis=1) - inside.sum(axis=1)
-        points = self.points[:, self.used]
+        # Places of each letter of the words of a vector; of a run of one letter the first will
+        # do where it goes.
+        first = np.ones(len(table.letters), dtype=bool)
+        if shorter:
+            first[1:] = (table.letters[1:] != table.letters[:-1]) | (table.place[1:] == 0)
+        order = np.flatnonzero(first)
+        column = vector_of[table.owner[order]] * LETTERS + table.letters[order]
+        by_column = np.argsort(column, kind="stable")
+        order, column = order[by_column], column[by_column]
+        # Lengths decide how far counts are apart, so differences of one are alike in L1 and L2.
+        counts = vectors[:, :LETTERS].astype(np.float64)
+        own = (counts * counts).sum(axis=1) - (2 - shorter)
+        inside = counts[:, self.used]
         for leaf, rows in self.tree.touched(vectors, shorter):
             held = self.tree.rows[leaf]
-            apart = np.abs(inside[rows][:, None, :] - points[held][None, :, :]).sum(axis=2)
-            i, j = np.nonzero(apart + outside[rows][:, None] == radius)
+            i, j = np.nonzero(2 * (inside[rows] @ self.inside[held].T) - self.squares[held]
+                              == own[rows][:, None])
             if not len(i):
                 continue
             i, j = rows[i], held[j]
@@ -286,8 +293,7 @@ class Leaf:
             good = np.array([_one_edit(words[q], self.table.words[w], p, shorter) for q, w, p in
                              zip(table.owner[at].tolist(), other.tolist(), table.place[at].tolist())],
                             dtype=bool)
-            pairs = np.unique(np.stack((table.owner[at][good], other[good])), axis=1)
-            yield pairs[0], pairs[1]
+            yield table.owner[at][good], other[good]
 
 
 def _one_edit(query: str, word: str, place: int, shorter: int) -> bool:
