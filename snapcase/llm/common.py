@@ -29,15 +29,21 @@ BATCH_ROWS = 1000
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
-    # Rows that hold texts are handed over a few megabytes at a time.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not any(f.endswith("/snapcase.zip") for f in sc.listFiles):
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="snapcase-zip-")) / "snapcase"
         sc.addPyFile(shutil.make_archive(str(to), "zip", package.parent, package.name))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python a few megabytes at a time, unless the session sets their number.
+
+    Python workers live on from stage to stage, so the largest batch of any of them counts.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     return f"{shared_dir(spark).rstrip('/')}/llm/{kind}-{uuid.uuid4().hex}"
