@@ -44,8 +44,8 @@ TOP = 2000
 HELD_PERCENT = 80
 SCALE = 2_000_000
 # Bytes of text that a map task folds at once, and that a group of edges stands for.
-FLUSH_BYTES = 8 << 20
-GROUP_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
+GROUP_BYTES = 6 << 20
 # Edges of a group beyond which it is cut, and the edges of a part.
 MOST_EDGES = 4 << 20
 PART_EDGES = 1 << 20
@@ -122,9 +122,10 @@ def _unpacked(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     at += size
     parts = []
     for width in widths:
-        parts.append(np.frombuffer(raw, dtype=f"<u{width}", count=rows, offset=at).astype(np.int64))
+        part = np.frombuffer(raw, dtype=f"<u{width}", count=rows, offset=at)
+        parts.append(part.astype(np.int32 if len(parts) < LONGEST else np.int64))
         at += rows * width
-    parts[0] = np.cumsum(parts[0])
+    parts[0] = np.cumsum(parts[0], dtype=np.int32)
     return words, np.array(parts[:LONGEST]), parts[LONGEST]
 
 
@@ -144,6 +145,12 @@ def _blocks(lang: str, words: list[bytes], columns: np.ndarray, n: np.ndarray, p
         yield int(place[start]), int(end - start), _packed(words, columns[:, start:end], n[start:end])
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _map(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     out = Emitter(_BLOCK_ARROW)
     held: dict[str, list[bytes]] = {}
@@ -160,7 +167,7 @@ def _map(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBa
         for grp, rows, block in _blocks(lang, words, columns, n, place.astype(np.int64)):
             out.add((grp, 0, True, lang, rows, block), len(block))
 
-    for lang, text in rows_of(batches, "lang", "text"):
+    for lang, text in rows_of(_slices(batches), "lang", "text"):
         raw = (text or "").encode()
         held.setdefault(lang, []).append(raw)
         size[lang] = size.get(lang, 0) + len(raw) + 1
@@ -201,7 +208,9 @@ def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     def finish() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        columns, n = _folded(np.concatenate([c for c, _ in held], axis=1), np.concatenate([x for _, x in held]))
+        columns, n = np.concatenate([c for c, _ in held], axis=1), np.concatenate([x for _, x in held])
+        held.clear()
+        columns, n = _folded(columns, n)
         words = list(numbers)
         lang, whole = place[2], place[3]
         changed = np.ones(columns.shape[1], dtype=bool)
@@ -217,12 +226,12 @@ def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             if k == LONGEST or (whole and k > 1):
                 good &= f >= least
             starts, f = starts[good], f[good]
-            for at in range(0, len(starts), 1 << 16):
-                rows = columns[:k, starts[at:at + (1 << 16)]].T.tolist()
+            for at in range(0, len(starts), 1 << 14):
+                rows = columns[:k, starts[at:at + (1 << 14)]].T.tolist()
                 phrases = [b" ".join([words[i] for i in row]) for row in rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(rows), pa.string()), pa.array([k] * len(rows), pa.int32()),
-                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f[at:at + (1 << 16)])],
+                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f[at:at + (1 << 14)])],
                     names=["lang", "k", "phrase", "f"])
 
     for grp, part, whole, lang, block in rows_of(batches, "grp", "part", "whole", "lang", "block"):
