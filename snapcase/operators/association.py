@@ -4,12 +4,11 @@ A basket is an episode; items are charges; group X (e.g. drugs) is compared
 with group Y (e.g. traffic) pair by pair through 2x2 tables over the baskets
 that hold any item of either group.
 
-Plan shape: ``distinct(basket, item)`` (partial aggregation, so a hot basket
-collapses map-side to at most one row per item) -> X rows joined to Y rows on
-the basket -> ``groupBy(x, y).count()``.  The per-basket work is bounded by
-the item vocabulary, never by the raw row count.  Marginals are plain
-counts; the pair grid is produced from the X marginal by exploding the Y
-vocabulary (a size-checked array), not by a join.
+Plan shape: ``distinct(basket, item)`` (partial aggregation, so a hot basket collapses
+map-side to at most one row per item) -> X rows joined to Y rows on the basket, a heavy
+basket in cells (``pairs.py``) -> ``groupBy(x, y).count()``.  The full tables below list
+every pair and combine the two marginals part by part (``grid.py``); the significant pairs
+and the top k need no such grid and are found in ``pairs.py``.
 """
 
 from __future__ import annotations
@@ -86,23 +85,19 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
         # checkpoint folder so the snapshot table is scanned once.
         shared_dir(df.sparkSession)
         bi = bi.checkpoint(eager=True)
+    from snapcase.operators import pairs
     keys = _basket_cols(basket, grain)
-    xs = bi.filter(F.col("grp") == x_group).select(*keys, F.col("item").alias("x_item"))
-    ys = bi.filter(F.col("grp") == y_group).select(*keys, F.col("item").alias("y_item"))
-    n_baskets = bi.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
-    mx = xs.groupBy("x_item").agg(F.count(F.lit(1)).alias("mx"))
-    my = ys.groupBy("y_item").agg(F.count(F.lit(1)).alias("my"))
-    # Both sides grow with the data: shuffled hash join, never a broadcast.
-    n11 = xs.join(ys.hint("shuffle_hash"), keys).groupBy("x_item", "y_item") \
-            .agg(F.count(F.lit(1)).alias("n11"))
+    n_baskets = pairs.basket_count(bi, keys)
+    mx, my = pairs.marginals(bi, x_group, y_group)
+    n11 = pairs.co_occurrences(bi, keys, x_group, y_group)
     if zero_fill:
         grid = combinations(mx, my)
-        pairs = grid.join(n11, ["x_item", "y_item"], "left") \
+        cells = grid.join(n11, ["x_item", "y_item"], "left") \
                     .withColumn("n11", F.coalesce(F.col("n11"), F.lit(0)))
     else:
-        pairs = n11.join(mx, "x_item").join(my, "y_item")
-    n = n_baskets.cast("long")
-    return pairs.select(
+        cells = n11.join(mx, "x_item").join(my, "y_item")
+    n = n_baskets
+    return cells.select(
         "x_item", "y_item", F.col("n11").cast("long").alias("n11"),
         (F.col("mx") - F.col("n11")).cast("long").alias("n10"),
         (F.col("my") - F.col("n11")).cast("long").alias("n01"),
