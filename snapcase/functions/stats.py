@@ -93,6 +93,28 @@ def chisq_upper_p_by_df(x: Column, df: Column) -> Column:
              .when(df == 4, e * (_lit(1.0) + half)))
 
 
+def chisq_upper_p_any(x: Column, df: Column) -> Column:
+    """P(X > x) for chi-square with any whole number of degrees of freedom in a column.
+
+    Q(a + 1, z) = Q(a, z) + z^a e^-z / Gamma(a + 1), from Q(1/2) or Q(1) up to a = df / 2;
+    the terms are positive and built from their logarithms, so nothing cancels or overflows.
+    """
+    z = x / _lit(2.0)
+    odd = (df % 2) == 1
+    # The first term is that of a = 1/2 or, with Q(0) = 0 for z > 0, that of a = 0.
+    a = F.when(odd, _lit(0.5)).otherwise(_lit(0.0))
+    log_gamma = F.when(odd, _lit(math.lgamma(1.5))).otherwise(_lit(0.0))
+    terms = F.floor(df / 2).cast("int")
+    safe = F.greatest(z, _lit(FPMIN))
+    step = F.aggregate(
+        F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
+        F.struct((a * F.log(safe) - z - log_gamma).alias("log"), a.alias("a"), _lit(0.0).alias("s")),
+        lambda acc, i: F.struct((acc["log"] + F.log(safe) - F.log(acc["a"] + 1.0)).alias("log"),
+                                (acc["a"] + 1.0).alias("a"), (acc["s"] + F.exp(acc["log"])).alias("s")))
+    start = F.when(odd, gamma_q_half(z)).otherwise(_lit(0.0))
+    return F.when((df == 0) | (x <= 0), _lit(1.0)).otherwise(_unit(start + step["s"]))
+
+
 def yates_chisq(n11: Column, mx: Column, my: Column, n: Column) -> Column:
     """Continuity-corrected chi-square of a 2x2 table from one cell and margins.
 

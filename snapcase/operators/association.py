@@ -70,16 +70,18 @@ def item_pair_contingency(df: DataFrame, x_group: str, y_group: str,
                           basket: Sequence[str] = BOOKING, item: str = "Charge",
                           group_col: str = "ChargeGroup", grain: str = "basket",
                           zero_fill: bool = True,
-                          checkpoint: bool = True) -> DataFrame:
+                          checkpoint: bool = True, items: DataFrame | None = None) -> DataFrame:
     """2x2 counts for every (x item, y item) pair.
 
     Output: ``x_item, y_item, n11, n10, n01, n00, n`` where ``n`` is the
     number of baskets holding any item of either group.  With ``zero_fill``
     pairs that never co-occur are listed with ``n11 = 0`` (they can still be
-    significant): |X| x |Y| rows, the size of the answer.
+    significant): |X| x |Y| rows, the size of the answer.  ``items`` takes the rows of
+    :func:`basket_items` where they are written already.
     """
-    bi = basket_items(df, [x_group, y_group], basket, item, group_col, grain)
-    if checkpoint:
+    bi = items if items is not None else basket_items(df, [x_group, y_group], basket, item, group_col,
+                                                      grain)
+    if checkpoint and items is None:
         # The distinct (basket, item) rows feed four consumers (pair join,
         # marginals, basket count, vocabulary): write them once to the shared
         # checkpoint folder so the snapshot table is scanned once.
@@ -148,10 +150,10 @@ def assoc_topk(v: DataFrame, k: int = 20) -> DataFrame:
         "cramers_v")
 
 
-def assoc_topk_cross(v: DataFrame, k: int = 20, digits: int = 5) -> DataFrame:
+def assoc_topk_cross(v: DataFrame, k: int = 20, digits: int = 5, top: DataFrame | None = None) -> DataFrame:
     """Literal variant (C19): every significant cell in the rows x columns
     touched by the top k, V rounded, re-ranked.  Bounded by k^2 cells."""
-    top = assoc_topk(v, k)
+    top = assoc_topk(v, k) if top is None else top
     cols = top.select(F.col("drug_charge").alias("x_item")).distinct()
     rows = top.select(F.col("traffic_charge").alias("y_item")).distinct()
     cells = (v.filter(F.col("cramers_v").isNotNull())
@@ -164,6 +166,13 @@ def assoc_topk_cross(v: DataFrame, k: int = 20, digits: int = 5) -> DataFrame:
         "cramers_v")
 
 
+def top_items(top: DataFrame, x_group: str, y_group: str) -> DataFrame:
+    """(item, grp) of the top pairs, each once."""
+    both = F.array(F.struct(F.col("drug_charge").alias("item"), F.lit(x_group).alias("grp")),
+                   F.struct(F.col("traffic_charge").alias("item"), F.lit(y_group).alias("grp")))
+    return top.select(F.explode(both).alias("i")).select("i.*").distinct()
+
+
 def pair_breakdown(df: DataFrame, top: DataFrame, basket: Sequence[str] = BOOKING,
                    item: str = "Charge", attr: str = "RaceDescription", mode: str = "either",
                    exclude: Sequence[str] | None = None) -> DataFrame:

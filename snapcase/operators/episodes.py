@@ -83,17 +83,46 @@ def pretrial_exposure(df: DataFrame, ends: DataFrame | None = None,
     """Snapshot rows of ended episodes taken strictly before the end day.
 
     The inner join on the episode keys carries the semi-join and the start-day
-    filter of C05.  It is a shuffled hash join built on the episode table
-    (one row per episode): neither side is ever broadcast on a file-size
-    estimate -- compressed parquet understates the raw rows ~10x -- and AQE
-    splits the stream-side partition of a hot episode.
+    filter of C05.  It is a sort-merge join: neither side is ever broadcast on
+    a file-size estimate -- compressed parquet understates the raw rows ~10x --
+    both sides spill, and AQE splits the partition of a hot episode.
     """
     keys = list(keys)
     ends = ends if ends is not None else episode_end(df, keys, ts, status)
-    return (df.join(ends.hint("shuffle_hash"), keys, "inner")
+    return (df.join(ends.hint("merge"), keys, "inner")
               .filter(F.to_date(F.col(ts)) < F.col("end_pretrial")))
 
 
+def before_end(first: DataFrame, ends: DataFrame, keys: Sequence[str] = BOOKING,
+               ts: str = TS) -> DataFrame:
+    """Rows that are the first of their group and lie strictly before the episode's end.
+
+    The days before the end are the earliest of an episode, so the first row of any group
+    within it is before the end if any row of the group is.  Groups are aggregated before
+    they meet the ends: the join sees one row for each, not the raw rows.
+    """
+    return (first.join(ends.hint("merge"), list(keys), "inner")
+                 .filter(F.to_date(F.col(ts)) < F.col("end_pretrial")).drop("end_pretrial"))
+
+
+def first_exposed_per_episode(df: DataFrame, carry: Sequence[str], keys: Sequence[str] = BOOKING,
+                              ts: str = TS, status: str = STATUS) -> DataFrame:
+    """First row of each ended episode, if it is before the end (C07 over C06): no join.
+
+    First row, first day and end come out of one aggregation to episode grain.
+    """
+    keys = list(keys)
+    day = F.to_date(F.col(ts))
+    fields = [ts] + [c for c in carry if c != ts]
+    per_episode = df.groupBy(*keys).agg(
+        F.min(F.struct(*[F.col(c) for c in fields])).alias("_first"),
+        F.min(F.when(F.col(status).isNotNull(), day)).alias("_end"))
+    since = first_tracked_day(df, keys[0], ts, status)
+    return (per_episode.filter(F.col("_end").isNotNull() & (F.to_date(F.col(keys[-1])) >= since)
+                               & (F.to_date(F.col(f"_first.{ts}")) < F.col("_end")))
+            .select(*keys, *[F.col(f"_first.{c}") for c in fields]))
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     carry: Sequence[str] = ()) -> DataFrame:
     """One row per group: the smallest by ``order`` then ``carry``.

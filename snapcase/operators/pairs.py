@@ -124,10 +124,15 @@ def _tables(n11: DataFrame, n: Column) -> DataFrame:
 
 
 def significant_pairs(items: DataFrame, keys: Sequence[str], x_group: str, y_group: str,
-                      cell: int = CELL) -> DataFrame:
-    """Every pair with a significant V, and no other: the 2x2 counts, chi2, p_value, cramers_v."""
-    mx, my = marginals(items, x_group, y_group)
+                      cell: int = CELL, only: DataFrame | None = None) -> DataFrame:
+    """Every pair with a significant V, and no other: the 2x2 counts, chi2, p_value, cramers_v.
+
+    ``only`` (item, grp) restricts the pairs to some items; the baskets stay the same.
+    """
     n = basket_count(items, keys)
+    if only is not None:
+        items = items.join(only, ["item", "grp"], "left_semi")
+    mx, my = marginals(items, x_group, y_group)
     n11 = co_occurrences(items, keys, x_group, y_group, cell)
     together = n11.join(mx, "x_item").join(my, "y_item")
     apart = (zero_candidates(mx, my, n).join(n11, ["x_item", "y_item"], "left_anti")

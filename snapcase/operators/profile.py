@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from snapcase.functions.bins import cut_bins
 from snapcase.functions.text import percent_text, title_case
-from snapcase.operators.episodes import (BOOKING, TS, first_per_group, in_year,
-                                         pretrial_exposure, pretrial_rowlevel, ts_literal)
+from snapcase.operators.episodes import (BOOKING, TS, before_end, episode_end, first_per_group,
+                                         in_year, pretrial_rowlevel, ts_literal)
 
 # Display group name -> source column.
 TITLED_GROUPS = (("Gender", "Gender"), ("Race", "RaceDescription"),
@@ -110,9 +110,9 @@ def profile_monthly_shares(df: DataFrame, year: int, categories=DEFAULT_CATEGORI
     row per (episode, category): the first exposure row in ``year``.  Columns
     ``<Month>_<suffix>`` for every category, missing cells 0.
     """
-    ex = pretrial_exposure(df, ends).filter(in_year(df, year))
-    ex = with_age_group(ex.filter(F.col(category_col).isin([c for c, _ in categories])))
-    first = first_per_group(ex, [*BOOKING, category_col], [TS], ATTRIBUTES)
+    rows = df.filter(in_year(df, year) & F.col(category_col).isin([c for c, _ in categories]))
+    first = first_per_group(with_age_group(rows), [*BOOKING, category_col], [TS], ATTRIBUTES)
+    first = before_end(first, ends if ends is not None else episode_end(df))
     first = first.withColumn("col", F.concat(F.date_format(F.col(TS), "MMMM"), F.lit("_"),
                                              _suffix(categories, category_col)))
     shares = with_shares(profile_counts(first, TITLED_GROUPS, by=["col"]), ["col"])
@@ -143,13 +143,12 @@ def profile_period_shares(df: DataFrame, periods, categories=DEFAULT_CATEGORIES,
     """
     lo = min(p[1] for p in periods)
     hi = max(p[2] for p in periods)
-    ex = pretrial_exposure(df, ends)
     # The overall range is pushed to the scan; the per-period split follows.
-    ex = ex.filter((F.col(TS) >= ts_literal(df, TS, lo))
-                   & (F.col(TS) < ts_literal(df, TS, hi + _ONE_DAY)))
-    ex = with_age_group(ex.filter(F.col(category_col).isin([c for c, _ in categories])))
-    ex = ex.withColumn("period", F.explode(period_label(periods, F.to_date(F.col(TS)))))
-    first = first_per_group(ex, [*BOOKING, "period", category_col], [TS], ATTRIBUTES)
+    rows = df.filter((F.col(TS) >= ts_literal(df, TS, lo)) & (F.col(TS) < ts_literal(df, TS, hi + _ONE_DAY))
+                     & F.col(category_col).isin([c for c, _ in categories]))
+    rows = with_age_group(rows).withColumn("period", F.explode(period_label(periods, F.to_date(F.col(TS)))))
+    first = first_per_group(rows, [*BOOKING, "period", category_col], [TS], ATTRIBUTES)
+    first = before_end(first, ends if ends is not None else episode_end(df))
     first = first.withColumn("col", F.concat(F.lit("n_"), F.col("period"), F.lit("_"),
                                              _suffix(categories, category_col)))
     shares = with_shares(profile_counts(first, TITLED_GROUPS, by=["col"]), ["col"])

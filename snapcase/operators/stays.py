@@ -30,7 +30,8 @@ def episode_stays(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
     charge is, else the one seen first.
 
     One aggregation, map-side combined.
-    Output: ``keys, start, end, RaceDescription, Gender, age_group, category``.
+    Output: ``keys, start, end, RaceDescription, Gender, age_group, category, ended``
+    (``ended``: the end is a disposition).
     """
     keys = list(keys)
     day = F.to_date(F.col(ts))
@@ -38,15 +39,17 @@ def episode_stays(df: DataFrame, keys: Sequence[str] = BOOKING, ts: str = TS,
                            F.col("CurrentAge"), F.col(category_col)))
     agg = df.groupBy(*keys).agg(
         first.alias("_f"), F.max((F.col(category_col) == felony).cast("int")).alias("_fel"),
-        F.coalesce(F.min(F.when(F.col(status).isNotNull(), day)),
-                   F.date_add(F.max(day), 1)).alias("end"))
+        F.min(F.when(F.col(status).isNotNull(), day)).alias("_end"),
+        F.date_add(F.max(day), 1).alias("_after"))
+    agg = agg.withColumn("end", F.coalesce("_end", "_after")).withColumn("ended", F.col("_end").isNotNull())
     start = F.to_date(F.col(keys[-1]))
     since = first_tracked_day(df, keys[0], ts, status)
     return agg.filter((start >= since) & (F.col("end") >= start)).select(
         *keys, start.alias("start"), "end", F.col("_f.RaceDescription").alias("RaceDescription"),
         F.col("_f.Gender").alias("Gender"),
         cut_bins(F.col("_f.CurrentAge"), 0, 100, 10).alias("age_group"),
-        F.when(F.col("_fel") == 1, F.lit(felony)).otherwise(F.col(f"_f.{category_col}")).alias("category"))
+        F.when(F.col("_fel") == 1, F.lit(felony)).otherwise(F.col(f"_f.{category_col}")).alias("category"),
+        "ended")
 
 
 def pretrial_days(df: DataFrame, stays: DataFrame | None = None,

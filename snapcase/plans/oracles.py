@@ -22,7 +22,7 @@ def oracle(name: str, sql: str) -> None:
 
 
 def oracle_sql() -> dict[str, str]:
-    from snapcase.plans import oracles_more  # noqa: F401
+    from snapcase.plans import oracles_ext, oracles_more  # noqa: F401
     return dict(_ORACLES)
 
 

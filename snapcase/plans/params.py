@@ -56,3 +56,8 @@ POP_MERGE = (("Asian alone", "Native Hawaiian and Other Pacific Islander alone")
 POP_ORIGIN_LABEL = "MACHINERY"      # the origin-built category plays this segment
 CASE_EXCLUDED = ("Other", "UNKNOWN")
 DAY_RATE = 82                       # cost of one booking-day
+
+ALL_RACES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+MIN_EPISODES = 5                    # support of a combination of charge groups
+HORIZON_DAYS = 365                  # of the restricted mean stay
+ROLLING_DAYS = 90

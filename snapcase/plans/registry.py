@@ -30,7 +30,7 @@ def register(name: str):
 
 def queries() -> dict[str, Query]:
     # Import side effect: every module below registers its queries.
-    from snapcase.plans import registry_more  # noqa: F401
+    from snapcase.plans import registry_ext, registry_more  # noqa: F401
     return dict(_REGISTRY)
 
 
@@ -60,8 +60,7 @@ def q_pretrial_exposure(spark, sf):
 
 @register("first_obs_per_episode")
 def q_first_obs(spark, sf):
-    ex = pr.with_age_group(ep.pretrial_exposure(cases(spark, sf)))
-    return ep.first_obs_per_episode(ex, pr.ATTRIBUTES)
+    return ep.first_exposed_per_episode(pr.with_age_group(cases(spark, sf)), pr.ATTRIBUTES)
 
 
 @register("cut_bins")
@@ -76,8 +75,7 @@ def q_cut_bins(spark, sf):
 
 @register("profile_counts")
 def q_profile_counts(spark, sf):
-    ex = pr.with_age_group(ep.pretrial_exposure(cases(spark, sf)))
-    first = ep.first_obs_per_episode(ex, pr.ATTRIBUTES)
+    first = ep.first_exposed_per_episode(pr.with_age_group(cases(spark, sf)), pr.ATTRIBUTES)
     return pr.profile_counts(first)
 
 

@@ -3,15 +3,20 @@ extension operators (registered into :mod:`snapcase.plans.registry`)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapcase.operators import association as asc
 from snapcase.operators import contingency as ct
+from snapcase.operators import pairs
 from snapcase.operators import recode as rc
+from snapcase.operators.episodes import BOOKING
 from snapcase.operators.loglinear import loglinear_fit
 from snapcase.plans import params as P
 from snapcase.plans.registry import register
+from snapcase.session import results_path
 from snapcase.sources.dimensions import CATEGORY_SHORT_NAMES
 from snapcase.sources.snapshots import cases
 
@@ -87,14 +92,36 @@ def q_odds_ratio_ci(spark, sf):
 
 # ---- association --------------------------------------------------------
 
+_ITEM_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _basket_items(spark, sf, grain="basket"):
+    """Distinct basket items of the two groups, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), grain)
+    if key not in _ITEM_TABLES:
+        path = results_path(spark, f"basket_items/{uuid.uuid4().hex}")
+        asc.basket_items(cases(spark, sf), [P.DRUG_GROUP, P.TRAFFIC_GROUP], grain=grain).write.parquet(path)
+        _ITEM_TABLES[key] = spark.read.parquet(path)
+    return _ITEM_TABLES[key]
+
+
 def _pairs(spark, sf):
-    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP)
+    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP,
+                                     items=_basket_items(spark, sf))
 
 
 def _v(spark, sf):
     return asc.cramers_v(_pairs(spark, sf))
 
 
+def _significant(spark, sf, only=None):
+    return pairs.significant_pairs(_basket_items(spark, sf), BOOKING, P.DRUG_GROUP, P.TRAFFIC_GROUP, only=only)
+
+
+def _top(spark, sf):
+    return pairs.top_pairs(_basket_items(spark, sf), BOOKING, P.DRUG_GROUP, P.TRAFFIC_GROUP, P.TOP_K)
+
+
 @register("indicator_matrix")
 def q_indicator_matrix(spark, sf):
     return asc.indicator_matrix(cases(spark, sf), P.DRUG_ITEMS + P.TRAFFIC_ITEMS,
@@ -117,25 +144,36 @@ def q_cramers_v(spark, sf):
     return _v(spark, sf).select("x_item", "y_item", "cramers_v")
 
 
+@register("significant_pairs")
+def q_significant_pairs(spark, sf):
+    return rounded(_significant(spark, sf), ["p_value"])
+
+
 @register("assoc_matrix")
 def q_assoc_matrix(spark, sf):
-    return asc.assoc_matrix(_v(spark, sf), P.DRUG_ITEMS)
+    # Rows without a significant cell are listed as well.
+    _, my = pairs.marginals(_basket_items(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP)
+    empty = my.select(F.lit(None).cast("string").alias("x_item"), "y_item",
+                      F.lit(None).cast("double").alias("cramers_v"))
+    v = _significant(spark, sf).select("x_item", "y_item", "cramers_v")
+    return asc.assoc_matrix(v.unionByName(empty), P.DRUG_ITEMS)
 
 
 @register("assoc_topk")
 def q_assoc_topk(spark, sf):
-    return asc.assoc_topk(_v(spark, sf), P.TOP_K)
+    return _top(spark, sf)
 
 
 @register("assoc_topk_cross")
 def q_assoc_topk_cross(spark, sf):
-    return asc.assoc_topk_cross(_v(spark, sf), P.TOP_K)
+    top = _top(spark, sf)
+    only = F.broadcast(asc.top_items(top, P.DRUG_GROUP, P.TRAFFIC_GROUP))
+    return asc.assoc_topk_cross(_significant(spark, sf, only), P.TOP_K, top=top)
 
 
 @register("pair_breakdown")
 def q_pair_breakdown(spark, sf):
-    top = asc.assoc_topk(_v(spark, sf), P.TOP_K)
-    return asc.pair_breakdown(cases(spark, sf), top, exclude=P.EXCLUDED_RACES)
+    return asc.pair_breakdown(cases(spark, sf), _top(spark, sf), exclude=P.EXCLUDED_RACES)
 
 
 # ---- population comparison ---------------------------------------------
@@ -266,7 +304,8 @@ def q_odds_ratio_by_year(spark, sf):
 
 @register("item_pair_contingency_item_grain")
 def q_item_pair_contingency_item_grain(spark, sf):
-    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP, grain="item")
+    return asc.item_pair_contingency(cases(spark, sf), P.DRUG_GROUP, P.TRAFFIC_GROUP, grain="item",
+                                     items=_basket_items(spark, sf, "item"))
 
 
 @register("xtab3_given_drugs")
