@@ -44,6 +44,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     return f"{shared_dir(spark).rstrip('/')}/llm/{kind}-{uuid.uuid4().hex}"

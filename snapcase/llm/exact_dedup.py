@@ -200,10 +200,13 @@ def build_index(docs: DataFrame, folder: str, previous: DataFrame | None = None,
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+                     capacity: int = BUCKET_CAPACITY, folder: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The index is written to ``folder``, a new one by default.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    index = build_index(rows, run_folder(docs.sparkSession, "exact-index"), capacity=capacity)
+    index = build_index(rows, folder or run_folder(docs.sparkSession, "exact-index"), capacity=capacity)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

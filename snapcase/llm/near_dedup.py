@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, mix64, rows_of, run_folder, stored
+from .common import Emitter, mix64, remove, rows_of, run_folder, stored
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -424,6 +424,8 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
         place = f"{folder}/level-{level}"
         lists = stored(_lists(classes, size, threshold, place, most), f"{place}/lists",
                        rows=most * size // 2)
+        for used in ("sizes", "shared"):
+            remove(lists.sparkSession, f"{place}/{used}")
         listed = lists.count()
         if not listed:
             break
@@ -456,9 +458,13 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    folder = run_folder(docs.sparkSession, "near")
+                    words: int = SHINGLE_WORDS, threshold: float = THRESHOLD,
+                    folder: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    The tables of the passes are written to ``folder``, a new one by default.
+    """
+    folder = folder or run_folder(docs.sparkSession, "near")
     # The print tells apart the texts of one id.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
         "print", F.xxhash64("text"))

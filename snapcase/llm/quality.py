@@ -151,8 +151,10 @@ def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     folder = run_folder(docs.sparkSession, "quality")
     classifier = fit_classifier(docs, labels, id_col, text_col, sample=sample)
     docs, evidence = added(docs, text_col, "evidence", pa.float64(), classifier.evidence)
-    # Written once: the sites and the scores both read it.
-    docs = stored(docs.drop(text_col) if drop_text else docs, f"{folder}/evidence")
+    if drop_text:
+        # Written once: the sites and the scores both read it.  With the texts it would be a
+        # second copy of the corpus, so then the evidence is computed for each of them.
+        docs = stored(docs.drop(text_col), f"{folder}/evidence")
     base = classifier.model.base if classifier.model else 0.0
     p = 1 / (1 + F.exp(-(F.col(evidence) + base)))
     # A prior of 1 - 1e-6 where nothing was learnt: every document is kept.
