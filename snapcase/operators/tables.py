@@ -45,7 +45,7 @@ def association_table(df: DataFrame, a: str, b: str, strata: Sequence[str] = ())
     left = (F.col("_d") - F.least(F.col("_d"), F.lit(0.5))) / F.col("_d")
     corrected = F.when(F.col("_d") > 0, plain * left * left).otherwise(plain)
     small = F.least("rows", "cols")
-    out = out.withColumn("df", (F.col("rows") - 1) * (F.col("cols") - 1)).withColumn(
+    out = out.filter("n > 0").withColumn("df", (F.col("rows") - 1) * (F.col("cols") - 1)).withColumn(
         "chi2", F.when((F.col("rows") == 2) & (F.col("cols") == 2), corrected).otherwise(plain))
     return out.select(
         *strata, "n", "rows", "cols", "df", "chi2",
