@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by (record id, payload digest, address): ranges of keys become
-shards, and each task writes its range in order.  A shard rolls to a new file when the
-compressed size reaches a limit.  Every record is a gzip member of its own; its headers
+shards, and each shard is written in order.  The bounds of the ranges come from the keys
+alone: of the keys picked by a hash of their own, those that cut the payload bytes into equal
+parts.  So the same rows give the same shards in any run, on any cluster.  A shard rolls to a
+new file when the compressed size reaches a limit.  Every record is a gzip member of its own; its headers
 (record id from the key, lengths, block and payload digests) are generated from the
 payload, so the same rows give the same bytes.
 
@@ -32,19 +34,25 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, rows_of, run_folder, stored
+from .common import Emitter, remove, rows_of, run_folder, stored
 
 REVISIT_FROM = 1000
 # Compressed bytes at which a shard rolls to its next file.
 ROLL_BYTES = 64 << 20
+# Payload bytes of a shard, the most shards, and the keys picked for each of them at most.
+SHARD_BYTES = 32 << 20
+MOST_SHARDS = 20_000
+KEYS_OF_SHARD = 50
 # All records are dated alike: the date is part of the bytes and the tables hold none.
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,9 +147,30 @@ class _Shard:
         return row
 
 
+def shard_bounds(keys: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
+    """First key (id, digest) of every shard but the first, in order, for keys (id, digest, bytes).
+
+    At most about ``MOST_SHARDS`` * ``KEYS_OF_SHARD`` keys reach the driver, fewer for small
+    tables; which ones is decided by their hashes, so it does not depend on partitions.
+    """
+    sums = keys.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    shards = min(MOST_SHARDS, max(1, -(-(sums.bytes or 0) // shard_bytes)))
+    every = max(1, sums.n // (shards * KEYS_OF_SHARD))
+    picked = (keys.filter(F.pmod(F.xxhash64("id", "digest"), F.lit(every)) == 0)
+              .groupBy("id", "digest").agg(F.sum("bytes").alias("bytes")).collect())
+    picked = sorted((r.id is not None, r.id or 0, r.digest, r.bytes) for r in picked)
+    total, upto, bounds = sum(r[3] for r in picked), 0, []
+    for *key, size in picked:
+        # A key starts a new shard where the bytes before it pass the next equal part.
+        if upto * shards >= total * (len(bounds) + 1) and upto < total:
+            bounds.append(tuple(key))
+        upto += size
+    return bounds
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", roll_bytes: int = ROLL_BYTES,
-                   revisit_from: int = REVISIT_FROM) -> DataFrame:
+                   revisit_from: int = REVISIT_FROM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write one record per row under ``folder``; the committed manifest (path, records, ...)."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"),
@@ -156,17 +185,30 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                      F.lit(None).cast("binary").alias("payload"), "digest",
                      F.col("response").alias("refers_to")))
     pieces = keyed.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
-    # (id, digest) first, a mark (no payload) before its rows.
-    order = ["id", "digest", F.col("payload").isNotNull(), "url"]
-    ranged = pieces.repartitionByRange("id", "digest").sortWithinPartitions(*order)
+    bounds = shard_bounds(keyed.select("id", "digest", F.octet_length("payload").alias("bytes")), shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        places = [bisect_right(bounds, (False, 0, d) if pd.isna(i) else (True, int(i), d))
+                  for i, d in zip(ids, digests)]
+        return pd.Series(places, dtype="int32")
+
+    # (shard, id, digest) first, a mark (no payload) before its rows.
+    order = ["shard", "id", "digest", F.col("payload").isNotNull(), "url"]
+    # Ids go as text, so that nulls do not turn them into floating-point numbers.
+    ranged = (pieces.withColumn("shard", shard_of(F.col("id").cast("string"), F.col("digest")))
+              .repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        shard = _Shard(folder, TaskContext.get().partitionId(), roll_bytes)
+        shard = None
         out = Emitter(_MANIFEST_ARROW)
         place, target = None, None
-        for doc, url, body, digest, refers_to in rows_of(
-                batches, "id", "url", "payload", "digest", "refers_to"):
+        for number, doc, url, body, digest, refers_to in rows_of(
+                batches, "shard", "id", "url", "payload", "digest", "refers_to"):
+            if shard is None or shard.shard != number:
+                if shard and (last := shard.close()):
+                    out.add(last)
+                shard = _Shard(folder, number, roll_bytes)
             if (doc, digest) != place:
                 place, target = (doc, digest), None
                 first = True
@@ -181,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             first = False
             if full:
                 out.add(full)
-        if last := shard.close():
+        if shard and (last := shard.close()):
             out.add(last)
         yield out.batch()
 
@@ -196,7 +238,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     store.move(f"{root}/{temporary}", f"{root}/{path}")
             yield batch
 
-    return stored(manifest.repartition("path").mapInArrow(commit, _MANIFEST), f"{folder}/manifest")
+    done = stored(_spread(manifest).mapInArrow(commit, _MANIFEST), f"{folder}/manifest")
+    # Files of attempts that were lost are in no manifest.
+    remove(pages.sparkSession, f"{folder}/_temporary")
+    return done
+
+
+def _spread(manifest: DataFrame) -> DataFrame:
+    """A manifest with its files dealt to as many tasks."""
+    return manifest.repartition(min(MOST_SHARDS, max(1, manifest.count())), "path")
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -250,7 +300,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 raise ValueError(f"{path} holds {seen} records, the manifest says {records}")
         yield out.batch()
 
-    return manifest.repartition("path").mapInArrow(read, _RECORD)
+    return _spread(manifest).mapInArrow(read, _RECORD)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
