@@ -220,3 +220,31 @@ def test_later_batches_meet_hot_runs(spark, monkeypatch):
 def _lines_per_row(rows):
     numbered = brute.lines(list(enumerate(t for _, t in rows)), 10)
     return [(rows[i][0], *rest) for i, *rest in numbered]
+
+
+def test_archives_are_the_same_in_every_run(spark):
+    from snapcase.llm import warc
+    from snapcase.llm.common import run_folder
+    ship(spark)
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 5, 5, i, i * 10**9]), f"http://x/{i}", "p" * rng.choice([0, 3, 1200]) + str(i % 50), "r", 1)
+            for i in range(3000)] + [(None, None, None, None, None)] * 3
+    schema = "page_id long, url string, html string, shard string, id int"
+    runs = []
+    for parts in (3, 11):
+        folder = run_folder(spark, "warc-test")
+        pages = spark.createDataFrame(rows, schema).repartition(parts)
+        manifest = warc.write_archives(pages, folder, shard_bytes=40_000, roll_bytes=8_000)
+        runs.append(sorted(map(tuple, manifest.select("path", "records", "bytes", "sha1").collect())))
+        back = warc.read_archives(manifest, folder)
+        assert back.count() == len(rows) and back.rdd.getNumPartitions() > 20
+    assert runs[0] == runs[1] and len({p.split("-")[1] for p, *_ in runs[0]}) > 20
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    from snapcase.llm import mixing
+    assert mixing.block_size(10**6) == 8 and mixing.block_size(10**9) * mixing.MOST_SLOTS >= 10**9
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 10)
+    df = spark.range(500).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")
+    plan = mixing.mix_schedule(df)
+    assert plan.select("slot").distinct().count() <= 12 and plan.filter("not in_mix").count() == 0
