@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 from snapcase.plans import params as P
-from snapcase.plans.oracles import (_ORACLES, ATTRS, CASES_CTE, EPISODE_CTES, TITLED, _pct_sql, counts_sql,
+from snapcase.plans.oracles import (_ORACLES, ATTRS, CASE_VIEW, CASES_CTE, EPISODE_CTES, TITLED, _pct_sql, counts_sql,
                                     cut_sql, first_sql, oracle, q, shares_sql, suffix_sql, with_ctes)
 from snapcase.plans.oracles_more import _SPANS, _STAYS, _ATTR_CTE, V_CTES, flags_ctes, gamma_q_half_sql, rnd
 
@@ -185,3 +185,13 @@ for _m in ("January", "February", "March", "April", "May", "June", "July",
     _MONTH_TEXT.append(f"{_fel} || '<br>(' || {_mis} || ')' AS {_m}")
 oracle("share_display_monthly", with_ctes(*_MONTH_CTES, body=(
     f"SELECT groupname, rowname, {', '.join(_MONTH_TEXT)} FROM shares GROUP BY groupname, rowname")))
+
+_ORACLES["snapshot_scan_csv"] = _ORACLES["snapshot_scan"]
+oracle("snapshot_rejects", with_ctes(f"""written AS (SELECT BookingNumber % 97 = 0 AS bad_age,
+        BookingNumber % 89 = 0 AS bad_day, CurrentAge FROM ({CASE_VIEW}))""", """found AS (
+    SELECT 'CurrentAge' AS "column", 'age ' || CurrentAge AS text FROM written WHERE bad_age
+    UNION ALL SELECT 'SnapshotDateTime', 'some day' FROM written WHERE bad_day)""", body="""
+SELECT "column", text, count(*) AS cells, (SELECT count(*) FROM written) AS rows,
+       (SELECT count(*) FROM written WHERE NOT bad_age) AS ages,
+       (SELECT count(*) FROM written WHERE NOT bad_day) AS days
+FROM found GROUP BY ALL"""))

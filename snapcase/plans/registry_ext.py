@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from snapcase.operators import contingency as ct
@@ -14,7 +16,8 @@ from snapcase.operators.incremental import EpisodeState
 from snapcase.plans import params as P
 from snapcase.plans.registry import register
 from snapcase.plans.registry_more import rounded
-from snapcase.sources.snapshots import cases
+from snapcase.session import results_path
+from snapcase.sources.snapshots import case_table, cases, scan_snapshots, scan_with_rejects
 
 
 @register("group_itemsets_by_race")
@@ -96,3 +99,30 @@ def q_episode_state(spark, sf):
 def q_share_display_monthly(spark, sf):
     wide = pr.profile_monthly_shares(cases(spark, sf), P.YEAR, P.CATEGORIES)
     return pr.share_display(wide, [(m, f"{m}_fel", f"{m}_mis") for m in pr.MONTHS], decimals=1)
+
+
+def _extract(spark, df) -> str:
+    """The rows as CSV files with headers, as an extract of snapshots arrives."""
+    path = results_path(spark, f"extracts/{uuid.uuid4().hex}")
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@register("snapshot_scan_csv")
+def q_snapshot_scan_csv(spark, sf):
+    return scan_snapshots(spark, _extract(spark, case_table(spark, sf)), fmt="csv")
+
+
+@register("snapshot_rejects")
+def q_snapshot_rejects(spark, sf):
+    # Ages and days of some bookings are written as text that does not parse.
+    faulty = case_table(spark, sf).withColumns({
+        "CurrentAge": F.when(F.col("BookingNumber") % 97 == 0, F.concat(F.lit("age "), F.col("CurrentAge")))
+                       .otherwise(F.col("CurrentAge").cast("string")),
+        "SnapshotDateTime": F.when(F.col("BookingNumber") % 89 == 0, F.lit("some day"))
+                             .otherwise(F.col("SnapshotDateTime").cast("string"))})
+    typed, rejects = scan_with_rejects(spark, _extract(spark, faulty), bad={})
+    rows = typed.agg(F.count(F.lit(1)).alias("rows"), F.count("CurrentAge").alias("ages"),
+                     F.count("SnapshotDateTime").alias("days"))
+    return (rejects.groupBy("column", "text").agg(F.count(F.lit(1)).alias("cells"))
+            .join(F.broadcast(rows)))

@@ -7,7 +7,7 @@ import threading
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,49 @@ def scan_snapshots(spark: SparkSession, path: str, fmt: str = "parquet",
     return drop_bad_values(df, bad)
 
 
+def scan_with_rejects(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      bad: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of CSV files, and a table of the cells that do not parse.
+
+    The files are read once: the typed rows and, with each, its rejected cells are written to
+    the shared folder, and both results read that table.  Rejected cells are NULL in the rows.
+    The second table has file, record (from 1 in each file, without its header), column and
+    text; rows that the sentinel filter drops have their cells in it as well.
+    """
+    schema = schema or SNAPSHOT_SCHEMA
+    types = {f.name: f.dataType for f in schema.fields}
+    parts = []
+    for header, files in _csv_headers(spark, path):
+        raw = _csv_part(spark.read, header, files)
+        names = raw.columns
+        given = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("text"),
+                                   _cell(c, types[c]).isNull().alias("lost"),
+                                   _cell(c, None).isNotNull().alias("given"))
+                          for c in names if c in types] or [F.lit(None)])
+        lost = F.transform(F.filter(given, lambda x: x["given"] & x["lost"]),
+                           lambda x: F.struct(x["column"].alias("column"), x["text"].alias("text")))
+        parts.append(raw.select(
+            *[_cell(c, types.get(c)) for c in names], lost.alias("_lost"),
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at")))
+    if not parts:
+        none = "file string, record long, column string, text string"
+        return spark.createDataFrame([], schema), spark.createDataFrame([], none)
+    from snapcase.session import results_path
+    where = results_path(spark, f"scans/{uuid.uuid4().hex}")
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).write.parquet(where)
+    table = spark.read.parquet(where)
+    # Rows of a block are numbered one after the other; blocks of a file follow each other.
+    blocks = table.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block")
+    blocks = blocks.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n")).drop("_n")
+    rejects = (table.filter(F.size("_lost") > 0).join(blocks, ["_file", "_block"])
+               .select(F.col("_file").alias("file"),
+                       (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("record"),
+                       F.explode("_lost").alias("c")).select("file", "record", "c.column", "c.text"))
+    return drop_bad_values(table.drop("_lost", "_file", "_block", "_at"), bad), rejects
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
