@@ -28,13 +28,13 @@ from snapcase.session import shared_dir
 def basket_items(df: DataFrame, groups: Sequence[str], basket: Sequence[str] = BOOKING,
                  item: str = "Charge", group_col: str = "ChargeGroup",
                  grain: str = "basket") -> DataFrame:
-    """Distinct ``(basket..., item, grp)`` rows of the listed groups.
+    """Distinct ``(basket..., item, grp)`` rows of the listed groups; a NULL item is no item.
 
     ``grain="item"`` reproduces the literal one-row-per-charge indicator
     frame: every (basket, item) is its own basket, so two different items
     never co-occur.
     """
-    rows = df.filter(F.col(group_col).isin(list(groups)))
+    rows = df.filter(F.col(group_col).isin(list(groups)) & F.col(item).isNotNull())
     cols = [F.col(c) for c in basket]
     if grain == "item":
         cols.append(F.col(item).alias("_basket_item"))

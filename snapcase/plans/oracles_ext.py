@@ -195,3 +195,26 @@ SELECT "column", text, count(*) AS cells, (SELECT count(*) FROM written) AS rows
        (SELECT count(*) FROM written WHERE NOT bad_age) AS ages,
        (SELECT count(*) FROM written WHERE NOT bad_day) AS days
 FROM found GROUP BY ALL"""))
+
+# ---- the same oracles over a table with awkward values -----------------------
+
+_COMMON = ", ".join(f"'{{g}} Brand#{i}'" for i in range(1, 6))
+EDGE_VIEW = f"""
+SELECT BookingNumber, BookingDate, SnapshotDateTime,
+       CASE WHEN BookingNumber % 101 = 0 THEN 238 WHEN CurrentAge >= 60 THEN CurrentAge + 33
+            ELSE CurrentAge END AS CurrentAge, Gender,
+       CASE WHEN BookingNumber % 53 = 0 THEN NULL WHEN BookingNumber % 59 = 0 THEN 'UNKNOWN'
+            ELSE RaceDescription END AS RaceDescription, MaritalStatus, ChargeGroup,
+       CASE WHEN BookingNumber % 67 = 0 THEN NULL
+            WHEN BookingNumber % 2 = 0 AND Charge IN ({_COMMON.format(g='PROMO')}) THEN 'PROMO common'
+            WHEN BookingNumber % 2 = 1 AND Charge IN ({_COMMON.format(g='ECONOMY')}) THEN 'ECONOMY common'
+            ELSE Charge END AS Charge, ChargeCategory, ChargeDisposition FROM ({CASE_VIEW})"""
+_EDGE_CTE = f"cases AS (SELECT * FROM ({EDGE_VIEW}) WHERE CurrentAge <> 238)"
+for _edge, _base in (("edge_recode_group", "recode_group"), ("edge_profile_counts", "profile_counts"),
+                     ("edge_count_complete", "count_complete"), ("edge_relabel_age", "relabel_age"),
+                     ("edge_cramers_v", "cramers_v"), ("edge_significant_pairs", "significant_pairs"),
+                     ("edge_assoc_topk", "assoc_topk"), ("edge_pretrial_days", "pretrial_days"),
+                     ("edge_group_itemsets", "group_itemsets_by_race")):
+    _ORACLES[_edge] = _ORACLES[_base].replace(CASES_CTE.strip(), _EDGE_CTE)
+_ORACLES["edge_relabel_age_published"] = _ORACLES["edge_relabel_age"].replace(
+    "('85 to 89', '90 to 94', '95 to 99')", "('85 to 89', '95 to 99')")

@@ -246,7 +246,7 @@ _X, _Y = q(P.DRUG_GROUP), q(P.TRAFFIC_GROUP)
 PAIR_CTES = (
     CASES_CTE,
     f"""bi AS (SELECT DISTINCT BookingNumber, BookingDate, Charge, ChargeGroup FROM cases
-        WHERE ChargeGroup IN ({_X}, {_Y}))""",
+        WHERE ChargeGroup IN ({_X}, {_Y}) AND Charge IS NOT NULL)""",
     "nb AS (SELECT count(*) AS n FROM (SELECT DISTINCT BookingNumber, BookingDate FROM bi))",
     f"mx AS (SELECT Charge AS x_item, count(*) AS mx FROM bi WHERE ChargeGroup = {_X} GROUP BY 1)",
     f"my AS (SELECT Charge AS y_item, count(*) AS my FROM bi WHERE ChargeGroup = {_Y} GROUP BY 1)",
@@ -528,7 +528,7 @@ SELECT booking_year, orientation, given_level, {rnd('odds_ratio')} AS odds_ratio
 ITEM_GRAIN_CTES = (
     CASES_CTE,
     f"""bi AS (SELECT DISTINCT BookingNumber, BookingDate, Charge, ChargeGroup FROM cases
-        WHERE ChargeGroup IN ({_X}, {_Y}))""",
+        WHERE ChargeGroup IN ({_X}, {_Y}) AND Charge IS NOT NULL)""",
     "nb AS (SELECT count(*) AS n FROM (SELECT DISTINCT BookingNumber, BookingDate, Charge FROM bi))",
     f"mx AS (SELECT Charge AS x_item, count(*) AS mx FROM bi WHERE ChargeGroup = {_X} GROUP BY 1)",
     f"my AS (SELECT Charge AS y_item, count(*) AS my FROM bi WHERE ChargeGroup = {_Y} GROUP BY 1)",

@@ -7,17 +7,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from snapcase.operators import association as asc
 from snapcase.operators import contingency as ct
 from snapcase.operators import episodes as ep
 from snapcase.operators import intervals as iv
-from snapcase.operators import itemsets, profile as pr, resampling, survival, tables
+from snapcase.operators import itemsets, pairs, population as pop, profile as pr
+from snapcase.operators import recode as rc
+from snapcase.operators import resampling, survival, tables
 from snapcase.operators import stays as st
 from snapcase.operators.incremental import EpisodeState
 from snapcase.plans import params as P
 from snapcase.plans.registry import register
 from snapcase.plans.registry_more import rounded
 from snapcase.session import results_path
-from snapcase.sources.snapshots import case_table, cases, scan_snapshots, scan_with_rejects
+from snapcase.sources.snapshots import case_table, cases, edge_cases, scan_snapshots, scan_with_rejects
 
 
 @register("group_itemsets_by_race")
@@ -126,3 +129,67 @@ def q_snapshot_rejects(spark, sf):
                      F.count("SnapshotDateTime").alias("days"))
     return (rejects.groupBy("column", "text").agg(F.count(F.lit(1)).alias("cells"))
             .join(F.broadcast(rows)))
+
+
+# ---- the same operators over a table with awkward values ---------------------
+
+@register("edge_recode_group")
+def q_edge_recode_group(spark, sf):
+    df = rc.recode_group(edge_cases(spark, sf), P.RECODE_RULES)
+    return df.groupBy("Charge", "ChargeGroup").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("edge_profile_counts")
+def q_edge_profile_counts(spark, sf):
+    first = ep.first_exposed_per_episode(pr.with_age_group(edge_cases(spark, sf)), pr.ATTRIBUTES)
+    return pr.profile_counts(first)
+
+
+def _edge_counts(spark, sf):
+    return pop.case_population(edge_cases(spark, sf), P.YEAR, P.CASE_EXCLUDED)
+
+
+@register("edge_count_complete")
+def q_edge_count_complete(spark, sf):
+    return _edge_counts(spark, sf)
+
+
+@register("edge_relabel_age")
+def q_edge_relabel_age(spark, sf):
+    return pop.relabel_case_ages(_edge_counts(spark, sf))
+
+
+@register("edge_relabel_age_published")
+def q_edge_relabel_age_published(spark, sf):
+    return pop.relabel_case_ages(_edge_counts(spark, sf), old_bands=pop.OLD_AGES_PUBLISHED)
+
+
+def _edge_items(spark, sf):
+    return asc.basket_items(edge_cases(spark, sf), [P.DRUG_GROUP, P.TRAFFIC_GROUP])
+
+
+@register("edge_cramers_v")
+def q_edge_cramers_v(spark, sf):
+    v = asc.cramers_v(asc.item_pair_contingency(None, P.DRUG_GROUP, P.TRAFFIC_GROUP, items=_edge_items(spark, sf)))
+    return v.select("x_item", "y_item", "cramers_v")
+
+
+@register("edge_significant_pairs")
+def q_edge_significant_pairs(spark, sf):
+    return rounded(pairs.significant_pairs(_edge_items(spark, sf), ep.BOOKING, P.DRUG_GROUP, P.TRAFFIC_GROUP),
+                   ["p_value"])
+
+
+@register("edge_assoc_topk")
+def q_edge_assoc_topk(spark, sf):
+    return pairs.top_pairs(_edge_items(spark, sf), ep.BOOKING, P.DRUG_GROUP, P.TRAFFIC_GROUP, P.TOP_K)
+
+
+@register("edge_pretrial_days")
+def q_edge_pretrial_days(spark, sf):
+    return st.pretrial_days(edge_cases(spark, sf))
+
+
+@register("edge_group_itemsets")
+def q_edge_group_itemsets(spark, sf):
+    return itemsets.combinations_by_race(edge_cases(spark, sf), P.DRUG_GROUP, P.MIN_EPISODES)

@@ -191,6 +191,32 @@ def cases(spark: SparkSession, sf_dir: str, bad: dict | None = None) -> DataFram
     return drop_bad_values(base, bad)
 
 
+def edge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case table with the awkward values that the driver tables lack.
+
+    Sentinel ages, ages to 100, missing and excluded races, missing charges, and two frequent
+    charges that never occur together (FIXTURES F7).
+    """
+    even = F.col("BookingNumber") % 2 == 0
+    common = [f"Brand#{i}" for i in range(1, 6)]
+    promo, economy = ([f"{g} {b}" for b in common] for g in ("PROMO", "ECONOMY"))
+    return case_table(spark, sf_dir).withColumns({
+        "CurrentAge": F.when(F.col("BookingNumber") % 101 == 0, F.lit(238))
+                       .when(F.col("CurrentAge") >= 60, F.col("CurrentAge") + 33).otherwise(F.col("CurrentAge")),
+        "RaceDescription": F.when(F.col("BookingNumber") % 53 == 0, F.lit(None).cast("string"))
+                            .when(F.col("BookingNumber") % 59 == 0, F.lit("UNKNOWN"))
+                            .otherwise(F.col("RaceDescription")),
+        "Charge": F.when(F.col("BookingNumber") % 67 == 0, F.lit(None).cast("string"))
+                   .when(even & F.col("Charge").isin(promo), F.lit("PROMO common"))
+                   .when(~even & F.col("Charge").isin(economy), F.lit("ECONOMY common"))
+                   .otherwise(F.col("Charge"))})
+
+
+def edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`edge_view` with the sentinel filter applied."""
+    return drop_bad_values(edge_view(spark, sf_dir))
+
+
 _WRITTEN: dict[tuple, DataFrame] = {}
 _LOCK = threading.Lock()
 
