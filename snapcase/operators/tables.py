@@ -4,20 +4,18 @@ over any number of factors and levels (C25)."""
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcase.functions.stats import chisq_upper_p_any
+from snapcase.session import shared_dir
 
-# Cells of one table that a task fits at most: 8 bytes each, in a few arrays.
-MOST_CELLS = 1 << 22
-TOLERANCE = 1e-13
-MOST_CYCLES = 20_000
+# A fit ends when no cell moves by more than this share of it; cycles of one job, and at most.
+TOLERANCE = 1e-12
+CYCLES_OF_A_JOB = 4
+MOST_CYCLES = 4000
 
 
 def association_table(df: DataFrame, a: str, b: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -53,27 +51,67 @@ def association_table(df: DataFrame, a: str, b: str, strata: Sequence[str] = ())
         F.when(small > 1, F.sqrt(F.col("chi2") / (n * (small - 1).cast("double")))).alias("cramers_v"))
 
 
-def model_df(levels: Mapping[str, int], margins: Sequence[Sequence[str]]) -> int:
-    """Degrees of freedom of the hierarchical model that keeps the margins."""
-    terms = {frozenset(s) for m in margins for k in range(len(m) + 1) for s in itertools.combinations(m, k)}
-    return math.prod(levels.values()) - sum(math.prod(levels[f] - 1 for f in t) for t in terms)
+def _key(columns: Sequence[str]) -> Column:
+    """One text for the levels of some factors; levels hold no unit separator."""
+    return F.concat_ws("\x1f", *[F.col(c) for c in columns]) if columns else F.lit("")
 
 
-def fitted(n: np.ndarray, axes: Sequence[Sequence[int]]) -> np.ndarray:
-    """The table with the margins over ``axes`` of ``n`` and no higher interaction.
+def table_cells(df: DataFrame, factors: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
+    """The cross table of the factors, empty cells as well: strata, factors (as text), n.
 
-    Proportional fitting, until a cycle moves no cell by more than the tolerance.
+    Levels are those that a stratum's rows hold; rows with a NULL level are left out.
     """
-    m = np.ones_like(n, dtype=np.float64)
-    others = [tuple(i for i in range(n.ndim) if i not in keep) for keep in axes]
-    targets = [n.sum(axis=o, keepdims=True) for o in others]
-    for _ in range(MOST_CYCLES):
-        before = m
-        for target, other in zip(targets, others):
-            now = m.sum(axis=other, keepdims=True)
-            m = m * np.divide(target, now, out=np.zeros_like(now), where=now > 0)
-        if (np.abs(m - before) <= TOLERANCE * np.abs(m)).all():
-            return m
+    factors, strata = list(factors), list(strata)
+    given = df
+    for f in factors:
+        given = given.filter(F.col(f).isNotNull())
+    # NULL strata are strata of their own.
+    name = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(s).cast("string")), F.lit("n"))
+                                 for s in strata]) if strata else F.lit("")
+    counts = given.groupBy(*strata, name.alias("_s"), *[F.col(f).cast("string").alias(f) for f in factors]).agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    shared_dir(df.sparkSession)
+    counts = counts.checkpoint()
+    # The grid is the table itself: its size is the product of a stratum's levels.
+    grid = counts.select(*strata, "_s").distinct()
+    for f in factors:
+        grid = grid.join(counts.select("_s", f).distinct(), "_s")
+    return grid.join(counts.select("_s", *factors, "n"), ["_s", *factors], "left").fillna(0.0, ["n"])
+
+
+def fitted_cells(df: DataFrame, factors: Sequence[str], models: Mapping[str, Sequence[Sequence[str]]],
+                 strata: Sequence[str] = ()) -> DataFrame:
+    """The cross table with the fit of each model: strata, factors, model, n, m.
+
+    Proportional fitting over the long table: a step scales every cell by the ratio of the
+    observed to the fitted sum of its margin, a window over that margin's cells; all models
+    and strata take their steps together.  A few cycles make one job, whose result is
+    checkpointed; the fit ends when a cycle moves no cell by more than ``TOLERANCE`` of it.
+    """
+    cells = table_cells(df, factors, strata)
+    names = F.array(*[F.lit(m) for m in models])
+    state = cells.withColumn("model", F.explode(names)).withColumns({"m": F.lit(1.0), "_moved": F.lit(1.0)})
+    depth = max(len(margins) for margins in models.values())
+    for step in range(depth):
+        key = None
+        for model, margins in models.items():
+            # A model with fewer margins repeats its last one, which then changes nothing.
+            own = _key(list(margins[min(step, len(margins) - 1)]))
+            key = F.when(F.col("model") == model, own) if key is None else key.when(F.col("model") == model, own)
+        state = state.withColumn(f"_k{step}", key)
+    for _ in range(-(-MOST_CYCLES // CYCLES_OF_A_JOB)):
+        for _ in range(CYCLES_OF_A_JOB):
+            state = state.withColumn("_before", F.col("m"))
+            for step in range(depth):
+                margin = Window.partitionBy("_s", "model", f"_k{step}")
+                now = F.sum("m").over(margin)
+                state = state.withColumn("m", F.when(now > 0, F.col("m") * F.sum("n").over(margin) / now)
+                                         .otherwise(F.lit(0.0)))
+            state = state.withColumn("_moved", F.when(F.col("m") > 0, F.abs(F.col("m") - F.col("_before"))
+                                                      / F.col("m")).otherwise(0.0))
+        state = state.drop("_before").checkpoint()
+        if (state.agg(F.max("_moved")).first()[0] or 0.0) <= TOLERANCE:
+            return state.select(*strata, "_s", *factors, "model", "n", "m")
     raise RuntimeError("the fit did not settle")
 
 
@@ -81,46 +119,29 @@ def loglinear_models(df: DataFrame, factors: Sequence[str], models: Mapping[str,
                      strata: Sequence[str] = ()) -> DataFrame:
     """Log-linear models of the cross table of ``factors``, each given by the margins it keeps.
 
-    The cells are counted by Spark; the table of a stratum, whose size is the product of its
-    levels and never grows with the rows, is fitted in one task.  Rows with a NULL level are
-    left out; levels are those of the stratum; a cell on an empty margin is fitted as 0.
-    Output: ``strata, model, df, g2, x2, p_g2, p_x2``.
+    Any number of factors and levels.  A cell on an empty margin is fitted as 0, degrees of
+    freedom are those of the full table.  Output: ``strata, model, df, g2, x2, p_g2, p_x2``.
     """
-    factors, strata = list(factors), list(strata)
-    given = df
-    for f in factors:
-        given = given.filter(F.col(f).isNotNull())
-    cells = given.groupBy(*strata, *[F.col(f).cast("string").alias(f) for f in factors]).agg(
-        F.count(F.lit(1)).alias("_n"))
-    # NULL strata are strata of their own.
-    keys = [F.coalesce(F.concat(F.lit("v"), F.col(s).cast("string")), F.lit("n")) for s in strata]
-    cells = cells.withColumn("_stratum", F.concat_ws("\x1f", *keys) if strata else F.lit(""))
-    plain = {name: [list(m) for m in margins] for name, margins in models.items()}
-    names, most = list(factors), MOST_CELLS
-
-    def fit(table: pd.DataFrame) -> pd.DataFrame:
-        coded = [np.unique(table[f].to_numpy(dtype=str), return_inverse=True) for f in names]
-        shape = tuple(len(levels) for levels, _ in coded)
-        if math.prod(shape) > most:
-            raise ValueError(f"a table of {shape} levels has more than {most} cells")
-        n = np.zeros(shape)
-        n[tuple(place for _, place in coded)] = table["_n"].to_numpy()
-        rows = []
-        for name, margins in plain.items():
-            m = fitted(n, [[names.index(f) for f in margin] for margin in margins])
-            full = (n > 0) & (m > 0)
-            g2 = max(0.0, 2 * float((n[full] * np.log(n[full] / m[full])).sum()))
-            x2 = float(((n - m)[m > 0] ** 2 / m[m > 0]).sum())
-            rows.append((name, model_df(dict(zip(names, shape)), margins), g2, x2))
-        out = pd.DataFrame(rows, columns=["model", "df", "g2", "x2"])
-        for s in keep:
-            out[s] = table[s].iloc[0] if len(table) else None
-        return out[[*keep, "model", "df", "g2", "x2"]]
-
-    keep = strata
-    schema = ", ".join([*(f"`{s}` {cells.schema[s].dataType.simpleString()}" for s in strata),
-                        "model string, df long, g2 double, x2 double"])
-    out = cells.groupBy("_stratum").applyInPandas(fit, schema)
+    strata, factors = list(strata), list(factors)
+    cells = fitted_cells(df, factors, models, strata)
+    n, m = F.col("n"), F.col("m")
+    out = cells.groupBy(*strata, "_s", "model").agg(
+        F.sum(F.when((n > 0) & (m > 0), n * F.log(n / m)).otherwise(0.0)).alias("_g"),
+        F.sum(F.when(m > 0, (n - m) * (n - m) / m).otherwise(0.0)).alias("x2"),
+        F.count(F.lit(1)).alias("_cells"), *[F.count_distinct(f).alias(f"_l_{f}") for f in factors])
+    left = None
+    for model, margins in models.items():
+        terms = {frozenset(s) for keep in margins for k in range(len(keep) + 1)
+                 for s in itertools.combinations(keep, k)}
+        used = F.lit(0).cast("long")
+        for term in terms:
+            size = F.lit(1).cast("long")
+            for f in sorted(term):
+                size = size * (F.col(f"_l_{f}") - 1)
+            used = used + size
+        free = F.col("_cells") - used
+        left = F.when(F.col("model") == model, free) if left is None else left.when(F.col("model") == model, free)
+    out = out.withColumn("df", left).withColumn("g2", F.greatest(F.lit(0.0), F.col("_g") * 2))
     return out.select(*strata, "model", "df", "g2", "x2",
                       chisq_upper_p_any(F.col("g2"), F.col("df")).alias("p_g2"),
                       chisq_upper_p_any(F.col("x2"), F.col("df")).alias("p_x2"))

@@ -125,10 +125,12 @@ def q_snapshot_rejects(spark, sf):
         "SnapshotDateTime": F.when(F.col("BookingNumber") % 89 == 0, F.lit("some day"))
                              .otherwise(F.col("SnapshotDateTime").cast("string"))})
     typed, rejects = scan_with_rejects(spark, _extract(spark, faulty), bad={})
-    rows = typed.agg(F.count(F.lit(1)).alias("rows"), F.count("CurrentAge").alias("ages"),
-                     F.count("SnapshotDateTime").alias("days"))
-    return (rejects.groupBy("column", "text").agg(F.count(F.lit(1)).alias("cells"))
-            .join(F.broadcast(rows)))
+    def count(column) -> F.Column:
+        return typed.agg(F.count(column)).scalar()
+
+    return rejects.groupBy("column", "text").agg(F.count(F.lit(1)).alias("cells")).select(
+        "column", "text", "cells", count(F.lit(1)).alias("rows"), count("CurrentAge").alias("ages"),
+        count("SnapshotDateTime").alias("days"))
 
 
 # ---- the same operators over a table with awkward values ---------------------

@@ -201,17 +201,24 @@ def test_models_equal_the_two_by_two_by_two_fit(spark):
             assert r[c] == pytest.approx(old[name][c], abs=1e-7)
 
 
-def test_models_keep_their_margins_in_four_ways():
-    rng = np.random.default_rng(8)
-    n = rng.integers(0, 9, (3, 2, 4, 2)).astype(float)
-    n[1, :, 2, :] = 0
-    axes = [[0, 2], [1, 2, 3], [0, 1]]
-    m = tables.fitted(n, axes)
-    for keep in axes:
-        other = tuple(i for i in range(4) if i not in keep)
-        np.testing.assert_allclose(m.sum(axis=other), n.sum(axis=other), atol=1e-9)
-    assert tables.model_df({"a": 3, "b": 2, "c": 4, "d": 2}, [["a", "c"], ["b", "c", "d"], ["a", "b"]]) == \
-        48 - (12 + 16 - 4 + 2 * 1)
+def test_models_keep_their_margins_in_four_ways(spark):
+    rng = random.Random(8)
+    rows = [tuple(f"{f}{rng.randrange(k)}" for f, k in (("a", 3), ("b", 2), ("c", 4), ("d", 2))) for _ in range(300)]
+    rows = [r for r in rows if not (r[0] == "a1" and r[2] == "c2")]
+    margins = [["a", "c"], ["b", "c", "d"], ["a", "b"]]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    cells = tables.fitted_cells(df, list("abcd"), {"m": margins}).toPandas()
+    assert len(cells) == 48
+    for keep in margins:
+        sums = cells.groupby(keep)[["n", "m"]].sum()
+        np.testing.assert_allclose(sums["m"], sums["n"], atol=1e-8)
+    # No interaction beyond the margins: the log odds ratios of a and d are equal given b and c.
+    m = {tuple(r): x for *r, x in cells[["a", "b", "c", "d", "m"]].itertuples(index=False)}
+    for b, c in (("b0", "c0"), ("b1", "c3")):
+        ratio = m["a0", b, c, "d0"] * m["a2", b, c, "d1"] / (m["a0", b, c, "d1"] * m["a2", b, c, "d0"])
+        assert ratio == pytest.approx(1.0, abs=1e-8)
+    out = tables.loglinear_models(df, list("abcd"), {"m": margins}).first()
+    assert out.df == 48 - (12 + 16 - 4 + 2 * 1)
 
 
 def test_strata_and_empty_tables(spark):
