@@ -3,6 +3,7 @@
 from snapcase.plans import params as P
 from snapcase.plans import reports as rp
 from snapcase.sources.population import population_estimates
+from snapcase.sources.sinks import read_report, save_report
 from snapcase.sources.snapshots import cases
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +20,14 @@ def test_reports_compose_and_run(spark):
                            rescue_pattern=P.RESCUE_PATTERN)
     assert assoc["loglinear"].count() == 6 and assoc["odds_ratios"].count() == 4
     assert assoc["pairs"].count() > 0
+    cells = assoc["matrix"].unpivot("y_item", None, "x_item", "v").filter("v IS NOT NULL")
+    assert cells.count() == assoc["pairs"].count()
+    assert assoc["by_race_display"].count() == assoc["by_race"].count() > 0
+    # All tables of the report are saved, each in the run's own folder.
+    paths = save_report(assoc, "association")
+    assert set(paths) == set(assoc)
+    back = read_report(spark, "association", ["top", "matrix"])
+    assert back["top"].count() == assoc["top"].count() and back["matrix"].columns == assoc["matrix"].columns
     qs = rp.pretrial_questions(df, P.PERIODS, warrant=P.WARRANT_GROUP, anchor=P.DRUG_GROUP)
     assert all(d.count() > 0 for d in qs.values())
 
