@@ -79,5 +79,5 @@ class EpisodeState:
         whenever any row is.
         """
         ends = self.ends().withColumnRenamed("end_pretrial", "_end")
-        return (self.first_rows().join(ends, self.keys)
+        return (self.first_rows().join(ends.hint("merge"), self.keys)
                 .filter(F.to_date(F.col(self.ts)) < F.col("_end")).drop("_end"))

@@ -24,7 +24,7 @@ def interval_join(left: DataFrame, l_start: str, l_end: str, right: DataFrame, r
         return (df.filter(F.col(start) < F.col(end)).withColumn(f"_{name}_first", first)
                 .withColumn("_bucket", F.explode(F.sequence(first, last))))
 
-    met = touched(left, l_start, l_end, "l").join(touched(right, r_start, r_end, "r"), "_bucket")
+    met = touched(left, l_start, l_end, "l").join(touched(right, r_start, r_end, "r").hint("merge"), "_bucket")
     return (met.filter((F.col("_bucket") == F.greatest("_l_first", "_r_first"))
                        & (F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end)))
             .drop("_bucket", "_l_first", "_r_first"))
