@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import shutil
 import tempfile
@@ -50,6 +51,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that neither side refers to any more.
+
+    Its cleaner waits for a garbage collection of the driver, which small drivers' plans
+    seldom cause.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     return f"{shared_dir(spark).rstrip('/')}/llm/{kind}-{uuid.uuid4().hex}"

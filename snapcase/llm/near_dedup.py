@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, mix64, remove, rows_of, run_folder, stored
+from .common import Emitter, drop_shuffles, mix64, remove, rows_of, run_folder, stored
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -135,14 +135,13 @@ def least_shared(size: int, threshold: float) -> float:
 class Corpus:
     """The texts behind the classes: ``keys`` has a row (rep, id, print) for each class."""
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, words: int, folder: str):
-        self.rows, self.keys, self.words, self.folder, self.asked = rows, keys, words, folder, 0
+    def __init__(self, rows: DataFrame, keys: DataFrame, words: int):
+        self.rows, self.keys, self.words = rows, keys, words
 
     def _texts(self, members: DataFrame) -> DataFrame:
         """(rep, text) of the classes in ``members`` (rep), each once."""
-        # Written, so that its size is known: while it is small the texts are not shuffled.
-        self.asked += 1
-        wanted = stored(self.keys.join(members, "rep"), f"{self.folder}/wanted-{self.asked}")
+        # A merge join at any size: what is wanted grows with the corpus.
+        wanted = self.keys.join(members, "rep").hint("merge")
         return self.rows.join(wanted, ["id", "print"]).select("rep", "text").dropDuplicates(["rep"])
 
     def sets(self, members: DataFrame) -> DataFrame:
@@ -442,6 +441,7 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
             links = stored(_verified(likely, corpus, percent, f"{at}/members"), f"{at}/links",
                            rows=likely.count())
             edges = links if edges is None else edges.unionByName(links)
+            drop_shuffles(lists.sparkSession)
         left = stored(members.filter(F.col("size") > LONG_LIST).select("rep").distinct(),
                       f"{place}/left", rows=most)
         most = left.count()
@@ -485,7 +485,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(linkable.select("id", "print", "sketch").join(reps, ["id", "print"])
                      .select("rep", "n", "sketch").dropDuplicates(["rep"]), f"{folder}/classes",
                      rows=most, width=8 * size)
-    edges = _class_links(classes, Corpus(rows, keys, words, folder), folder, most, threshold)
+    edges = _class_links(classes, Corpus(rows, keys, words), folder, most, threshold)
     # The sets of one id belong together: each is joined to the lowest.
     of_id = linkable.join(reps.select(*same, "rep"), same).groupBy("id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
