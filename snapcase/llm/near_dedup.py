@@ -138,27 +138,13 @@ class Corpus:
     def __init__(self, rows: DataFrame, keys: DataFrame, words: int):
         self.rows, self.keys, self.words = rows, keys, words
 
-    def _texts(self, members: DataFrame) -> DataFrame:
+    def texts(self, members: DataFrame) -> DataFrame:
         """(rep, text) of the classes in ``members`` (rep), each once."""
         # A merge join at any size: what is wanted grows with the corpus.
         wanted = self.keys.join(members, "rep").hint("merge")
-        return self.rows.join(wanted, ["id", "print"]).select("rep", "text").dropDuplicates(["rep"])
-
-    def sets(self, members: DataFrame) -> DataFrame:
-        """(rep, shingles) of the classes in ``members``."""
-        words = self.words
-
-        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler = Shingler(words)
-            out = Emitter(pa.schema([("rep", pa.int64()), ("shingles", pa.binary())]))
-            for rep, text in rows_of(batches, "rep", "text"):
-                s = shingler.shingles(text)
-                out.add((rep, s.tobytes()), s.nbytes)
-                if out.full:
-                    yield out.batch()
-            yield out.batch()
-
-        return self._texts(members).mapInArrow(whole, "rep long, shingles binary")
+        # One text for each key: rows that repeat it lie together after the join.
+        return (self.rows.join(wanted, ["id", "print"]).dropDuplicates(["id", "print"])
+                .select("rep", "text"))
 
     def sketches(self, members: DataFrame, size: int) -> DataFrame:
         """(rep, n, sketch) of the classes in ``members``, with up to ``size`` values."""
@@ -175,7 +161,7 @@ class Corpus:
                     yield out.batch()
             yield out.batch()
 
-        return self._texts(members).mapInArrow(low, "rep long, n long, sketch array<bigint>")
+        return self.texts(members).mapInArrow(low, "rep long, n long, sketch array<bigint>")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, size: int) -> float:
@@ -206,23 +192,34 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, size: int, least: float) -
 
 
 def _verified(pairs: DataFrame, corpus: Corpus, percent: int, folder: str) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets."""
+    """Pairs with 100 * intersection >= percent * union, on the full sets.
+
+    The texts of the members are written to ``folder`` and meet as texts, which compress;
+    sets of 64-bit hashes are larger and do not.
+    """
+    spark, words = pairs.sparkSession, corpus.words
     members = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(),
-                     folder, rows=2 * pairs.count())
-    sets = corpus.sets(members)
+                     f"{folder}/reps", rows=2 * pairs.count())
+    texts = stored(corpus.texts(members), f"{folder}/texts")
+    drop_shuffles(spark)
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        last, y = None, None
         for batch in batches:
             good = []
-            for x, y in rows_of([batch], "left", "right"):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for b, left, right in rows_of([batch], "b", "left", "right"):
+                x = shingler.shingles(left)
+                # Pairs come in the order of b where the join sorts them.
+                if b != last:
+                    last, y = b, shingler.shingles(right)
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
             .mapInArrow(check, "a long, b long"))
 
@@ -239,8 +236,10 @@ def _lists(classes: DataFrame, size: int, threshold: float, folder: str, most: i
     # Values that a single class retains generate nothing; they come first in its order.
     sizes = stored(retained.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
                    .filter("members > 1"), f"{folder}/sizes", rows=most * size // 2)
+    drop_shuffles(classes.sparkSession)
     shared = stored(retained.join(sizes, "value").select("rep", "n", "k", "members", "value"),
                     f"{folder}/shared", rows=most * size)
+    drop_shuffles(classes.sparkSession)
     # A sketch has at most ``size`` values, which bounds the arrays.
     ordered = shared.groupBy("rep", "n", "k").agg(
         F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"),
@@ -425,8 +424,10 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
         place = f"{folder}/level-{level}"
         lists = stored(_lists(classes, size, threshold, place, most), f"{place}/lists",
                        rows=most * size // 2)
+        spark = lists.sparkSession
         for used in ("sizes", "shared"):
-            remove(lists.sparkSession, f"{place}/{used}")
+            remove(spark, f"{place}/{used}")
+        drop_shuffles(spark)
         listed = lists.count()
         if not listed:
             break
@@ -438,10 +439,12 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
                 F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             likely = stored(_estimated(pairs, classes, size, least), f"{at}/likely",
                             rows=listed * (2 if name == "pivots" else LONG_LIST))
+            drop_shuffles(spark)
             links = stored(_verified(likely, corpus, percent, f"{at}/members"), f"{at}/links",
                            rows=likely.count())
             edges = links if edges is None else edges.unionByName(links)
-            drop_shuffles(lists.sparkSession)
+            remove(spark, f"{at}/members")
+            drop_shuffles(spark)
         left = stored(members.filter(F.col("size") > LONG_LIST).select("rep").distinct(),
                       f"{place}/left", rows=most)
         most = left.count()
@@ -450,12 +453,15 @@ def _class_links(classes: DataFrame, corpus: Corpus, folder: str, most: int,
         if size != SKETCHES[-1]:
             classes = stored(corpus.sketches(left, SKETCHES[level + 1]), f"{place}/classes", rows=most,
                              width=8 * SKETCHES[level + 1])
+            drop_shuffles(spark)
             continue
         pairs = _long_list_pairs(members, classes, size, percent, least, place, listed)
+        drop_shuffles(spark)
         unsure = stored(pairs.filter("not sure").select("a", "b"), f"{place}/unsure")
         edges = (edges.unionByName(pairs.filter("sure").select("a", "b"))
                  .unionByName(_verified(unsure, corpus, percent, f"{place}/unsure-members")))
         edges = stored(edges, f"{place}/edges")
+        remove(spark, f"{place}/unsure-members")
     return edges if edges is not None else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
 
 
@@ -476,15 +482,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "id long, print long, n long, sig_a long, sig_b long, sketch array<bigint>"), f"{folder}/sketches")
     most = light.count()
     same = ["sig_a", "sig_b", "n"]
+    sketched = light.filter("n > 0 and id is not null")
+    light = stored(light.drop("sketch"), f"{folder}/light", rows=most, width=40)
     linkable = light.filter("n > 0 and id is not null")
     # Classes are numbered: one id may stand for several sets.
     reps = stored(linkable.groupBy(*same).agg(F.min(F.struct("id", "print")).alias("key"))
                   .select(*same, "key.*").withColumn("rep", F.monotonically_increasing_id()),
                   f"{folder}/reps", rows=most, width=64)
     keys = reps.select("rep", "id", "print")
-    classes = stored(linkable.select("id", "print", "sketch").join(reps, ["id", "print"])
-                     .select("rep", "n", "sketch").dropDuplicates(["rep"]), f"{folder}/classes",
+    classes = stored(sketched.select("id", "print", "sketch").join(reps, ["id", "print"])
+                     .dropDuplicates(["id", "print"]).select("rep", "n", "sketch"), f"{folder}/classes",
                      rows=most, width=8 * size)
+    remove(docs.sparkSession, f"{folder}/sketches")
+    drop_shuffles(docs.sparkSession)
     edges = _class_links(classes, Corpus(rows, keys, words), folder, most, threshold)
     # The sets of one id belong together: each is joined to the lowest.
     of_id = linkable.join(reps.select(*same, "rep"), same).groupBy("id").agg(
