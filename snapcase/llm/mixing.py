@@ -7,10 +7,18 @@ prefix within less than one block of each source's share.  Weights are whole num
 out of A = sum(a), so releases and deadlines are exact: the sizes themselves by default,
 other weights rounded as finely as 64-bit products with the number of blocks allow.
 
-The schedule is cut into periods of slots, at most ``MOST_SLOTS`` slots in all: a block is 8
-documents up to about a million of them, and more beyond.  One fold over all slots carries the numbers of
-blocks done (one number for each source) and keeps them where a period starts; from
-there the periods are scheduled again in parallel, as rows that list their blocks.
+The schedule is cut into periods of slots, which are scheduled in parallel, as rows that
+list their blocks.  What a period needs is the numbers of blocks done before it, one for each
+source.  They are guessed from the shares (the whole blocks due by then, and of the blocks
+begun those due first); every period is run from its guess, and one that does not start where
+the period before ended is run again from there, until all fit: from period 0 on, which starts
+with none, each start is then the exact one.  Two passes are the rule, whatever the size, and
+no task holds more than a few periods.
+
+A block is ``block_docs`` documents.  The registered query and the pipeline's stage pass
+``BLOCK_DOCS``, so a document's block and rank do not depend on the size of the corpus.  Only
+a caller that names no size gets blocks that grow beyond about a million documents, so that
+there are at most ``MOST_SLOTS`` slots.
 
 The mix ends where the first source would run out, at T = min(blocks / w) slots; a
 source's first ceil(w * T) blocks are in the mix, and later ones are marked as outside it
@@ -34,8 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import run_folder, stored
 
-# Documents of a block at least, and the slots at most: blocks grow with the corpus, so that
-# the fold that finds where the periods start has a bounded number of steps at any size.
+# Documents of a block, and the slots at most where a caller leaves the size of a block open.
 BLOCK_DOCS = 8
 MOST_SLOTS = 131_072
 # Slots of a period.
@@ -43,7 +50,7 @@ PERIOD = 1024
 
 
 def block_size(rows: int) -> int:
-    """Documents of a block for a corpus of that many."""
+    """Documents of a block for a corpus of that many, where the caller names none."""
     return max(BLOCK_DOCS, -(-rows // MOST_SLOTS))
 
 
@@ -72,6 +79,47 @@ def _state(done: str) -> str:
     return f"transform(sources, (s, i) -> {_NEXT.format(done=done, s='s', at='i')})"
 
 
+def _spread(starts: DataFrame, table: DataFrame, period: int) -> DataFrame:
+    """``starts`` with the table of sources, over as many tasks as there are cores to use."""
+    periods = table.agg(F.max(F.ceil(F.col("slots") / period))).first()[0] or 1
+    cores = starts.sparkSession.sparkContext.defaultParallelism
+    # A given number: the rows are few and small, and all their work is in the folds.
+    return starts.repartition(min(periods, 2 * cores), "p").crossJoin(table)
+
+
+def _period_starts(table: DataFrame, period: int, folder: str) -> DataFrame:
+    """(p, start): numbers of blocks done before each period, by place in the table of sources."""
+    first = f"(bigint(p) * {period})"
+    step = f"transform(array({_PICK.format(now='now')}), pick -> {_STEP.format(now='now')})[0]"
+    end = f"""transform(aggregate(sequence({first}, least({first} + {period}, slots) - 1),
+                        {_state('start[i]')}, (now, slot) -> {step}), c -> c.done)"""
+
+    def run(starts: DataFrame, name: str) -> DataFrame:
+        return stored(_spread(starts, table, period).select("p", "start", F.expr(end).alias("end")),
+                      f"{folder}/{name}")
+
+    whole = _state(f"least(s.quota, {first} * s.share div total)")
+    begun = (table.select("*", F.expr(f"explode(sequence(0L, (slots - 1) div {period}))").alias("p"))
+             .withColumn("now", F.expr(whole))
+             .withColumn("more", F.expr(f"int({first} - aggregate(now, 0L, (n, c) -> n + c.done))"))
+             .withColumn("ahead", F.expr(f"transform(slice(array_sort(filter(now, c -> c.release < {first})),"
+                                         " 1, greatest(more, 0)), c -> c.at)")))
+    ran = run(begun.select("p", F.expr(
+        "transform(now, c -> c.done + if(array_contains(ahead, c.at), 1L, 0L))").alias("start")), "pass-0")
+    passes = 0
+    while True:
+        passes += 1
+        before = ran.select((F.col("p") + 1).alias("p"), F.col("end").alias("given"))
+        fitted = ran.join(before, "p", "left")
+        moved = stored(fitted.filter("start <> given").select("p", F.col("given").alias("start")),
+                       f"{folder}/moved-{passes}")
+        if moved.isEmpty():
+            return ran.select("p", "start")
+        again = run(moved, f"again-{passes}")
+        ran = stored(ran.join(moved.select("p"), "p", "left_anti").unionByName(again),
+                     f"{folder}/pass-{passes}")
+
+
 def block_slots(quotas: DataFrame, period: int, folder: str) -> DataFrame:
     """(source, block, slot) of the blocks in the mix.
 
@@ -81,16 +129,7 @@ def block_slots(quotas: DataFrame, period: int, folder: str) -> DataFrame:
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("name"),
         "source", "share", "quota"))).alias("sources"), F.sum("share").alias("total"),
         F.sum("quota").alias("slots")).filter("slots > 0"), f"{folder}/sources")
-    step = f"transform(array({_PICK.format(now='now')}), pick -> {_STEP.format(now='now')})[0]"
-    starts = stored(table.select(F.posexplode(F.expr(f"""
-        aggregate(
-          sequence(0L, (slots - 1) div {period}),
-          named_struct('now', {_state('0L')}, 'starts', cast(array() as array<array<bigint>>)),
-          (state, p) -> named_struct(
-            'now', aggregate(sequence(p * {period}, least((p + 1) * {period}, slots) - 1),
-                             state.now, (now, slot) -> {step}),
-            'starts', concat(state.starts, array(transform(state.now, c -> c.done)))),
-          state -> state.starts)""")).alias("p", "start")), f"{folder}/starts")
+    starts = _period_starts(table, period, folder)
     first = f"(bigint(p) * {period})"
     order = f"""
         aggregate(
@@ -101,7 +140,7 @@ def block_slots(quotas: DataFrame, period: int, folder: str) -> DataFrame:
             'now', {_STEP.format(now='state.now')},
             'order', concat(state.order, array(named_struct('at', pick.at, 'block', pick.done + 1)))))[0],
           state -> state.order)"""
-    return (starts.repartition("p").crossJoin(table)
+    return (_spread(starts, table, period)
             .select("p", "sources", F.posexplode(F.expr(order)).alias("place", "e"))
             .select(F.get("sources", F.col("e.at")).getField("source").alias("source"),
                     F.col("e.block").alias("block"),

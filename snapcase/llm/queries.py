@@ -13,7 +13,7 @@ from .common import ship
 from .exact_dedup import exact_duplicates
 from .html import main_text
 from .line_dedup import drop_shared_lines, line_digests
-from .mixing import mix_schedule
+from .mixing import BLOCK_DOCS, mix_schedule
 from .near_dedup import near_duplicates
 from .oracles import ORACLES
 from .quality import quality_scores
@@ -44,7 +44,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_schedule(_table(spark, sf_dir, "documents"))
+    return mix_schedule(_table(spark, sf_dir, "documents"), block_docs=BLOCK_DOCS)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
