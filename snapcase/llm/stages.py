@@ -11,13 +11,14 @@ of documents are kept whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_corpus, token_digests
 from .common import drop_shuffles, remove, run_folder, ship, small_batches, stored
 from .exact_dedup import exact_duplicates
-from .mixing import mixed
+from .mixing import BLOCK_DOCS, mixed
 from .near_dedup import near_duplicates
 from .quality import good_documents
 
@@ -104,10 +105,38 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own; rows that repeat an id and a text come in any order.
     """
     _begin(spark, "mixing-stage")
-    return mixed(docs)
+    return mixed(docs, block_docs=BLOCK_DOCS)
+
+
+def _in_order(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, text, place): ``place`` numbers the rows from 0 as they were written.
+
+    Files are written in the order of their part numbers; a file's rows keep their order.
+    """
+    try:
+        source = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "text", source["file_path"].alias("file"),
+                           source["row_index"].alias("row"))
+    except AnalysisException:  # not read from files
+        return stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")),
+                      f"{folder}/rows")
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    sizes = stored(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")), f"{folder}/files")
+    before = Window.orderBy(part, "file")
+    starts = stored(sizes.select("file", (F.sum("n").over(before) - F.col("n")).alias("start")),
+                    f"{folder}/starts")
+    return rows.join(starts, "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("place"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token digests of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    _begin(spark, "bpe-stage")
-    return token_digests(encode_corpus(docs))
+    """Token digests of every document, in the order of the mix.
+
+    Columns doc_id, n_tokens, ids_sha256, decoded_sha256; rows in the order in which the
+    stage before wrote their documents, so the encoded corpus is mixed as well.
+    """
+    folder = _begin(spark, "bpe-stage")
+    rows = _in_order(docs, folder)
+    found = token_digests(encode_corpus(rows, id_col="place")).withColumnRenamed("doc_id", "at")
+    ids = rows.select("place", F.col("doc_id").cast("long").alias("doc_id"))
+    return (found.join(ids, F.col("at") == F.col("place")).orderBy("place")
+            .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
