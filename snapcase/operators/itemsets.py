@@ -60,23 +60,32 @@ def frequent_itemsets(df: DataFrame, keys: Sequence[str] = BOOKING, item: str =
     spark, keys = df.sparkSession, list(keys)
     folder = results_path(spark, f"itemsets/{uuid.uuid4().hex}")
     group = F.lit("n") if by is None else F.coalesce(F.concat(F.lit("v"), F.col(by).cast("string")), F.lit("n"))
-    held = df.filter(F.col(item).isNotNull()).select(
-        *keys, group.alias("grp"), F.col(item).cast("string").alias("item")).distinct()
+    # One row per episode, its distinct items combined before the only shuffle by episode.
+    held = (df.filter(F.col(item).isNotNull())
+            .select(*keys, group.alias("grp"), F.col(item).cast("string").alias("item"))
+            .groupBy(*keys, "grp").agg(F.collect_set("item").alias("held")))
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     if anchor is not None:
-        held = held.join(held.filter(F.col("item") == anchor).select(*keys, "grp"), [*keys, "grp"], "left_semi")
-    held = _stored(held, folder, "held")
-    counts = held.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    episodes = held.select(*keys, "grp").distinct()
-    shards = episodes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / (SHARD // 2)).alias("shards"))
-    placed = episodes.join(shards, "grp").withColumn(
-        "shard", F.pmod(F.xxhash64(*keys), F.col("shards")).cast("long"))
+        held = held.filter(known & F.array_contains("held", anchor))
+    held = _stored(held.select("grp", F.xxhash64(*keys).alias("place"), known.alias("known"), "held"),
+                   folder, "held")
+    counts = _stored(held.select("grp", F.explode("held").alias("item")).groupBy("grp", "item").agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count), folder, "counts")
+    shards = _stored(held.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / (SHARD // 2)).alias("shards")),
+                     folder, "shards")
     # A shard holds a bounded number of episodes, so its numbering is a small window.
     from pyspark.sql import Window
-    number = F.row_number().over(Window.partitionBy("grp", "shard").orderBy(*keys)).cast("long")
-    placed = _stored(placed.select(*keys, "grp", "shard", number.alias("number")), folder, "placed")
+    number = F.row_number().over(Window.partitionBy("grp", "shard").orderBy("place")).cast("long")
+    placed = (held.filter("known").join(shards, "grp")
+              .withColumn("shard", F.pmod("place", "shards").cast("long"))
+              .select("grp", "shard", "place", "held")
+              .select("grp", "shard", "held", number.alias("number")))
+    # Items stay with their number, so the bitmaps need no other join or shuffle.
     bits = _stored(
-        held.join(counts.select("grp", "item"), ["grp", "item"], "left_semi")
-        .join(placed, [*keys, "grp"])
+        placed.select("grp", "shard", "number", F.explode("held").alias("item"))
+        .join(counts.select("grp", "item"), ["grp", "item"], "left_semi")
         .groupBy("grp", "shard", F.bitmap_bucket_number("number").alias("bucket"), "item")
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")), folder, "bits")
     start = bits if anchor is None else bits.filter(F.col("item") == anchor)
