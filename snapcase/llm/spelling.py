@@ -1,9 +1,10 @@
 """Spelling variants of words by k-d trees over letter-count vectors.
 
-Words one edit apart have letter counts close together: a replaced letter moves two counts
-by one, so the vectors differ by two in L1 and the lengths are equal; a deleted letter moves
-one count, so they differ by one.  For each pair of lengths a word is a box of that radius
-around its vector, and a k-d tree over the vectors prunes the boxes that miss a subtree.
+Words one edit apart have letter counts close together: a replaced letter moves one count down
+by one and another up, and the lengths are equal; a deleted letter moves one count down.  For
+each pair of lengths a word is a box around its vector, and a k-d tree over the vectors prunes
+the boxes that miss a subtree.  Every pair is asked for from one side: by the longer word, or
+of equal lengths by the word whose letter of the two comes first.
 
 1. Words and their counts are gathered with partial sums in every task.
 2. A tree over a bounded sample of the vectors cuts the space into leaves of about
@@ -48,20 +49,29 @@ MAX_LEAVES = 4096
 # Vectors of a leaf of the tree inside a task, and queries that descend it at once.
 BUCKET = 64
 BATCH = 4096
+# Queries that a task answers at once.
+ASKED = 4 * BATCH
+# Pairs of vectors that meet before their words are compared.
+MET = 1 << 18
 # Distinct words that a map task counts before it hands them on.
 HELD_WORDS = 200_000
+# Products of the letter counts of shorter words are exact in single precision.
+_EXACT_LETTERS = 2048
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
+# Runs of lower-cased text; shorter ones cannot be words, whether they lose a letter or not.
+_RUN = re.compile("[a-zÀ-ÿ]{%d,}" % MIN_LETTERS)
 # Letters are a-z, then U+00C0-U+00FF; the column after them holds the length.
 LETTERS = 26 + 64
 _LENGTH = LETTERS
 _BASE = 0x9E3779B97F4A7C15
 
 
-def edited(doc: int | None, run: str) -> str:
-    """The run, or the run without one letter where the hash of document and run says so."""
-    h = zlib.crc32(f"{'null' if doc is None else doc}:{run}".encode())
+def edited(doc_hash: int, run: str) -> str:
+    """The run, or the run without one letter where the hash of document and run says so.
+
+    ``doc_hash`` is the hash up to the run, so a document's id is hashed once.
+    """
+    h = zlib.crc32(run.encode(), doc_hash)
     if h % DROP_EVERY:
         return run
     at = h % len(run)
@@ -78,9 +88,11 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for doc, text in rows_of(batches, "id", "text"):
-        # Equal runs of one document have the same hash, so they are edited alike.
-        for run, n in Counter(_RUN.findall((text or "").translate(_LOWER))).items():
-            if len(run) >= MIN_LETTERS and len(word := edited(doc, run)) >= MIN_LETTERS:
+        doc_hash = zlib.crc32(f"{'null' if doc is None else doc}:".encode())
+        # Lower-casing bytes changes A-Z only.  Equal runs of one document have the same hash, so
+        # they are edited alike.
+        for run, n in Counter(_RUN.findall((text or "").encode().lower().decode())).items():
+            if len(word := edited(doc_hash, run)) >= MIN_LETTERS:
                 held[word] += n
         if len(held) >= HELD_WORDS:
             yield flush()
@@ -114,6 +126,23 @@ class Words:
         out[:, _LENGTH] = self.lengths
         return out
 
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct vectors and, for each word, the number of its own.
+
+        Words are sorted by a hash of their letters in any order.  Vectors of equal hashes are
+        compared, so different ones are told apart; one of them may then be listed twice.
+        """
+        terms = mix64(self.letters.astype(np.uint64) + np.uint64(1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+        sums = sums[self.starts + self.lengths] - sums[self.starts]
+        order = np.argsort(sums)
+        sums, vectors = sums[order], self.vectors()[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (sums[1:] != sums[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+        kind = np.empty(len(order), dtype=np.int64)
+        kind[order] = np.cumsum(new) - 1
+        return vectors[new], kind
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the whole words and, for each letter, of its word without it."""
         longest = int(self.lengths.max(initial=0)) + 2
@@ -173,18 +202,24 @@ class Tree:
                 work += [(node[2], rows[left]), (node[3], rows[~left])]
         return out
 
-    def touched(self, vectors: np.ndarray, shorter: int) -> Iterator[tuple[int, np.ndarray]]:
+    def touched(self, vectors: np.ndarray, shorter: int,
+                once: bool = False) -> Iterator[tuple[int, np.ndarray]]:
         """(leaf, rows) whose boxes reach the leaf: words ``shorter`` letters shorter by a letter.
 
-        The box has radius 2 - ``shorter`` in the letter counts; the length must be exact.
+        The other word has one letter less of a kind and, unless it is shorter, one more of
+        another, so the box reaches one letter down and at most one up; the length must be exact.
+        With ``once`` the letter gained must come after the one lost, so that of two words of
+        equal length only one reaches the other.
         """
-        radius = 2 - shorter
-        low = np.full(LETTERS, -1, dtype=np.int64)
-        high = np.full(LETTERS, 1 << 40, dtype=np.int64)
-        yield from self._reach(self.root, vectors, np.arange(len(vectors)),
-                               np.zeros(len(vectors), dtype=np.int64), low, high, shorter, radius)
+        lost = np.full(len(vectors), -1, dtype=np.int8)
+        gained = np.full(len(vectors), LETTERS, dtype=np.int8)
+        yield from self._reach(self.root, vectors, np.arange(len(vectors)), lost, gained, shorter, once)
+
+    def _reach(self, node, vectors, rows, lost, gained, shorter, once):
+        """``lost`` and ``gained``: the letters in which the node lies outside the rows' vectors.
 
-    def _reach(self, node, vectors, rows, far, low, high, shorter, radius):
+        They are -1 and ``LETTERS`` as long as there is none.
+        """
         if not len(rows):
             return
         if isinstance(node, int):
@@ -194,17 +229,19 @@ class Tree:
         x = vectors[rows, column]
         if column == _LENGTH:
             goes = x - shorter <= bound
-            yield from self._reach(left, vectors, rows[goes], far[goes], low, high, shorter, radius)
-            yield from self._reach(right, vectors, rows[~goes], far[~goes], low, high, shorter, radius)
+            for child, good in ((left, goes), (right, ~goes)):
+                yield from self._reach(child, vectors, rows[good], lost[good], gained[good], shorter, once)
             return
-        lo, hi = low[column], high[column]
-        rest = far - np.maximum(0, np.maximum(lo - x, x - hi))
-        for child, a, b in ((left, lo, bound), (right, bound + 1, hi)):
-            reach = rest + np.maximum(0, np.maximum(a - x, x - b))
-            good = reach <= radius
-            low[column], high[column] = a, b
-            yield from self._reach(child, vectors, rows[good], reach[good], low, high, shorter, radius)
-        low[column], high[column] = lo, hi
+        less = x > bound
+        good = ~less | ((x == bound + 1) & (lost < 0) & (gained > column if once else True))
+        yield from self._reach(left, vectors, rows[good], np.where(less, np.int8(column), lost)[good],
+                               gained[good], shorter, once)
+        more = x <= bound
+        good = ~more
+        if not shorter:
+            good |= (x == bound) & (gained == LETTERS) & (lost < column if once else True)
+        yield from self._reach(right, vectors, rows[good], lost[good],
+                               np.where(more, np.int8(column), gained)[good], shorter, once)
 
 
 def _routes(batches: Iterable[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
@@ -214,10 +251,8 @@ def _routes(batches: Iterable[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
             part = batch.slice(start, BATCH)
             vectors = Words(part.column(0).to_pylist()).vectors()
             leaves, sides, rows = [tree.own(vectors)], [np.zeros(len(vectors))], [np.arange(len(vectors))]
-            reached = [set(), set()]
             for shorter in (0, 1):
-                for leaf, found in tree.touched(vectors, shorter):
-                    reached[shorter].add(leaf)
+                for leaf, found in tree.touched(vectors, shorter, once=True):
                     leaves.append(np.full(len(found), leaf))
                     sides.append(np.full(len(found), 1 + shorter))
                     rows.append(found)
@@ -233,24 +268,29 @@ class Leaf:
 
     def __init__(self, words: list[str], counts: list[int]):
         self.table, self.counts = Words(words), counts
-        vectors = self.table.vectors()
-        self.points, self.point_of = np.unique(vectors, axis=0, return_inverse=True)
-        self.point_of = self.point_of.ravel()
-        self.used = np.flatnonzero(self.points.any(axis=0))[:-1]
-        self.inside = self.points[:, self.used].astype(np.float64)
-        self.squares = (self.inside * self.inside).sum(axis=1)
+        self.points, self.point_of = self.table.kinds()
+        self.used = np.flatnonzero(self.points[:, :LETTERS].any(axis=0))
         self.tree = Tree(self.points, BUCKET)
+        inside = self.points[:, self.used].astype(np.float64)
+        # A query's (2 * counts, 1, -rest) times this is 0 at the distance asked for.
+        against = np.column_stack((inside, -(inside * inside).sum(axis=1), np.ones(len(inside))))
+        self.long = int(self.table.lengths.max(initial=0)) >= _EXACT_LETTERS
+        kind = np.float64 if self.long else np.float32
+        self.against = [against[rows].astype(kind).T for rows in self.tree.rows]
+        self.sums = _letter_sums(self.points)
         whole, without = self.table.hashes()
         # Replaced letters: (vector, place, rest of the word); deleted ones: (vector, word).
         owner = self.table.owner
-        self.by_edit = _sorted(_key(self.point_of[owner], self.table.place + 1, without), owner)
-        self.by_word = _sorted(_key(self.point_of, 0, whole), np.arange(len(words)))
+        self.by_edit = _lists(_key(self.point_of[owner], self.table.place + 1, without), owner)
+        self.by_word = _lists(_key(self.point_of, 0, whole), np.arange(len(words)))
 
     def near(self, words: list[str], shorter: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, word) pairs, as positions, that are one edit apart."""
+        """(query, word) pairs, as positions, that are one edit apart.
+
+        Of two words of equal length the one whose letter comes first finds the other.
+        """
         table = Words(words)
-        vectors, vector_of = np.unique(table.vectors(), axis=0, return_inverse=True)
-        vector_of = vector_of.ravel()
+        vectors, vector_of = table.kinds()
         _, without = table.hashes()
         # Places of each letter of the words of a vector; of a run of one letter the first will
         # do where it goes.
@@ -259,41 +299,68 @@ class Leaf:
             first[1:] = (table.letters[1:] != table.letters[:-1]) | (table.place[1:] == 0)
         order = np.flatnonzero(first)
         column = vector_of[table.owner[order]] * LETTERS + table.letters[order]
-        by_column = np.argsort(column, kind="stable")
-        order, column = order[by_column], column[by_column]
+        order = order[np.argsort(column)]
+        ends = np.cumsum(np.bincount(column, minlength=len(vectors) * LETTERS))
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
         # Lengths decide how far counts are apart, so differences of one are alike in L1 and L2.
         counts = vectors[:, :LETTERS].astype(np.float64)
-        own = (counts * counts).sum(axis=1) - (2 - shorter)
-        inside = counts[:, self.used]
-        for leaf, rows in self.tree.touched(vectors, shorter):
+        rest = (2 - shorter) - (counts * counts).sum(axis=1)
+        asked = np.column_stack((2 * counts[:, self.used], np.ones(len(counts)), rest))
+        wide = self.long or int(table.lengths.max(initial=0)) >= _EXACT_LETTERS
+        asked = asked.astype(np.float64 if wide else np.float32)
+        sums = _letter_sums(vectors)
+        met, size = [], 0
+        for leaf, rows in self.tree.touched(vectors, shorter, once=True):
             held = self.tree.rows[leaf]
-            i, j = np.nonzero(2 * (inside[rows] @ self.inside[held].T) - self.squares[held]
-                              == own[rows][:, None])
-            if not len(i):
-                continue
-            i, j = rows[i], held[j]
-            same = self.points[j, _LENGTH] == vectors[i, _LENGTH] - shorter
-            i, j = i[same], j[same]
-            if not len(i):
-                continue
-            # The letter of the query that the other vector has fewer of.
-            letter = np.argmax(vectors[i, :LETTERS] - self.points[j, :LETTERS], axis=1)
-            first = np.searchsorted(column, i * LETTERS + letter, side="left")
-            last = np.searchsorted(column, i * LETTERS + letter, side="right")
-            at = order[_ranges(first, last - first)]
-            point = np.repeat(j, last - first)
-            if shorter:
-                keys, targets = _key(point, 0, without[at]), self.by_word
-            else:
-                keys, targets = _key(point, table.place[at] + 1, without[at]), self.by_edit
-            first = np.searchsorted(targets[0], keys, side="left")
-            size = np.searchsorted(targets[0], keys, side="right") - first
-            other = targets[1][_ranges(first, size)]
-            at = np.repeat(at, size)
-            good = np.array([_one_edit(words[q], self.table.words[w], p, shorter) for q, w, p in
-                             zip(table.owner[at].tolist(), other.tolist(), table.place[at].tolist())],
-                            dtype=bool)
-            yield table.owner[at][good], other[good]
+            at = np.flatnonzero(asked[rows] @ self.against[leaf] == 0)
+            if len(at):
+                met.append((rows[at // len(held)], held[at % len(held)]))
+                size += len(at)
+                if size >= MET:
+                    yield from self._verified(met, table, vectors, sums, shorter, order, starts, ends, without)
+                    met, size = [], 0
+        if met:
+            yield from self._verified(met, table, vectors, sums, shorter, order, starts, ends, without)
+
+    def _verified(self, met, table, vectors, sums, shorter, order, starts, ends, without):
+        """The pairs of words one edit apart among those of the vectors that ``met``.
+
+        ``order`` lists the places in all words by vector and letter, from ``starts`` to ``ends``.
+        """
+        i, j = (np.concatenate(side) for side in zip(*met))
+        # Equal lengths: letter l of the query against g gives sums of l - g and of l^2 - g^2.
+        one, two = (sums[k][i] - self.sums[k][j] for k in (0, 1))
+        good = self.points[j, _LENGTH] == vectors[i, _LENGTH] - shorter
+        if not shorter:
+            good &= one < 0
+        i, j, one, two = i[good], j[good], one[good], two[good]
+        if not len(i):
+            return
+        column = i * LETTERS + (one if shorter else (one + two // one) // 2)
+        first, size = starts[column], ends[column] - starts[column]
+        at = order[_ranges(first, size)]
+        point = np.repeat(j, size)
+        if shorter:
+            keys, (known, first, last, targets) = _key(point, 0, without[at]), self.by_word
+        else:
+            keys, (known, first, last, targets) = _key(point, table.place[at] + 1, without[at]), self.by_edit
+        found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = np.flatnonzero(known[found] == keys)
+        at, found = at[hit], found[hit]
+        size = last[found] - first[found]
+        other = targets[_ranges(first[found], size)]
+        at = np.repeat(at, size)
+        query = table.owner[at]
+        good = np.array([_one_edit(table.words[q], self.table.words[w], p, shorter) for q, w, p in
+                         zip(query.tolist(), other.tolist(), table.place[at].tolist())], dtype=bool)
+        yield query[good], other[good]
+
+
+def _letter_sums(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the letters of a vector's words: of their numbers and of the squares of these."""
+    letters = np.arange(LETTERS, dtype=np.float64)
+    counts = vectors[:, :LETTERS].astype(np.float64)
+    return (counts @ letters).astype(np.int64), (counts @ (letters * letters)).astype(np.int64)
 
 
 def _one_edit(query: str, word: str, place: int, shorter: int) -> bool:
@@ -306,9 +373,12 @@ def _key(point, place, rest: np.ndarray) -> np.ndarray:
     return mix64(rest ^ mixed)
 
 
-def _sorted(keys: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    return keys[order], targets[order]
+def _lists(keys: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, where the targets of each start and end, and the targets."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), keys[1:] != keys[:-1])))
+    return keys[first], first, np.append(first[1:], len(keys)), targets[order]
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -322,7 +392,7 @@ _PLACED = ("leaf", "d", "q", "side", "word", "n")
 def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a leaf, then its queries, to (word, n_near, best n, best word) of the pairs found."""
     place, words, counts, leaf = None, [], [], None
-    asked: list[tuple[int, str, int]] = []
+    asked: dict[int, tuple[list[str], list[int]]] = {1: ([], []), 2: ([], [])}
 
     def answer() -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
@@ -337,36 +407,41 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     best[1:] = n, other
 
         for shorter in (0, 1):
-            queries = [(w, n) for side, w, n in asked if side == 1 + shorter]
+            queries, ns = asked[1 + shorter]
             if queries:
-                for q, w in leaf.near([x[0] for x in queries], shorter):
+                # Every pair is found once, so both words take note of it.
+                for q, w in leaf.near(queries, shorter):
                     for a, b in zip(q.tolist(), w.tolist()):
-                        note(queries[a][0], words[b], counts[b])
-                        # Equal lengths meet from both sides, the shorter word only here.
-                        if shorter:
-                            note(words[b], *queries[a])
-        asked.clear()
+                        note(queries[a], words[b], counts[b])
+                        note(words[b], queries[a], ns[a])
+            asked[1 + shorter] = [], []
         if found:
             columns = [list(found), *map(list, zip(*found.values()))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))],
                 names=["word", "n_near", "best_n", "best"])
 
-    for at_leaf, d, q, side, word, n in rows_of(batches, *_PLACED):
-        if (at_leaf, d, q) != place:
-            if asked:
-                yield from answer()
-            place, words, counts, leaf = (at_leaf, d, q), [], [], None
-        if side == 0:
-            words.append(word)
-            counts.append(n)
-        elif words:
-            leaf = leaf or Leaf(words, counts)
-            asked.append((side, word, n))
-            if len(asked) >= 4 * BATCH:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # Rows of one cell and side lie together.
+        cells = np.column_stack([batch.column(k).to_numpy() for k in range(len(_PLACED) - 2)])
+        starts = np.append(0, np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1)
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+            *cell, side = cells[start].tolist()
+            if cell != place:
                 yield from answer()
-    if asked:
-        yield from answer()
+                place, words, counts, leaf = cell, [], [], None
+            if side and not words:
+                continue
+            to = asked[side] if side else (words, counts)
+            for k, column in enumerate((batch.column(4), batch.column(5))):
+                to[k].extend(column.slice(start, end - start).to_pylist())
+            if side:
+                leaf = leaf or Leaf(words, counts)
+                if sum(len(asked[k][0]) for k in asked) >= ASKED:
+                    yield from answer()
+    yield from answer()
 
 
 def near_words(words: DataFrame, folder: str, leaf_words: int = LEAF_WORDS) -> DataFrame:
